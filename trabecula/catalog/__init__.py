@@ -1,0 +1,13 @@
+"""Catalogue of runnable queries, one module per area."""
+
+from __future__ import annotations
+
+import importlib
+
+AREAS = ("quality", "fitting", "search")
+
+
+def load() -> None:
+    """Import every area, which registers its queries."""
+    for area in AREAS:
+        importlib.import_module(f"trabecula.catalog.{area}")

@@ -215,13 +215,14 @@ def quaternion_rotation(u1: Column, u2: Column, u3: Column) -> Column:
 
 
 def frame_label(target: str, c: str, es_gpa: float, original: str | Column, tai: str | Column,
-                has_tensor: str | Column = F.lit(True), mask_missing: bool = True) -> Column:
+                has_tensor: str | Column | None = None, mask_missing: bool = True) -> Column:
     """label after a rotation. Frame-dependent targets are recomputed (null without a tensor when masked)."""
     entry = {"C11_n": at(c, 0, 0) / es_gpa, "C12_n": at(c, 0, 1) / es_gpa, "C44_n": at(c, 3, 3) / es_gpa,
              "TAI": col(tai)}.get(target)
     if entry is None:
         return col(original)
-    return F.when(col(has_tensor), entry).otherwise(F.lit(None).cast("double") if mask_missing else col(original))
+    known = F.lit(True) if has_tensor is None else col(has_tensor)
+    return F.when(known, entry).otherwise(F.lit(None).cast("double") if mask_missing else col(original))
 
 
 def drift(a: str | Column, b: str | Column) -> Column:

@@ -15,7 +15,7 @@ from trabecula.operators.ordered import running_total
 
 # Tolerances of the cloud check and of the rebuild comparison.
 CENTRE_TOL, EXTENT_LOW, EXTENT_HIGH, SAME_TOL = 1e-3, 0.999, 1.001, 1e-6
-STEP = 65536
+STEP, AREA_UNITS = 65536, 1e10
 
 
 def _scatter_step(n: int) -> int:
@@ -30,17 +30,18 @@ def sample_surface(tri: DataFrame, n: int, seed: int) -> DataFrame:
     """N points per mesh, uniform over the surface.
 
     The surface is cut into n equal areas and one hashed position is drawn in each. A triangle knows from its running
-    area which positions fall on it, so points come out of the triangle rows with no join per point. Indices are
+    area (in whole units, so that sums are exact) which positions fall on it, so points come out of the triangle rows with no join per point. Indices are
     scattered, so that the first m points cover the whole surface too.
     """
-    t = with_faces(tri).where(F.col("area") > 0)
-    t = running_total(t, ["mesh_id"], ["tri_id"], F.floor(F.col("tri_id") / STEP), "area", out="upto", total="total")
-    first = F.floor((F.col("upto") - F.col("area")) / F.col("total") * n).cast("long")
-    last = F.least(F.floor(F.col("upto") / F.col("total") * n).cast("long"), F.lit(n - 1).cast("long"))
-    p = t.withColumn("k", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), F.greatest(last, F.lit(0).cast("long")))))
+    t = with_faces(tri).withColumn("share", F.rint(F.col("area") * AREA_UNITS).cast("long")).where(F.col("share") > 0)
+    t = running_total(t, ["mesh_id"], ["tri_id"], F.floor(F.col("tri_id") / STEP), "share", out="upto", total="total")
+    low = F.col("upto") - F.col("share")
+    first = F.greatest(F.floor(low / F.col("total") * n) - 1, F.lit(0))
+    last = F.least(F.floor(F.col("upto") / F.col("total") * n) + 1, F.lit(n - 1))
+    p = t.withColumn("k", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     at = (F.col("k") + hash_uniform(seed, "mesh_id", "k", F.lit("at"))) / n * F.col("total")
     end = F.col("upto") >= F.col("total")
-    p = p.withColumn("__at", at).where((F.col("__at") >= F.col("upto") - F.col("area")) & ((F.col("__at") < F.col("upto")) | end))
+    p = p.withColumn("__at", at).where((F.col("__at") >= low) & ((F.col("__at") < F.col("upto")) | end))
     r = F.sqrt(hash_uniform(seed, "mesh_id", "k", F.lit("r")))
     s = hash_uniform(seed, "mesh_id", "k", F.lit("s"))
     weights = (1.0 - r, r * (1.0 - s), r * s)

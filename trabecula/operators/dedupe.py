@@ -46,7 +46,7 @@ def distinct_results(df: DataFrame, config: list[str], signature: list[str], seq
 
 def prior_runs(master: DataFrame, run: str = "Run", status: str = "Status") -> DataFrame:
     """Usable rows per run name already in the master."""
-    known = F.coalesce(F.col(status), F.lit("")).startswith("OK") & (F.coalesce(F.col(run), F.lit("")) != "")
+    known = F.coalesce(F.col(status), F.lit("")).startswith("OK") & (F.coalesce(F.col(run).cast("string"), F.lit("")) != "")
     return master.where(known).groupBy(run).agg(F.count(F.lit(1)).alias("n_prior"))
 
 

@@ -86,11 +86,11 @@ def prefer_first(rows: DataFrame, sources: list[tuple[str, DataFrame]], keys: li
     return rows.drop(*[f"__v_{n}" for n, _ in picks])
 
 
-def _pieces(c: Column, lengths: Column) -> Column:
-    """All distinct substrings of c whose length is in `lengths`."""
-    usable = F.filter(lengths, lambda n: n <= F.length(c))
-    cut = F.transform(usable, lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n)))
-    return F.array_distinct(F.flatten(cut))
+def _pieces(df: DataFrame, c: str, lengths: Column) -> DataFrame:
+    """One row per distinct substring `__p` of column c whose length is in `lengths`."""
+    cut = df.withColumn("__len", F.explode(lengths)).where(F.col("__len") <= F.length(c))
+    cut = cut.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(c) - F.col("__len") + 1)))
+    return cut.withColumn("__p", F.substring(F.col(c), F.col("__at"), F.col("__len"))).drop("__len", "__at").distinct()
 
 
 def link_contained(rows: DataFrame, stem: str, names: DataFrame, name: str) -> DataFrame:
@@ -102,10 +102,8 @@ def link_contained(rows: DataFrame, stem: str, names: DataFrame, name: str) -> D
     index = names.select(F.col(name).alias("__n")).distinct()
     lens_n = index.agg(F.collect_set(F.length("__n"))).scalar()
     lens_s = probe.agg(F.collect_set(F.length("__s"))).scalar()
-    inside = probe.withColumn("__p", F.explode(_pieces(F.col("__s"), lens_n)))
-    inside = inside.join(index, F.col("__p") == F.col("__n")).select("__s", "__n")
-    around = index.withColumn("__p", F.explode(_pieces(F.col("__n"), lens_s)))
-    around = around.join(probe, F.col("__p") == F.col("__s")).select("__s", "__n")
+    inside = _pieces(probe, "__s", lens_n).join(index, F.col("__p") == F.col("__n")).select("__s", "__n")
+    around = _pieces(index, "__n", lens_s).join(probe, F.col("__p") == F.col("__s")).select("__s", "__n")
     best = inside.unionByName(around).groupBy("__s").agg(F.min("__n").alias("matched_name"))
     out = rows.join(best, F.col(stem) == F.col("__s"), "left").drop("__s")
     return out.withColumn("match_kind", F.when(F.col("matched_name").isNotNull(), F.lit("contains")).otherwise(F.lit("none")))

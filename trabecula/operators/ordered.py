@@ -24,12 +24,12 @@ def keep_one(df: DataFrame, keys: list[str], order: list[str | Column], prefer:
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[str | Column], bucket: Column,
-                  value: str | Column = F.lit(1), out: str = "running", total: str | None = None) -> DataFrame:
+                  value: str | Column | None = None, out: str = "running", total: str | None = None) -> DataFrame:
     """Inclusive running sum of `value` per key in `order`; `bucket` must not decrease along `order`.
 
     With the default value it is the row position 1..n. `total` adds the whole-group sum.
     """
-    rows = df.withColumn("__b", bucket).withColumn("__v", col(value))
+    rows = df.withColumn("__b", bucket).withColumn("__v", F.lit(1) if value is None else col(value))
     bk = [*keys, "__b"]
     by_bucket = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.groupBy(*bk).agg(F.sum("__v").alias("__s"))
