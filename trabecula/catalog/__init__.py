@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("quality", "fitting", "search")
+AREAS = ("meshes",)
 
 
 def load() -> None:
