@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("meshes",)
+AREAS = ("linkage", "versions", "quality", "scoring", "fitting", "search", "parsing", "tensors", "meshes", "clouds",
+         "folds", "learning", "files", "streams")
 
 
 def load() -> None:

@@ -240,15 +240,20 @@ def curvature_summary(tri: DataFrame, cell: float, skin: float | None = 0.02) ->
         b = boxes(tri)
         v = v.join(b, "mesh_id").where(interior("pos", skin))
         e = e.join(b, "mesh_id").where(interior("p_lo", skin) & interior("p_hi", skin))
+    v, e = cut_lineage(v.select("mesh_id", "gauss", "dual")), cut_lineage(e.select("mesh_id", "mean", "weight"))
     out = v.groupBy("mesh_id").agg((weighted_mean("gauss", "dual") * L * L).alias("curv_gauss_mean_xL2"))
     out = out.join(e.groupBy("mesh_id").agg((weighted_mean("mean", "weight") * L).alias("curv_mean_mean_xL")), "mesh_id", "full")
-    for rows, value, unit, tag in ((v, "gauss", L * L, "gauss_{}_xL2"), (e, "mean", L, "mean_{}_xL")):
-        q = exact_quantiles(rows, ["mesh_id"], value, [0.25, 0.75], ["q1", "q3"])
-        p = exact_quantiles(rows, ["mesh_id"], F.abs(F.col(value)), [0.99], ["p99"])
-        q = q.select("mesh_id", ((F.col("q3") - F.col("q1")) * unit).alias("curv_" + tag.format("iqr")))
-        p = p.select("mesh_id", (F.col("p99") * unit).alias("curv_" + tag.format("p99")))
-        out = out.join(q, "mesh_id", "left").join(p, "mesh_id", "left")
-    return out
+    # Quartiles of the values and p99 of their sizes, for both curvatures, in one quantile pass.
+    def both(rows, value, kind):
+        sizes = F.array(F.struct(F.lit(kind).alias("kind"), F.col(value).alias("x")), F.struct(F.lit(f"|{kind}|").alias("kind"), F.abs(F.col(value)).alias("x")))
+        return rows.select("mesh_id", F.inline(sizes))
+    q = exact_quantiles(both(v, "gauss", "gauss").unionByName(both(e, "mean", "mean")), ["mesh_id", "kind"], "x", [0.25, 0.75, 0.99], ["q1", "q3", "p99"])
+    def pick(kind, c, unit, name):
+        return F.max(F.when(F.col("kind") == kind, c) * unit).alias(name)
+    q = q.groupBy("mesh_id").agg(
+        pick("gauss", F.col("q3") - F.col("q1"), L * L, "curv_gauss_iqr_xL2"), pick("|gauss|", F.col("p99"), L * L, "curv_gauss_p99_xL2"),
+        pick("mean", F.col("q3") - F.col("q1"), L, "curv_mean_iqr_xL"), pick("|mean|", F.col("p99"), L, "curv_mean_p99_xL"))
+    return out.join(q, "mesh_id", "left")
 
 
 def _cells(pos: Column, size: float | Column) -> tuple[Column, Column, Column]:
@@ -260,11 +265,12 @@ def wall_hits(tri: DataFrame, cap: float | DataFrame, n_samples: int, seed: int,
 
     `cap` is one search radius or a table (mesh_id, cap). Vertices are bucketed on a grid whose cell is the search
     radius and met by equal cell numbers. The radius starts at cap / 2^(levels-1) and doubles; a sample leaves as
-    soon as a hit lies within the radius, so most samples never look at the wide neighbourhood.
+    soon as a hit lies within the radius, so most samples never look at the wide neighbourhood. Every radius is
+    checkpointed: the next one starts from the samples still open, not from the mesh.
     """
     verts = vertex_table(tri).select("mesh_id", "vertex", "pos", "normal")
     caps = cap if isinstance(cap, DataFrame) else None
-    pool = verts.join(caps, "mesh_id") if caps is not None else verts.withColumn("cap", F.lit(float(cap)))
+    pool = cut_lineage(verts.join(caps, "mesh_id") if caps is not None else verts.withColumn("cap", F.lit(float(cap))))
     cand = pool if skin is None else pool.join(boxes(tri), "mesh_id").where(interior("pos", skin)).select(*pool.columns)
     cand = cand.withColumn("__h", hash_order(seed, "mesh_id", "vertex"))
     left = running_total(cand, ["mesh_id"], ["__h", "vertex"], hash_bucket("__h"), out="__pos")
@@ -283,7 +289,7 @@ def wall_hits(tri: DataFrame, cap: float | DataFrame, n_samples: int, seed: int,
         d = vec.norm(gap)
         hit = (d > MIN_DISTANCE) & (d <= r) & (-vec.dot(gap, "normal") > d * CONE_COS) & (vec.dot("qn", "normal") < OPPOSING_DOT)
         best = j.where(hit).groupBy("mesh_id", "vertex").agg(F.min(d).alias("distance"))
-        seen = left.join(best, ["mesh_id", "vertex"], "left")
+        seen = cut_lineage(left.join(best, ["mesh_id", "vertex"], "left"))
         found = seen if level == 0 else seen.where(F.col("distance").isNotNull())
         found = found.select("mesh_id", "vertex", "distance")
         done = found if done is None else done.unionByName(found)
