@@ -28,7 +28,7 @@ def tensor_files_first(t):
     return p.select("vec_id", F.round(at("c", 0, 0), 9).alias("c11"), F.round(at("c", 0, 1), 9).alias("c12"), F.round(at("c", 5, 5), 9).alias("c66"))
 
 
-@query("tensor_files_last", f"WITH e AS (SELECT vec_id, {_V}[7:] AS v FROM embeddings WHERE vec_id % 10 <> 9) SELECT vec_id, round(v[1], 9) AS c11, round(v[36], 9) AS c66 FROM e")
+@query("tensor_files_last", f"WITH e AS (SELECT vec_id, ({_V})[7:] AS v FROM embeddings WHERE vec_id % 10 <> 9) SELECT vec_id, round(v[1], 9) AS c11, round(v[36], 9) AS c66 FROM e")
 def tensor_files_last(t):
     p = _tensor_text(t).withColumn("c", text_files.parse_tensor("value", "last")).where("c IS NOT NULL")
     return p.select("vec_id", F.round(at("c", 0, 0), 9).alias("c11"), F.round(at("c", 5, 5), 9).alias("c66"))

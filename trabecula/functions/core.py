@@ -13,8 +13,8 @@ def col(c: str | Column) -> Column:
 
 
 def number(c: str | Column) -> Column:
-    """Text or number to double; text that is no number, NaN and blanks become null."""
-    v = F.trim(col(c).cast("string")).try_cast("double")
+    """Text or number to double; text that is no number, NaN and blanks become null (the cast trims text)."""
+    v = col(c).try_cast("double")
     return F.when(~F.isnan(v), v)
 
 

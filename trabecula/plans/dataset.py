@@ -30,7 +30,8 @@ def aperiodic_dataset(features: DataFrame, master: DataFrame, prefix: str, label
     lab = lab.select("*", names.parse_stem("Run", prefix).alias("__p")).select("*", *[F.col(f"__p.{p}").alias(f"p_{p}") for p in PARAMS]).drop("__p")
     feats = features.where(gates.usable("status")).withColumn("stem", names.strip_suffix("file"))
     feats = feats.select("*", names.parse_stem("stem", prefix).alias("__p")).select("*", *[F.col(f"__p.{p}").alias(f"p_{p}") for p in PARAMS]).drop("__p")
-    feats = feats.drop(*[c for c in lab.columns if c in feats.columns and not c.startswith("p_")])
+    taken = {c.lower() for c in lab.columns if not c.startswith("p_")}
+    feats = feats.drop(*[c for c in feats.columns if c.lower() in taken])
     joined = link.link_by_params(feats, lab, "stem", "Run", [f"p_{p}" for p in PARAMS], "seq")
     targets = [l.target for l in labels if l.role == "target"]
     hit = joined.where(F.col("match_kind") != "none").where(gates.has_any(*targets))

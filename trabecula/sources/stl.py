@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import quote, unquote
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,9 +37,12 @@ def check_stl(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _open(path: str):
+    """File opened on whatever store its path names; Spark gives paths unescaped."""
     from pyarrow import fs
-    system, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
-    return system.open_input_file(name)
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    system, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_file(unquote(name))
 
 
 def _ascii_triangles(raw: bytes) -> np.ndarray:
@@ -47,15 +52,15 @@ def _ascii_triangles(raw: bytes) -> np.ndarray:
 
 
 def _read_part(path: str, length: int, first: int, count: int) -> np.ndarray | None:
-    """Triangles of one slice of a file; None when the slice lies beyond an ASCII file's single slice."""
+    """Triangles of one slice of a file; None for the later slices of a file that is not plain binary."""
     with _open(path) as f:
         head = f.read(HEADER)
         stated = int.from_bytes(head[80:84], "little") if len(head) == HEADER else -1
         if length != HEADER + RECORD * stated:
-            if head[:5].lower() != b"solid":
-                raise ValueError("length does not fit the triangle count")
             if first:
                 return None
+            if head[:5].lower() != b"solid":
+                raise ValueError("length does not fit the triangle count")
             f.seek(0)
             return _ascii_triangles(f.read())
         f.seek(HEADER + RECORD * first)
@@ -82,8 +87,8 @@ def read_triangles(files: DataFrame, chunk: int = CHUNK_TRIANGLES) -> DataFrame:
     """(path, tri_id, v0, v1, v2, error) of the usable files. A file is cut into slices that separate tasks read."""
     ok = files.where(F.col("status") == "OK").select("path", "length")
     last = F.greatest(F.floor((F.col("length") - HEADER - 1) / (RECORD * chunk)), F.lit(0)).cast("long")
-    parts = ok.select("path", "length", (F.explode(F.sequence(F.lit(0).cast("long"), last)) * chunk).alias("first"),
-                      F.lit(chunk).cast("long").alias("count"))
+    parts = ok.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+    parts = parts.select("path", "length", (F.col("part") * chunk).alias("first"), F.lit(chunk).cast("long").alias("count"))
     parts = parts.repartition("path", "first")
     rows = parts.mapInPandas(_decode, "path string, tri_id long, v array<double>, error string")
     def point(i: int) -> Column:
