@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 AREAS = ("linkage", "versions", "quality", "scoring", "fitting", "search", "parsing", "tensors", "meshes", "clouds",
-         "folds", "learning", "files", "streams")
+         "folds", "learning", "files", "streams", "datasets")
 
 
 def load() -> None:

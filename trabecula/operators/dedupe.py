@@ -58,7 +58,7 @@ def number_versions(new: DataFrame, master: DataFrame, run: str, order: list[str
     return placed.withColumn("Version", F.concat(F.lit("v"), n.cast("string"))).drop("__pos", "n_prior")
 
 
-def ranked(df: DataFrame, order: list[Column], bucket: Column, keys: list[str] = (), out: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, order: list[Column], bucket: Column | None = None, keys: list[str] = (), out: str = "rank") -> DataFrame:
     """Rank 1..n over the whole table (or per key) without one task sorting it all."""
     return running_total(df, list(keys), order, bucket, out=out)
 
@@ -82,7 +82,7 @@ def first_per_value(df: DataFrame, value: str, seq: str) -> DataFrame:
 def unique_labels(runs: DataFrame, run: str) -> DataFrame:
     """W15: 'seed N' labels; repeats get ' (2)', ' (3)' in run order. One row per run."""
     lab = runs.select(run).distinct().withColumn("__l", seed_label(run))
-    placed = running_total(lab, ["__l"], [run], F.substring(run, 1, 8), out="__n")
+    placed = running_total(lab, ["__l"], [run], None, out="__n")
     suffix = F.when(F.col("__n") > 1, F.concat(F.lit(" ("), F.col("__n").cast("string"), F.lit(")"))).otherwise(F.lit(""))
     return placed.select(run, F.concat("__l", suffix).alias("label"))
 

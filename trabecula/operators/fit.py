@@ -12,6 +12,12 @@ from trabecula.operators.ordered import keep_one
 MIN_POINTS = 3
 
 
+def _with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Every row with the columns of a one-row table, read once as a scalar subquery."""
+    row = one.select(F.struct(*one.columns).alias("row")).scalar()
+    return df.withColumns({c: row[c] for c in one.columns})
+
+
 def power_fit(df: DataFrame, x: str, y: str, keys: list[str] = (), min_points: int = MIN_POINTS) -> DataFrame:
     """y = C x^n by least squares in logs, R2 in linear space. Keys with too few positive points drop out."""
     keys = list(keys)
@@ -21,8 +27,7 @@ def power_fit(df: DataFrame, x: str, y: str, keys: list[str] = (), min_points: i
     fit = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.regr_slope(ly, lx).alias("exponent"),
                                  F.exp(F.regr_intercept(ly, lx)).alias("coefficient"))
     fit = fit.where((F.col("n_points") >= min_points) & F.col("exponent").isNotNull())
-    joined = null_safe_join(pts, fit, keys) if keys else pts.withColumns(
-        {c: fit.select(c).scalar() for c in ("n_points", "exponent", "coefficient")}).where(F.col("exponent").isNotNull())
+    joined = null_safe_join(pts, fit, keys) if keys else _with_row(pts, fit).where(F.col("exponent").isNotNull())
     err = F.col("__y") - F.col("coefficient") * F.pow("__x", "exponent")
     out = joined.groupBy(*keys, "n_points", "exponent", "coefficient").agg(
         F.sum(err * err).alias("__sse"), (F.var_pop("__y") * F.count("__y")).alias("__sst"),
@@ -50,10 +55,7 @@ def line_fit(df: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
     pts = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).dropna(subset=["__x", "__y"])
     fit = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_points"), F.regr_slope("__y", "__x").alias("slope"),
                                  F.regr_intercept("__y", "__x").alias("intercept"))
-    if keys:
-        j = null_safe_join(pts, fit, keys)
-    else:
-        j = pts.withColumns({c: fit.select(c).scalar() for c in ("n_points", "slope", "intercept")})
+    j = null_safe_join(pts, fit, keys) if keys else _with_row(pts, fit)
     resid = F.abs(F.col("slope") * F.col("__x") + F.col("intercept") - F.col("__y"))
     return j.groupBy(*keys, "n_points", "slope", "intercept").agg(F.max(resid).alias("worst_residual"))
 
@@ -94,8 +96,8 @@ def by_fold_change(effects: DataFrame) -> DataFrame:
 
 def convergence(slice_rows: DataFrame, fit: DataFrame, size: str, modulus: str, rho: str, es: float, extra: list[str] = ()) -> DataFrame:
     """Measured over predicted modulus along the size slice; `fit` is one law."""
-    c, n = fit.select("coefficient").scalar(), fit.select("exponent").scalar()
-    pred = c * F.pow(F.col(rho), n) * es
+    law = fit.select(F.struct("coefficient", "exponent").alias("law")).scalar()
+    pred = law["coefficient"] * F.pow(F.col(rho), law["exponent"]) * es
     return slice_rows.select(size, rho, modulus, *extra, pred.alias("predicted"), ratio(F.col(modulus), pred).alias("ratio"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +43,8 @@ def fold_map(df: DataFrame, key: str, n_folds: int) -> DataFrame:
     """
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
     hist = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()
-    ends = sizes.agg(F.min(key), F.max(key)).first()
-    shared = len(os.path.commonprefix([str(e) for e in ends])) if ends[0] is not None else 0
     phases = df.sparkSession.createDataFrame(balance_phases([(r["size"], r["n"]) for r in hist], n_folds), PHASE_SCHEMA)
-    placed = running_total(sizes, ["size"], [key], F.substring(key, shared + 1, 4), out="pos")
+    placed = running_total(sizes, ["size"], [key], None, out="pos")
     placed = placed.join(phases.withColumnRenamed("size", "__size"),
                          (F.col("size") == F.col("__size")) & (F.col("pos") - 1 >= F.col("first")) & (F.col("pos") - 1 < F.col("last")))
     turn = ((F.col("pos") - 1 - F.col("first")) % F.size("folds")).cast("int")

@@ -9,8 +9,9 @@ from trabecula.functions.core import col, null_safe_join, number, order_bucket,
 from trabecula.functions.names import strip_suffix
 from trabecula.operators.ordered import interval_join, keep_one, neighbours
 
-# Share of unmatched rows above which a join is refused; suffix an alias may carry.
+# Share of unmatched rows above which a join is refused, slack of a measured range, suffix an alias may carry.
 MAX_UNMATCHED = 0.20
+RANGE_SLACK = 1e-9
 ALIAS_SUFFIX = " Generator"
 
 
@@ -166,10 +167,10 @@ def novel_range(plan: DataFrame, built: DataFrame, x: str, step: float, keys: li
     return plan.join(b, cond, "left_anti")
 
 
-def _span_width(spans: DataFrame, lo: str, hi: str) -> Column:
-    """Bucket width at which disjoint spans cover about as many buckets as there are spans."""
-    w = spans.agg(((F.max(hi) - F.min(lo)) / F.count(F.lit(1))).alias("w")).scalar()
-    return F.coalesce(F.when(w > 0, w), F.lit(1.0))
+def _span_width(spans: DataFrame, lo: str, hi: str) -> float:
+    """Bucket width at which disjoint spans cover about as many buckets as there are spans (one-row result)."""
+    w = spans.agg(((F.max(hi) - F.min(lo)) / F.count(F.lit(1))).alias("w")).first()["w"]
+    return w if w and w > 0 else 1.0
 
 
 def nearest(targets: DataFrame, x: str, lookup: DataFrame, value: str, carry: list[str] = (),
@@ -182,13 +183,11 @@ def nearest(targets: DataFrame, x: str, lookup: DataFrame, value: str, carry: li
     uniq = keep_one(lookup.select(*names).where(F.col(value).isNotNull()), [value], [value])
     pairs = neighbours(uniq, [], [value], names, order_bucket(value))
     mid = pairs.select(F.col(f"cur.{value}").alias("__lo"), F.col(f"nxt.{value}").alias("__hi"), "cur", "nxt")
-    w = F.lit(float(width)) if width else _span_width(mid, "__lo", "__hi")
-    got = interval_join(targets, x, mid, "__lo", "__hi", w, closed="left", how="left")
+    got = interval_join(targets, x, mid, "__lo", "__hi", width or _span_width(mid, "__lo", "__hi"), closed="left", how="left")
     near = F.when(F.col(x) - F.col("__lo") <= F.col("__hi") - F.col(x), F.col("cur")).otherwise(F.col("nxt"))
     struct = F.struct(*names)
-    first, last = uniq.agg(F.min_by(struct, value)).scalar(), uniq.agg(F.max_by(struct, value)).scalar()
-    top = uniq.agg(F.max(value)).scalar()
-    pick = F.when(F.col("__lo").isNotNull(), near).when(F.col(x) >= top, last).otherwise(first)
+    ends = uniq.agg(F.struct(F.min_by(struct, value).alias("first"), F.max_by(struct, value).alias("last")).alias("ends")).scalar()
+    pick = F.when(F.col("__lo").isNotNull(), near).when(F.col(x) >= ends["last"][value], ends["last"]).otherwise(ends["first"])
     got = got.withColumn("__pick", F.when(F.col(x).isNotNull(), pick))
     return got.select(*targets.columns, *[F.col(f"__pick.{n}").alias(f"near_{n}") for n in names])
 
@@ -197,19 +196,20 @@ def invert_curve(points: DataFrame, rho: str, curve: DataFrame, t: str = "t", vf
                  keys: list[str] = (), width: float | None = None) -> DataFrame:
     """T at which the measured curve reaches rho, linear between neighbours.
 
-    Requests outside the measured range keep a null t and in_range = false.
+    Requests outside the measured range (beyond RANGE_SLACK) keep a null t and in_range = false.
     """
     keys = list(keys)
     pairs = neighbours(curve, keys, [vf, t], [vf, t], order_bucket(vf))
-    spans = pairs.select(*keys, F.col(f"cur.{vf}").alias("__v0"), F.col(f"nxt.{vf}").alias("__v1"),
-                         F.col(f"cur.{t}").alias("__t0"), F.col(f"nxt.{t}").alias("__t1")).where("__v1 > __v0")
-    w = F.lit(float(width)) if width else _span_width(spans, "__v0", "__v1")
-    got = interval_join(points, rho, spans, "__v0", "__v1", w, keys=keys, closed="both", how="left")
+    names = ["__v0", "__v1", "__t0", "__t1"]
+    spans = pairs.select(*keys, *[F.col(c).alias(n) for c, n in zip((f"cur.{vf}", f"nxt.{vf}", f"cur.{t}", f"nxt.{t}"), names)]).where("__v1 > __v0")
+    # Half-open spans never share a point; a sliver at each end holds the ends themselves.
+    ends = curve.groupBy(*keys).agg(F.min(vf).alias("lo"), F.min_by(t, vf).alias("t_lo"), F.max(vf).alias("hi"), F.max_by(t, vf).alias("t_hi"))
+    def sliver(a, b, at):
+        return F.struct(a.alias("__v0"), b.alias("__v1"), F.col(at).alias("__t0"), F.col(at).alias("__t1"))
+    tips = ends.select(*keys, F.inline(F.array(sliver(F.col("lo") - RANGE_SLACK, F.col("lo"), "t_lo"), sliver(F.col("hi"), F.col("hi") + RANGE_SLACK, "t_hi"))))
+    got = interval_join(points, rho, spans.unionByName(tips), "__v0", "__v1", width or _span_width(spans, "__v0", "__v1"), keys=keys, how="left")
     solved = F.col("__t0") + (F.col(rho) - F.col("__v0")) / (F.col("__v1") - F.col("__v0")) * (F.col("__t1") - F.col("__t0"))
-    got = got.withColumn("t_solved", solved)
-    # A request on a shared end lies in two spans; both give the same t.
-    best = keep_one(got.select(*points.columns, "t_solved"), points.columns, ["t_solved"], "max")
-    return best.withColumn("in_range", F.col("t_solved").isNotNull())
+    return got.select(*points.columns, solved.alias("t_solved")).withColumn("in_range", F.col("t_solved").isNotNull())
 
 
 def parameter_grid(centres: DataFrame, axes: dict[str, tuple[Column, Column, int]], digits: int = 2) -> DataFrame:

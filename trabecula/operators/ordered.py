@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trabecula.functions.core import any_of, col, null_safe_join, order_bucket
+from trabecula.session import cut_lineage
 
 
 def keep_one(df: DataFrame, keys: list[str], order: list[str | Column], prefer: str = "min") -> DataFrame:
@@ -23,13 +24,20 @@ def keep_one(df: DataFrame, keys: list[str], order: list[str | Column], prefer:
     return best.select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str | Column], bucket: Column,
+def running_total(df: DataFrame, keys: list[str], order: list[str | Column], bucket: Column | None,
                   value: str | Column | None = None, out: str = "running", total: str | None = None) -> DataFrame:
     """Inclusive running sum of `value` per key in `order`; `bucket` must not decrease along `order`.
 
-    With the default value it is the row position 1..n. `total` adds the whole-group sum.
+    With the default value it is the row position 1..n. `total` adds the whole-group sum. Give a bucket where
+    one is known to spread the rows (hashes, ids, stamps). Without one the rows are range-partitioned on keys and
+    order and checkpointed, which also splits a group whose leading order value is the same for most rows.
     """
-    rows = df.withColumn("__b", bucket).withColumn("__v", F.lit(1) if value is None else col(value))
+    if bucket is None:
+        ranged = df.repartitionByRange(*[F.col(k) for k in keys], *[col(c) for c in order])
+        rows = cut_lineage(ranged.withColumn("__b", F.spark_partition_id()))
+    else:
+        rows = df.withColumn("__b", bucket)
+    rows = rows.withColumn("__v", F.lit(1) if value is None else col(value))
     bk = [*keys, "__b"]
     by_bucket = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.groupBy(*bk).agg(F.sum("__v").alias("__s"))

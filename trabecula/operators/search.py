@@ -14,15 +14,24 @@ from trabecula.operators.ordered import keep_one, neighbours
 TIE_BAND, CONTEXT_ROWS, MIN_CALIBRATION, REPLAY_TOL, REBUILD_TOL = 6.6, 20, 3, 0.01, 2.0
 
 
+def common_range(df: DataFrame, family: str, value: str) -> Column:
+    """struct(lo, hi) in which every family has rows, as a scalar subquery."""
+    per = df.groupBy(family).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return per.agg(F.struct(F.max("lo").alias("lo"), F.min("hi").alias("hi")).alias("span")).scalar()
+
+
+def inside_common_range(lo: str | Column, hi: str | Column, target: float) -> Column:
+    """A22 (gate 1): the ranges overlap and the target lies in the overlap."""
+    lo, hi = col(lo), col(hi)
+    return F.coalesce((lo < hi) & (lo <= target) & (hi >= target), F.lit(False))
+
+
 def domain_overlap(df: DataFrame, family: str, value: str, target: float) -> DataFrame:
     """A22 (gate 1): range in which every family has rows, rows inside it, and whether the target is."""
-    per = df.groupBy(family).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    span = per.agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
-    one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(value).between(lo, hi)).alias("n_inside"))
-    one = one.withColumns({"lo": lo, "hi": hi})
-    ok = F.coalesce((F.col("lo") < F.col("hi")) & (F.col("lo") <= target) & (F.col("hi") >= target), F.lit(False))
-    return one.withColumn("gate1", ok)
+    span = common_range(df, family, value)
+    one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(value).between(span["lo"], span["hi"])).alias("n_inside"))
+    one = one.withColumns({"lo": span["lo"], "hi": span["hi"]})
+    return one.withColumn("gate1", inside_common_range("lo", "hi", target))
 
 
 def rank_by_distance(df: DataFrame, value: str, target: float, lo: str | Column, hi: str | Column) -> DataFrame:
@@ -54,8 +63,7 @@ def rank_candidates(df: DataFrame, value: str, target: float, secondary: str, go
                     band_pct: float = TIE_BAND, keys: list[str] = (), tie: str = "stem") -> DataFrame:
     """Full ranking 1..n over the table (or per key)."""
     rows = tie_order(df, value, target, secondary, goal, band_pct)
-    bucket = F.struct(F.col("__g").alias("g"), F.coalesce(order_bucket("__k"), F.lit(0)).alias("b"))
-    return ranked(rows, [F.col("__g"), F.col("__k"), F.col(tie)], bucket, list(keys)).drop("__g", "__k")
+    return ranked(rows, [F.col("__g"), F.col("__k"), F.col(tie)], keys=list(keys)).drop("__g", "__k")
 
 
 def top_candidates(df: DataFrame, k: int, value: str, target: float, secondary: str, goal: str = "min",

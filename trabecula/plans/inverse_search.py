@@ -19,11 +19,11 @@ def coarse(df: DataFrame, family: str, value: str, predicted: str, target: float
 
 def target_answer(df: DataFrame, family: str, value: str, target: float, tie: str) -> DataFrame:
     """Nearest existing row per family for a target, and whether the target lies inside every family's range."""
-    gate1 = search.domain_overlap(df, family, value, target)
-    rows = search.rank_by_distance(df, value, target, gate1.select("lo").scalar(), gate1.select("hi").scalar())
+    span = search.common_range(df, family, value)
+    rows = df.withColumns({"overlap_lo": span["lo"], "overlap_hi": span["hi"]})
+    rows = search.rank_by_distance(rows, value, target, "overlap_lo", "overlap_hi")
     best = search.winners(rows, [family], tie=tie)
-    return best.withColumns({"gate1": gate1.select("gate1").scalar(), "overlap_lo": gate1.select("lo").scalar(),
-                             "overlap_hi": gate1.select("hi").scalar()})
+    return best.withColumn("gate1", search.inside_common_range("overlap_lo", "overlap_hi", target))
 
 
 def density_thickness_plan(centres: DataFrame, built: DataFrame, d_span: float, t_span: float, nd: int, nt: int) -> DataFrame:
@@ -47,7 +47,7 @@ def density_plan(centres: DataFrame, curve: DataFrame, built: DataFrame, span: f
     lo, hi = F.greatest("lo", F.col("rho") - span), F.least("hi", F.col("rho") + span)
     n = F.greatest(F.lit(2), (F.rint((hi - lo) / step) + 1).cast("int"))
     line = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.bround(lo + (hi - lo) * i / (n - 1), 4))
-    plan = c.where(hi >= lo).select(*keys, F.explode(F.array_distinct(line)).alias("rho"))
+    plan = c.where(hi >= lo).select(*keys, F.explode(line).alias("rho")).distinct()
     fresh = link.novel_range(plan, built, "rho", step, keys)
     return link.invert_curve(fresh, "rho", curve, "t", "vf", keys)
 
