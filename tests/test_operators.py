@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trabecula.functions import gates, names, units
 from trabecula.functions.core import order_bucket
 from trabecula.operators import dedupe, fit, folds, link, quality, score, search, setops
+from trabecula.sources import text_files
 from trabecula.operators.ordered import exact_quantiles, interval_join, running_total
 
 
@@ -255,6 +256,17 @@ def test_merge_guard(spark):
     assert set(g.values()) == {"ok"}
 
 
+def test_column_difference(spark):
+    a, b = spark.range(1).selectExpr("1 AS x", "2 AS y"), spark.range(1).selectExpr("1 AS x", "3 AS z")
+    assert rows(setops.column_difference(a, b), "column", "side") == [("x", "shared"), ("y", "left only"), ("z", "right only")]
+
+
+def test_outputs_later_entry_wins(spark):
+    text = '[{"name":"Average_Mn_K","value":1.5},{"name":"Average_Mn_K","value":{"val":2.5}},{"name":"Other","value":"x"},{"name":"flag","value":true}]'
+    df = spark.createDataFrame([("r", text), ("bad", "{")], "run string, value string")
+    assert rows(text_files.read_outputs(df, ["run"]), "quantity", "value") == [("average_mn_k", 2.5), ("gausscurv", 2.5)]
+
+
 def test_keep_first_prefers_into(spark):
     a = spark.createDataFrame([("E", "s", "m", 1.0)], "target string, split string, model string, R2 double")
     b = spark.createDataFrame([("E", "s", "m", 2.0), ("E", "t", "m", 3.0)], a.schema)

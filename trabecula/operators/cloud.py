@@ -33,7 +33,7 @@ def sample_surface(tri: DataFrame, n: int, seed: int) -> DataFrame:
     area (in whole units, so that sums are exact) which positions fall on it, so points come out of the triangle rows with no join per point. Indices are
     scattered, so that the first m points cover the whole surface too.
     """
-    t = with_faces(tri).withColumn("share", F.rint(F.col("area") * AREA_UNITS).cast("long")).where(F.col("share") > 0)
+    t = with_faces(tri).withColumn("share", F.rint(F.col("area") * AREA_UNITS).cast("long"))
     t = running_total(t, ["mesh_id"], ["tri_id"], F.floor(F.col("tri_id") / STEP), "share", out="upto", total="total")
     low = F.col("upto") - F.col("share")
     first = F.greatest(F.floor(low / F.col("total") * n) - 1, F.lit(0))
@@ -41,7 +41,7 @@ def sample_surface(tri: DataFrame, n: int, seed: int) -> DataFrame:
     p = t.withColumn("k", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     at = (F.col("k") + hash_uniform(seed, "mesh_id", "k", F.lit("at"))) / n * F.col("total")
     end = F.col("upto") >= F.col("total")
-    p = p.withColumn("__at", at).where((F.col("__at") >= low) & ((F.col("__at") < F.col("upto")) | end))
+    p = p.withColumn("__at", at).where((F.col("share") > 0) & (F.col("__at") >= low) & ((F.col("__at") < F.col("upto")) | end))
     r = F.sqrt(hash_uniform(seed, "mesh_id", "k", F.lit("r")))
     s = hash_uniform(seed, "mesh_id", "k", F.lit("s"))
     weights = (1.0 - r, r * (1.0 - s), r * s)

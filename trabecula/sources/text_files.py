@@ -84,34 +84,35 @@ def quantity_of(name: Column) -> Column:
             .when(n.contains("rel") | n.contains("rho"), "rho_rel"))
 
 
-def scalar_name(name: Column) -> Column:
-    """Quantity of a plain named output; only the normalised curvature names count."""
+def scalar_names(name: Column) -> Column:
+    """Names a plain output answers to: its own, folded, and its quantity (only normalised curvature names count)."""
     n = F.replace(F.replace(F.trim(name), F.lit("ρ"), F.lit("rho")), F.lit("σ"), F.lit("sigma"))
     n = F.replace(F.lower(n), F.lit(" "), F.lit("_"))
-    return (F.when(n.contains("mn_k") | n.contains("gausscurv"), "gausscurv")
-            .when(n.contains("mn_h") | n.contains("meancurv"), "meancurv").otherwise(n))
+    known = F.when(n.contains("mn_k") | n.contains("gausscurv"), "gausscurv").when(n.contains("mn_h") | n.contains("meancurv"), "meancurv")
+    return F.array_distinct(F.array_compact(F.array(F.nullif(n, F.lit("")), known)))
 
 
 def read_outputs(files: DataFrame, key: list[str], text: str = "value") -> DataFrame:
-    """(key, quantity, value) from solver output JSON, tables and scalars, as VARIANT.
+    """(key, quantity, value) from solver output JSON, tables and scalars, as VARIANT; a later entry wins.
 
     A file that names nothing but holds a number gives it as rho_rel.
     """
     v = files.select(*key, F.try_parse_json(F.col(text)).alias("v"))
-    entries = v.select(*key, F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("e"))
-    kind = F.try_variant_get("e", "$.type", "string")
-    cols = entries.where(kind == "table").select(*key, F.explode(F.try_variant_get("e", "$.value.table.columns", "array<variant>")).alias("c"))
-    table = cols.select(*key, quantity_of(F.coalesce(F.try_variant_get("c", "$.name", "string"), F.lit(""))).alias("quantity"),
+    entries = v.select(*key, F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("at", "e"))
+    kind = F.coalesce(F.try_variant_get("e", "$.type", "string"), F.lit(""))
+    cols = entries.where(kind == "table").select(*key, "at", F.posexplode(F.try_variant_get("e", "$.value.table.columns", "array<variant>")).alias("sub", "c"))
+    table = cols.select(*key, "at", "sub", quantity_of(F.coalesce(F.try_variant_get("c", "$.name", "string"), F.lit(""))).alias("quantity"),
                         F.try_variant_get("c", "$.rows[0]", "string").try_cast("double").alias("value"))
     shapes = ["$.value.val", "$.value.value", "$.value.values", "$.value.values[0]", "$.value.val[0]", "$.value[0]", "$.value"]
+
     def num(p):
         raw = F.try_variant_get("e", p, "variant")
         return F.when(F.schema_of_variant(raw).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT|SMALLINT|TINYINT)"), F.try_variant_get("e", p, "double"))
-    scalars = entries.where(F.coalesce(kind, F.lit("")) != "table").select(
-        *key, scalar_name(F.coalesce(F.try_variant_get("e", "$.name", "string"), F.lit(""))).alias("quantity"),
+    scalars = entries.where(kind != "table").select(
+        *key, "at", F.lit(0).alias("sub"), F.explode(scalar_names(F.coalesce(F.try_variant_get("e", "$.name", "string"), F.lit("")))).alias("quantity"),
         F.coalesce(*[num(p) for p in shapes]).alias("value"))
-    found = table.unionByName(scalars).where(F.col("quantity").isNotNull() & (F.col("quantity") != "") & F.col("value").isNotNull())
-    found = found.groupBy(*key, "quantity").agg(F.max("value").alias("value"))
+    found = table.unionByName(scalars).where(F.col("quantity").isNotNull() & F.col("value").isNotNull())
+    found = found.groupBy(*key, "quantity").agg(F.max_by("value", F.struct("at", "sub")).alias("value"))
     nameless = files.join(found.select(*key).distinct(), key, "left_anti")
     first = F.regexp_extract(F.col(text), r'"(?:val|value|values)"\s*:\s*\[?\s*(-?[0-9][0-9.eE+-]*)', 1).try_cast("double")
     rest = nameless.select(*key, F.lit("rho_rel").alias("quantity"), first.alias("value")).where(F.col("value").isNotNull())

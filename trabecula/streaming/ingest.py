@@ -22,7 +22,8 @@ def append_batch(batch: DataFrame, master_path: str) -> None:
     spark = batch.sparkSession
     rows = keep_one(batch, KEYS, ["Status"])
     if table_exists(spark, master_path):
-        master = read_master(spark, master_path)
+        master = read_master(spark, master_path).select(*KEYS, "Status")
+        master = master.join(rows.select("Run").distinct(), "Run", "left_semi")
         rows = null_safe_join(rows, master.select(*KEYS), KEYS, "left_anti")
     else:
         master = rows.select("Run", "Status").limit(0)
