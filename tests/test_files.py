@@ -4,7 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import CUBE, triangles
+from tests.conftest import CUBE
 from trabecula.operators import link, mesh
 from trabecula.sources import inventory, sinks, stl, tables, text_files
 from trabecula.streaming import ingest

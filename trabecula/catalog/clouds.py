@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trabecula.catalog.registry import query
-from trabecula.catalog.shapes import CORNER, FACE, TRI, meshes
+from trabecula.catalog.shapes import FACE, TRI, meshes
 from trabecula.functions import vec
 from trabecula.operators import cloud, mesh
 

@@ -59,7 +59,11 @@ def meshes(part: DataFrame) -> DataFrame:
     tri = (F.col("body") * FACES_PER_BODY + F.col("n")).cast("long").alias("tri_id")
     t = t.select("mesh_id", tri, F.col("pa").alias("v0"), F.when(flip, F.col("pc")).otherwise(F.col("pb")).alias("v1"),
                  F.when(flip, F.col("pb")).otherwise(F.col("pc")).alias("v2"))
-    return t.repartition(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mesh_id")
+    spark = part.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.sparkContext.master.startswith("local"):
+        n = min(n, 2 * spark.sparkContext.defaultParallelism)
+    return t.repartition(n, "mesh_id")
 
 
 def _sql() -> str:

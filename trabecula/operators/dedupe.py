@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trabecula.functions.core import any_of, col
-from trabecula.functions.gates import usable
 from trabecula.functions.names import seed_label, strip_suffix
 from trabecula.operators.ordered import keep_one, running_total
 
