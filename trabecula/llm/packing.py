@@ -47,7 +47,7 @@ class WordIds:
     def learn(self, words: set[str]) -> None:
         known = self.known
         parts = {w: (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w, "") for w in words}
-        new = list({p for pair in parts.values() for p in pair if p} - known.keys())
+        new = [p for p in {p for pair in parts.values() for p in pair} if p not in known]
         for word, enc in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
             known[word] = np.asarray(enc.ids, self.wide).tobytes()
         for w, (head, mark) in parts.items():
@@ -65,7 +65,7 @@ class WordIds:
                 if len(known) > KEPT_WORDS:
                     known.clear()
                     known[""] = b""
-                self.learn(set(words) - known.keys())
+                self.learn({w for w in words if w not in known})
                 ids = b"".join(map(known.__getitem__, words))
             yield np.frombuffer(ids, self.wide).astype("<u4")
 

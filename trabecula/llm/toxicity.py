@@ -23,10 +23,12 @@ from trabecula.llm.common import DOCUMENT_COLUMNS, cut, table
 MAX_LABELLED = 20_000
 #: Lexicon entries kept at most, and the least G statistic and precision of an entry.
 MAX_ENTRIES, MIN_G, MIN_PRECISION = 256, 18.0, 0.5
-LEXICON_VOTERS = 12
-VOTERS = LEXICON_VOTERS + 4
-STEM = 4
-#: Chance that a training label is right.
+#: Lexicon groups of precise and of weaker entries; a group votes at one find and again at several.
+STRONG, WEAK, PRECISE = 4, 2, 0.9
+GROUPS = STRONG + WEAK
+VOTERS = 2 * GROUPS + 4
+STEM, DENSE, DENSE_FEATURES = 4, 5, 5
+#: Chance that a training label is right, as the label model takes it.
 LABEL_TRUST = 0.98
 WORD = re.compile(r"[^\W\d_]+")
 MARKS = re.compile(r"[!?*#$%&]{2,}")
@@ -53,8 +55,8 @@ def parts(text: str) -> Iterator[str]:
 
 
 def beginnings(word: str) -> list[str]:
-    """Lexicon keys of a word: the word and its first four and five letters."""
-    return [f"={word}", *(f"{word[:n]}-" for n in (STEM, STEM + 1) if len(word) > n)]
+    """Lexicon keys of a word: the word and its first four to six letters."""
+    return [f"={word}", *(f"{word[:n]}-" for n in range(STEM, STEM + 3) if len(word) > n)]
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int | None) -> DataFrame:
@@ -66,8 +68,8 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int | None) -> Data
     return docs.join(known, "doc_id")
 
 
-def learn_lexicon(train: DataFrame) -> list[str]:
-    """Entries that mark toxic rows, best first; documents are counted, not repeats."""
+def learn_lexicon(train: DataFrame) -> list[tuple[str, float]]:
+    """Entries that mark toxic rows and their precision, best first; documents are counted, not repeats."""
     def run(batches):
         for b in batches:
             seen = (Counter(), Counter())
@@ -92,48 +94,56 @@ def learn_lexicon(train: DataFrame) -> list[str]:
 
     g = 2 * (term(F.col("t"), df * base) + term(F.col("c"), df * (1 - base)) + term(n_t - F.col("t"), (n - df) * base) + term(n_c - F.col("c"), (n - df) * (1 - base)))
     best = seen.withColumn("g", g).where((F.col("t") >= df * MIN_PRECISION) & (F.col("t") > df * base) & (F.col("g") >= MIN_G))
-    return [r["entry"] for r in best.orderBy(F.col("g").desc(), "entry").limit(MAX_ENTRIES).collect()]
+    return [(r["entry"], r["t"] / (r["t"] + r["c"])) for r in best.orderBy(F.col("g").desc(), "entry").limit(MAX_ENTRIES).collect()]
 
 
-def voter_of(lexicon: list[str]) -> list[int]:
-    """Entries with one stem share a voter; stems are dealt by rank."""
+def group_of(lexicon: list[tuple[str, float]]) -> list[int]:
+    """Entries with one stem share a group; stems are dealt by rank, precise ones apart from weaker ones."""
     stems: dict[str, int] = {}
-    return [stems.setdefault(e.strip("=-")[:STEM], len(stems)) % LEXICON_VOTERS for e in lexicon]
+    for e, precision in lexicon:
+        stem = e.strip("=-")[:STEM]
+        if stem not in stems:
+            strong = precision >= PRECISE
+            n = sum((g < STRONG) == strong for g in stems.values())
+            stems[stem] = n % STRONG if strong else STRONG + n % WEAK
+    return [stems[e.strip("=-")[:STEM]] for e, _ in lexicon]
 
 
-def evidence(docs: DataFrame, keys: list[str], lexicon: list[str]) -> DataFrame:
-    """`keys`, votes (bits), entries (lexicon positions found), dense (pattern features) of each whole text; null: empty."""
+def evidence(docs: DataFrame, keys: list[str], lexicon: list[tuple[str, float]]) -> DataFrame:
+    """`keys`, votes (bits), entries (lexicon positions found) with their counts, dense (pattern features) of each whole text; null: empty."""
     rows = docs.select(*keys, F.coalesce(F.col("text"), F.lit("")).alias("__text"))
-    schema = rows.drop("__text").select("*", F.lit(0).alias("votes"), F.array(F.lit(0)).alias("entries"), F.array(F.lit(0.0)).alias("dense")).schema
-    at, voters = {e: i for i, e in enumerate(lexicon)}, voter_of(lexicon)
-    stems = frozenset(e.strip("=-")[:STEM] for e in lexicon)
-
-    def one(text: str) -> tuple[int, list[int], list[float]]:
-        low, words, n, marks, upper = text.lower(), set(), 0, 0, 0
-        for part in parts(low):
-            found = WORD.findall(part)
-            n += len(found)
-            words.update(found)
+    schema = rows.drop("__text").select("*", F.lit(0).alias("votes"), F.array(F.lit(0)).alias("entries"), F.array(F.lit(0)).alias("counts"), F.array(F.lit(0.0)).alias("dense")).schema
+    at, groups = {e: i for i, (e, _) in enumerate(lexicon)}, group_of(lexicon)
+    stems = frozenset(e.strip("=-")[:STEM] for e in at)
+
+    def one(text: str) -> tuple[int, list[int], list[int], list[float]]:
+        words, marks, upper = Counter(), 0, 0
         for part in parts(text):
+            words.update(WORD.findall(part.lower()))
             marks += sum(1 for _ in MARKS.finditer(part))
             upper += len(CAPITAL.findall(part))
-        upper /= max(len(text), 1)
-        hit = [w for w in words if w[:STEM] in stems]
-        entries = sorted({at[k] for w in hit for k in beginnings(w) if k in at})
-        hits = sum(any(k in at for k in beginnings(w)) for w in hit)
-        density = 1000 * hits / max(n, 1)
+        n, upper = max(words.total(), 1), upper / max(len(text), 1)
+        found, per_group, hits = Counter(), [0] * GROUPS, 0
+        for w in words:
+            if w[:STEM] in stems and (own := [at[k] for k in beginnings(w) if k in at]):
+                hits += words[w]
+                per_group[groups[own[0]]] += words[w]
+                for e in own:
+                    found[e] += words[w]
         votes = 0
-        for e in entries:
-            votes |= 1 << voters[e]
-        for i, fires in enumerate((hits >= 3, density >= 5, upper > 0.3, marks >= 3)):
-            votes |= fires << (LEXICON_VOTERS + i)
-        return votes, entries, [float(np.log1p(hits)), float(np.log1p(density)), upper, float(np.log1p(1000 * marks / max(n, 1)))]
+        for g, c in enumerate(per_group):
+            votes |= (c > 0) << 2 * g | (c > 1 and 1000 * c >= DENSE * n) << 2 * g + 1
+        for i, fires in enumerate((hits > 3, 1000 * hits >= 2 * n, upper > 0.3, 1000 * marks > 50 * n)):
+            votes |= fires << 2 * GROUPS + i
+        entries = sorted(found)
+        dense = [hits, 1000 * hits / n, n, 1000 * marks / n]
+        return votes, entries, [found[e] for e in entries], [*map(float, np.log1p(dense)), upper]
 
     def run(batches):
         for b in batches:
-            out = list(zip(*map(one, b.column("__text").to_pylist()))) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], pa.array(out[0], pa.int32()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.float64()))],
-                                             names=[*keys, "votes", "entries", "dense"])
+            out = list(zip(*map(one, b.column("__text").to_pylist()))) or [(), (), (), ()]
+            kinds = pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], *[pa.array(x, t) for x, t in zip(out, kinds)]], names=[*keys, "votes", "entries", "counts", "dense"])
 
     return rows.mapInArrow(run, schema)
 
@@ -197,9 +207,10 @@ def fit_label_model(counts: DataFrame, rounds: int = 12) -> LabelModel:
     votes, y, n = pdf["votes"].to_numpy(np.int64), pdf["y"].to_numpy(np.int64), pdf["n"].to_numpy(float)
     bits = ((votes[:, None] >> np.arange(VOTERS)) & 1).astype(float)
     sure = np.where(y == 1, LABEL_TRUST, 1 - LABEL_TRUST)
-    fires = bits[:, :LEXICON_VOTERS].any(1)
-    first = np.where(y >= 0, sure, np.where(fires, 0.7, 0.02))
-    model = _maximise(bits, n[:, None] * np.stack([1 - first, first], 1))
+    known = n * (y >= 0)
+    if not known[y == 1].sum() or not known[y == 0].sum():  # no labels of both kinds: begin with what the lexicon says
+        known, sure = n, np.where(bits[:, :2 * GROUPS].any(1), 0.7, 0.02)
+    model = _maximise(bits, known[:, None] * np.stack([1 - sure, sure], 1))
     for _ in range(rounds):
         odds = model.log_odds(votes) + np.where(y >= 0, np.log(sure / (1 - sure)), 0)
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
@@ -207,12 +218,11 @@ def fit_label_model(counts: DataFrame, rounds: int = 12) -> LabelModel:
     return model
 
 
-def _design(entries: list, dense: list, size: int) -> np.ndarray:
-    x = np.zeros((len(entries), size + 5))
-    for i, own in enumerate(entries):
-        x[i, own] = 1
-    if len(dense):
-        x[:, size:size + 4] = np.stack(dense)
+def _design(entries: list, counts: list, dense: list, size: int) -> np.ndarray:
+    x = np.zeros((len(entries), size + DENSE_FEATURES + 1))
+    for i, (own, c) in enumerate(zip(entries, counts)):
+        x[i, own] = np.log1p(c)
+    x[:, size:size + DENSE_FEATURES] = np.stack(dense)
     x[:, -1] = 1
     return x
 
@@ -242,17 +252,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keys: list[str], max_lab
     known = cut(labelled_rows(seen.select("doc_id").distinct(), labels, None))
     with_y = seen.join(known, "doc_id", "left").withColumn("y", F.coalesce("y", F.lit(-1)))
     model = fit_label_model(with_y.groupBy("votes", "y").agg(F.count(F.lit(1)).alias("n")))
-    sample = labelled_rows(seen, labels, max_labelled).select("votes", "entries", "dense", "y").toPandas()
+    sample = labelled_rows(seen, labels, max_labelled).select("votes", "entries", "counts", "dense", "y").toPandas()
     if lexicon and len(sample):
         sure = np.where(sample["y"] == 1, LABEL_TRUST, 1 - LABEL_TRUST)
         odds = model.log_odds(sample["votes"].to_numpy(np.int64)) + np.log(sure / (1 - sure))
-        w = fit_linear(_design(list(sample["entries"]), list(sample["dense"]), len(lexicon)), 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+        w = fit_linear(_design(list(sample["entries"]), list(sample["counts"]), list(sample["dense"]), len(lexicon)), 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
     else:
-        w = np.zeros(len(lexicon) + 5)
+        w = np.zeros(len(lexicon) + DENSE_FEATURES + 1)
         w[-1] = -3.0
     entry_w = F.array(*[F.lit(float(x)) for x in w[:len(lexicon)]], F.lit(0.0))
-    odds = F.lit(float(w[-1])) + F.aggregate("entries", F.lit(0.0), lambda s, e: s + F.get(F.col("__w"), e))
-    for i in range(4):
+    odds = F.lit(float(w[-1])) + F.aggregate(F.arrays_zip("entries", "counts"), F.lit(0.0), lambda s, e: s + F.get(F.col("__w"), e["entries"]) * F.log1p(e["counts"].cast("double")))
+    for i in range(DENSE_FEATURES):
         odds = odds + F.lit(float(w[len(lexicon) + i])) * F.get("dense", F.lit(i))
     score = 1 / (1 + F.exp(-odds))
     return seen.withColumn("__w", entry_w).select(*keys, held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
