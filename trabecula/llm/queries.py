@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trabecula.llm.block_naming import op4_block_naming
+from trabecula.llm.decontamination import op10_qgram_bands
 from trabecula.llm.packing import op2_best_fit_packing
 from trabecula.llm.sharding import op7_virtual_slots
 from trabecula.llm.simhash import op5_simhash_pigeonring
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
     "op7_virtual_slots": op7_virtual_slots,
     "op9_length_histogram": op9_length_histogram,
+    "op10_qgram_bands": op10_qgram_bands,
 }
 
 ORACLES: dict[str, str] = {
