@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from trabecula.llm.block_naming import op4_block_naming
 from trabecula.llm.decontamination import op10_qgram_bands
 from trabecula.llm.packing import op2_best_fit_packing
+from trabecula.llm.pii import op1_skip_chain_crf
 from trabecula.llm.sharding import op7_virtual_slots
 from trabecula.llm.simhash import op5_simhash_pigeonring
 from trabecula.llm.token_counts import op9_length_histogram
 from trabecula.llm.toxicity import op3_weak_supervision
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_skip_chain_crf": op1_skip_chain_crf,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_weak_supervision": op3_weak_supervision,
     "op4_block_naming": op4_block_naming,
