@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trabecula.llm.block_naming import op4_block_naming
+from trabecula.llm.chat import OP6_SQL, op6_typed_parts
 from trabecula.llm.decontamination import op10_qgram_bands
+from trabecula.llm.licences import OP8_SQL, op8_sentence_rules
 from trabecula.llm.packing import op2_best_fit_packing
 from trabecula.llm.pii import op1_skip_chain_crf
 from trabecula.llm.sharding import op7_virtual_slots
@@ -21,12 +23,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_weak_supervision": op3_weak_supervision,
     "op4_block_naming": op4_block_naming,
     "op5_simhash_pigeonring": op5_simhash_pigeonring,
+    "op6_typed_parts": op6_typed_parts,
     "op7_virtual_slots": op7_virtual_slots,
+    "op8_sentence_rules": op8_sentence_rules,
     "op9_length_histogram": op9_length_histogram,
     "op10_qgram_bands": op10_qgram_bands,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_typed_parts": OP6_SQL,
+    "op8_sentence_rules": OP8_SQL,
     "op4_block_naming": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
