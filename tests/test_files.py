@@ -135,3 +135,9 @@ def test_stream_into_versioned_master(spark, tmp_path):
     deliver([("s1", "20260102_10-00_RUN", "OK")])
     got = sorted((r["Run"], r["Batch"][:8], r["Version"]) for r in sinks.read_master(spark, master).collect())
     assert got == [("s1", "20260101", "v1"), ("s1", "20260102", "v2"), ("s1", "20260103", "v3"), ("s2", "20260101", "v1"), ("s2", "20260102", "v1")]
+
+
+def test_usable_row_of_a_repeated_key_wins(spark, tmp_path):
+    rows = spark.createDataFrame([("r", "b", "OK", 1.0), ("r", "b", "ERROR bad", None), ("r", "c", "FAIL", None)], "Run string, Batch string, Status string, x double")
+    kept = {(r.Run, r.Batch): r.Status for r in sinks.append_master(rows, str(tmp_path / "master")).collect()}
+    assert kept == {("r", "b"): "OK", ("r", "c"): "FAIL"}

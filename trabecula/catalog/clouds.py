@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from trabecula.catalog.registry import query
 from trabecula.catalog.shapes import FACE, TRI, meshes
 from trabecula.functions import vec
+from trabecula.functions.core import null_safe_join
 from trabecula.operators import cloud, mesh
 
 _N = 48
+_FULL = 2048
 
 
 def _corners(t):
@@ -58,18 +60,22 @@ def cloud_density_channel(t):
     return cloud.with_density(_corners(t), d, 20).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("density"), 2).alias("density"))
 
 
-@query("cloud_sample_coverage", f"""WITH {TRI}, {FACE}, a AS (SELECT mesh_id, tri_id, {_N} * area / sum(area) OVER (PARTITION BY mesh_id) AS want FROM f)
-SELECT mesh_id, {_N}::BIGINT AS n_points, {_N}::BIGINT AS n_indices, true AS follows_area FROM a GROUP BY 1""")
+@query("cloud_sample_coverage", f"""WITH {TRI}, {FACE}, a AS (SELECT mesh_id, tri_id, sum(area) OVER (PARTITION BY mesh_id) AS total FROM f)
+SELECT mesh_id, {_FULL}::BIGINT AS n_points, {_FULL}::BIGINT AS n_indices, true AS follows_area, round(ln(max(total)) + ln(10) * 12 * (mesh_id % 3 - 1), 6) AS log_area FROM a GROUP BY 1""")
 def cloud_sample_coverage(t):
-    """Each mesh gets exactly n points, and no triangle is off its expected number by more than two."""
-    tri = meshes(t.part)
-    pts = cloud.sample_surface(tri, _N, 11)
+    """Each mesh gets exactly n points at any size, and no triangle is off its expected number by more than two.
+
+    Meshes are scaled by a millionth, one or a million by their number.
+    """
+    factor = F.element_at(F.array(*[F.lit(x) for x in (1e-6, 1.0, 1e6)]), (F.col("mesh_id") % 3 + 1).cast("int"))
+    tri = meshes(t.part).withColumns({v: F.struct(*[(F.col(f"{v}.{a}") * factor).alias(a) for a in vec.AXES]) for v in ("v0", "v1", "v2")})
+    pts = cloud.sample_surface(tri, _FULL, 11)
     per = pts.groupBy("mesh_id", "tri_id").agg(F.count(F.lit(1)).alias("got"))
     area = mesh.with_faces(tri).select("mesh_id", "tri_id", "area")
     total = area.groupBy("mesh_id").agg(F.sum("area").alias("total"))
-    j = area.join(total, "mesh_id").join(per, ["mesh_id", "tri_id"], "left")
-    off = F.abs(F.coalesce("got", F.lit(0)) - F.col("area") / F.col("total") * _N)
-    ok = j.groupBy("mesh_id").agg(F.bool_and(off < 2).alias("follows_area"))
+    j = null_safe_join(area, total, ["mesh_id"]).join(per, ["mesh_id", "tri_id"], "left")
+    off = F.abs(F.coalesce("got", F.lit(0)) - F.col("area") / F.col("total") * _FULL)
+    ok = j.groupBy("mesh_id").agg(F.bool_and(off < 2).alias("follows_area"), F.round(F.log(F.max("total")), 6).alias("log_area"))
     n = pts.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("i").alias("n_indices"))
     return n.join(ok, "mesh_id")
 

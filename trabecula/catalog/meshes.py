@@ -122,13 +122,13 @@ h AS (SELECT mesh_id, px, py, pz, min(d) FILTER (d > 1e-3 AND d <= 2.5 AND inwar
 
 @query("mesh_wall_hits", _WALL + " SELECT mesh_id, count(*) AS n_samples, count(d) AS n_hits, round(min(d), 6) AS nearest, round(sum(d), 5) AS total FROM h GROUP BY 1")
 def mesh_wall_hits(t):
-    h = mesh.wall_hits(meshes(t.part), 2.5, 1000, 7, skin=None)
+    h = mesh.wall_hits(meshes(t.part), 2.5, skin=None)
     return h.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_samples"), F.count("distance").alias("n_hits"), F.round(F.min("distance"), 6).alias("nearest"), F.round(F.sum("distance"), 5).alias("total"))
 
 
 @query("mesh_wall_summary", _WALL + """ SELECT mesh_id, count(d) AS thickness_hits, CASE WHEN count(d) > 3 THEN round(quantile_cont(d, 0.5), 6) END AS thickness_med_mm, CASE WHEN count(d) > 3 THEN round(stddev_pop(d), 5) END AS thickness_std_mm, CASE WHEN count(d) > 3 THEN round(quantile_cont(d, 0.5) / 1.5, 6) END AS thickness_ratio FROM h GROUP BY 1""")
 def mesh_wall_summary(t):
-    h = mesh.wall_hits(meshes(t.part), 2.5, 1000, 7, skin=None)
+    h = mesh.wall_hits(meshes(t.part), 2.5, skin=None)
     want = t.part.select(F.col("p_partkey").alias("mesh_id"), F.lit(1.5).alias("expected"))
     s = mesh.wall_summary(h, want, 3.0, 3)
     return s.select("mesh_id", "thickness_hits", F.round("thickness_med_mm", 6).alias("thickness_med_mm"), F.round("thickness_std_mm", 5).alias("thickness_std_mm"), F.round("thickness_ratio", 6).alias("thickness_ratio"))

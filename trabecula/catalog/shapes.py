@@ -37,9 +37,6 @@ _NAMES = [f"{v}{a}" for v in "adc" for a in "xyz"]
 
 def meshes(part: DataFrame) -> DataFrame:
     """(mesh_id, tri_id, v0, v1, v2) for every part.
-
-    The triangles are spread by mesh once; per-mesh, per-vertex and per-edge aggregates then find their rows together.
-    Meshes are small here. A table with huge meshes would be left as it lies.
     """
     k, size = F.col("p_partkey"), F.col("p_size")
     p = part.select(k.alias("mesh_id"), (F.lit(1.0) + size % 7 * 0.5).alias("sx"), (F.lit(1.0) + k % 5 * 0.3).alias("sy"), (F.lit(0.8) + k % 3 * 0.7).alias("sz"),
@@ -59,11 +56,7 @@ def meshes(part: DataFrame) -> DataFrame:
     tri = (F.col("body") * FACES_PER_BODY + F.col("n")).cast("long").alias("tri_id")
     t = t.select("mesh_id", tri, F.col("pa").alias("v0"), F.when(flip, F.col("pc")).otherwise(F.col("pb")).alias("v1"),
                  F.when(flip, F.col("pb")).otherwise(F.col("pc")).alias("v2"))
-    spark = part.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.sparkContext.master.startswith("local"):
-        n = min(n, 2 * spark.sparkContext.defaultParallelism)
-    return t.repartition(n, "mesh_id")
+    return t
 
 
 def _sql() -> str:

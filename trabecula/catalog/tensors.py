@@ -82,12 +82,12 @@ def tensor_labels(t):
     return out.select("p_partkey", *[F.round(c, 8).alias(c) for c in cols], F.round("TAI", 6).alias("TAI"))
 
 
-@query("tensor_directional_modulus", f"""WITH {_ORTHO}, n AS (SELECT i, 1 - (2 * i + 1) / 400.0 AS z, pi() * (3 - sqrt(5)) * i AS a FROM range(400) g(i)),
+@query("tensor_directional_modulus", f"""WITH {_ORTHO}, n AS (SELECT i, 1 - (2 * i + 1) / 8000.0 AS z, pi() * (3 - sqrt(5)) * i AS a FROM range(8000) g(i)),
 d AS (SELECT pow(sqrt(1 - z * z) * cos(a), 2) AS xx, pow(sqrt(1 - z * z) * sin(a), 2) AS yy, z * z AS zz FROM n),
 e AS (SELECT p_partkey, 1 / (s11 * xx * xx + s22 * yy * yy + s33 * zz * zz + 2 * (s12 * xx * yy + s13 * xx * zz + s23 * yy * zz) + yy * zz / g4 + xx * zz / g5 + xx * yy / g6) AS e FROM s, d)
 SELECT p_partkey, round(min(e), 6) AS e_min, round(max(e), 6) AS e_max FROM e GROUP BY 1""")
 def tensor_directional_modulus(t):
-    out = _ortho(t).withColumn("e", tensor.directional_modulus(400)("c"))
+    out = _ortho(t).withColumn("e", tensor.directional_modulus(8000)("c"))
     return out.select("p_partkey", F.round("e.e_min", 6).alias("e_min"), F.round("e.e_max", 6).alias("e_max"))
 
 

@@ -15,7 +15,8 @@ from trabecula.operators.ordered import running_total
 
 # Tolerances of the cloud check and of the rebuild comparison.
 CENTRE_TOL, EXTENT_LOW, EXTENT_HIGH, SAME_TOL = 1e-3, 0.999, 1.001, 1e-6
-STEP, AREA_UNITS = 65536, 1e10
+# Areas in whole units of the mesh's largest triangle over 2^32: sums stay exact and below 2^63 up to two billion triangles.
+STEP, AREA_UNITS = 65536, float(1 << 32)
 
 
 def _scatter_step(n: int) -> int:
@@ -30,10 +31,12 @@ def sample_surface(tri: DataFrame, n: int, seed: int) -> DataFrame:
     """N points per mesh, uniform over the surface.
 
     The surface is cut into n equal areas and one hashed position is drawn in each. A triangle knows from its running
-    area (in whole units, so that sums are exact) which positions fall on it, so points come out of the triangle rows with no join per point. Indices are
+    area (in whole units relative to the mesh's largest triangle, so that sums are exact at any size) which positions fall on it, so points come out of the triangle rows with no join per point. Indices are
     scattered, so that the first m points cover the whole surface too.
     """
-    t = with_faces(tri).withColumn("share", F.rint(F.col("area") * AREA_UNITS).cast("long"))
+    t = with_faces(tri)
+    t = null_safe_join(t, t.groupBy("mesh_id").agg(F.max("area").alias("__largest")), ["mesh_id"])
+    t = t.withColumn("share", F.coalesce(F.rint(F.try_divide(F.col("area"), F.col("__largest")) * AREA_UNITS), F.lit(0.0)).cast("long")).drop("__largest")
     t = running_total(t, ["mesh_id"], ["tri_id"], F.floor(F.col("tri_id") / STEP), "share", out="upto", total="total")
     low = F.col("upto") - F.col("share")
     first = F.greatest(F.floor(low / F.col("total") * n) - 1, F.lit(0))
@@ -111,7 +114,7 @@ def rotations(meshes: DataFrame, copies: int, seed: int, key: str = "mesh_id") -
 
 def augment(points: DataFrame, turns: DataFrame, key: str = "mesh_id") -> DataFrame:
     """Every copy of every cloud, turned, centred and scaled again."""
-    j = points.join(turns, key)
+    j = null_safe_join(points, turns, [key])
     turned = _turn("r")
     j = j.withColumns({f"__{a}": c for a, c in turned.items()}).drop("x", "y", "z", "r")
     j = j.withColumnsRenamed({f"__{a}": a for a in vec.AXES})

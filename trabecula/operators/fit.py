@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trabecula.functions.core import col, null_safe_join, ratio
@@ -110,8 +110,7 @@ def control_predictions(df: DataFrame, x: str, y: str, fold: str, keys: list[str
     parts = {"n": F.lit(1.0), "sx": lx, "sy": ly, "sxx": lx * lx, "sxy": lx * ly}
     per = df.groupBy(*keys, fold).agg(*[F.sum(F.when(ok, v)).alias(k) for k, v in parts.items()])
     per = per.na.fill(0.0, list(parts))
-    tot = per.groupBy(*keys).agg(*[F.sum(k).alias(f"t_{k}") for k in parts])
-    rest = null_safe_join(per, tot, keys)
+    rest = per.withColumns({f"t_{k}": F.sum(k).over(Window.partitionBy(*keys)) for k in parts})
     d = {k: F.col(f"t_{k}") - F.col(k) for k in parts}
     slope = F.try_divide(d["n"] * d["sxy"] - d["sx"] * d["sy"], d["n"] * d["sxx"] - d["sx"] * d["sx"])
     law = rest.withColumn("__slope", slope).withColumn("__icpt", F.try_divide(d["sy"] - F.col("__slope") * d["sx"], d["n"]))

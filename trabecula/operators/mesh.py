@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trabecula.functions import vec
-from trabecula.functions.core import all_of, hash_bucket, hash_order, ratio
+from trabecula.functions.core import all_of, hash_bucket, hash_order, null_safe_join, ratio
 from trabecula.operators.ordered import exact_quantiles, running_total
 from trabecula.operators.score import weighted_mean
 from trabecula.session import cut_lineage
@@ -87,19 +87,19 @@ def _star_sign(e: DataFrame) -> tuple:
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select("mesh_id", F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("mesh_id", "a").agg(F.min("b").alias("m"))
-    j = both.join(low, ["mesh_id", "a"]).where(F.col("b") > F.col("a"))
+    j = null_safe_join(both, low, ["mesh_id", "a"]).where(F.col("b") > F.col("a"))
     return j.select("mesh_id", F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select("mesh_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("mesh_id", "a").agg(F.min("b").alias("m"))
-    j = down.join(low, ["mesh_id", "a"])
+    j = null_safe_join(down, low, ["mesh_id", "a"])
     moved = j.where(F.col("b") != F.col("m")).select("mesh_id", F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select("mesh_id", "a", F.col("m").alias("b"))).distinct()
 
 
-def components(tri: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(tri: DataFrame) -> DataFrame:
     """(mesh_id, a = vertex, b = smallest vertex of its body) for every vertex that is not that smallest one.
 
     Alternating large-star / small-star contraction; each round is checkpointed, so neither lineage
@@ -107,13 +107,12 @@ def components(tri: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = edge_table(tri).where(F.col("lo") != F.col("hi")).select("mesh_id", F.col("hi").alias("a"), F.col("lo").alias("b"))
     sign = None
-    for _ in range(max_rounds):
+    while True:
         e = cut_lineage(_small_star(_large_star(e)))
         now = _star_sign(e)
         if now == sign:
             return e
         sign = now
-    raise RuntimeError("components did not settle")
 
 
 def bodies(tri: DataFrame) -> DataFrame:
@@ -223,7 +222,7 @@ def interior_share(tri: DataFrame, skin: float) -> DataFrame:
     """Share of the vertices that are interior."""
     v = tri.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("pos"))
     v = v.groupBy("mesh_id", weld_key("pos").alias("vertex")).agg(*[F.min(F.col(f"pos.{a}")).alias(f"p{a}") for a in vec.AXES])
-    v = v.withColumn("pos", vec.packed("p")).join(boxes(tri), "mesh_id")
+    v = null_safe_join(v.withColumn("pos", vec.packed("p")), boxes(tri), ["mesh_id"])
     return v.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_vertices"), F.count_if(interior("pos", skin)).alias("n_interior"),
                                     F.avg(interior("pos", skin).cast("double")).alias("interior_vert_frac"))
 
@@ -238,8 +237,8 @@ def curvature_summary(tri: DataFrame, cell: float, skin: float | None = 0.02) ->
     e = edge_curvature(tri).where(F.col("mean").isNotNull())
     if skin is not None:
         b = boxes(tri)
-        v = v.join(b, "mesh_id").where(interior("pos", skin))
-        e = e.join(b, "mesh_id").where(interior("p_lo", skin) & interior("p_hi", skin))
+        v = null_safe_join(v, b, ["mesh_id"]).where(interior("pos", skin))
+        e = null_safe_join(e, b, ["mesh_id"]).where(interior("p_lo", skin) & interior("p_hi", skin))
     v, e = cut_lineage(v.select("mesh_id", "gauss", "dual")), cut_lineage(e.select("mesh_id", "mean", "weight"))
     out = v.groupBy("mesh_id").agg((weighted_mean("gauss", "dual") * L * L).alias("curv_gauss_mean_xL2"))
     out = out.join(e.groupBy("mesh_id").agg((weighted_mean("mean", "weight") * L).alias("curv_mean_mean_xL")), "mesh_id", "full")
@@ -260,8 +259,8 @@ def _cells(pos: Column, size: float | Column) -> tuple[Column, Column, Column]:
     return tuple(F.floor(p / size).alias(f"c{a}") for p, a in zip(vec.parts(pos), vec.AXES))
 
 
-def wall_hits(tri: DataFrame, cap: float | DataFrame, n_samples: int, seed: int, skin: float | None = 0.02, levels: int = 4) -> DataFrame:
-    """Per sampled vertex the distance to the nearest opposing vertex inside the inward cone (null: none).
+def wall_hits(tri: DataFrame, cap: float | DataFrame, n_samples: int | None = None, seed: int = 0, skin: float | None = 0.02, levels: int = 4) -> DataFrame:
+    """Per vertex (of `n_samples` hashed ones per mesh, if given) the distance to the nearest opposing vertex inside the inward cone (null: none).
 
     `cap` is one search radius or a table (mesh_id, cap). Vertices are bucketed on a grid whose cell is the search
     radius and met by equal cell numbers. The radius starts at cap / 2^(levels-1) and doubles; a sample leaves as
@@ -270,11 +269,13 @@ def wall_hits(tri: DataFrame, cap: float | DataFrame, n_samples: int, seed: int,
     """
     verts = vertex_table(tri).select("mesh_id", "vertex", "pos", "normal")
     caps = cap if isinstance(cap, DataFrame) else None
-    pool = cut_lineage(verts.join(caps, "mesh_id") if caps is not None else verts.withColumn("cap", F.lit(float(cap))))
-    cand = pool if skin is None else pool.join(boxes(tri), "mesh_id").where(interior("pos", skin)).select(*pool.columns)
-    cand = cand.withColumn("__h", hash_order(seed, "mesh_id", "vertex"))
-    left = running_total(cand, ["mesh_id"], ["__h", "vertex"], hash_bucket("__h"), out="__pos")
-    left = left.where(F.col("__pos") <= n_samples).drop("__h", "__pos")
+    pool = cut_lineage(null_safe_join(verts, caps, ["mesh_id"]) if caps is not None else verts.withColumn("cap", F.lit(float(cap))))
+    cand = pool if skin is None else null_safe_join(pool, boxes(tri), ["mesh_id"]).where(interior("pos", skin)).select(*pool.columns)
+    left = cand
+    if n_samples is not None:
+        cand = cand.withColumn("__h", hash_order(seed, "mesh_id", "vertex"))
+        left = running_total(cand, ["mesh_id"], ["__h", "vertex"], hash_bucket("__h"), out="__pos")
+        left = left.where(F.col("__pos") <= n_samples).drop("__h", "__pos")
     done = None
     for level in reversed(range(levels)):
         r = F.col("cap") / float(2 ** level)
@@ -326,7 +327,7 @@ def symmetric_eigenvalues(xx, yy, zz, xy, xz, yz) -> Column:
 
 def fabric(tri: DataFrame, skin: float = 0.02, axis_tol: float = NORMAL_TOL, min_faces: int = MIN_FABRIC_FACES) -> DataFrame:
     """Area-weighted orientation tensor without cut faces; null measures when too few faces are left."""
-    t = with_faces(tri).join(boxes(tri), "mesh_id")
+    t = null_safe_join(with_faces(tri), boxes(tri), ["mesh_id"])
     keep = []
     for a in vec.AXES:
         c = (F.col(f"v0.{a}") + F.col(f"v1.{a}") + F.col(f"v2.{a}")) / 3.0

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trabecula.functions.core import null_safe_join
+from trabecula.operators.ordered import keep_one
 
 
 def write_dataset(df: DataFrame, path: str, order: str = "VF", fmt: str = "parquet") -> None:
@@ -19,11 +20,19 @@ def read_master(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", True).parquet(path)
 
 
+def one_per_key(df: DataFrame, keys: list[str], status: str = "Status") -> DataFrame:
+    """One row per key: a usable one (status OK or none given) before any other, then the smallest status and row."""
+    if status not in df.columns:
+        return keep_one(df, keys, [c for c in df.columns if c not in keys] or [F.lit(1)])
+    text = F.coalesce(F.col(status).cast("string"), F.lit("OK"))
+    return keep_one(df, keys, [F.when(text.startswith("OK"), 0).otherwise(1), text])
+
+
 def append_master(df: DataFrame, path: str, keys: list[str] = ("Run", "Batch")) -> DataFrame:
     """K2: append the rows whose key is new, one partition per batch; stored rows are never changed."""
-    spark, fresh = df.sparkSession, df
+    spark, fresh = df.sparkSession, one_per_key(df, list(keys))
     if table_exists(spark, path):
-        fresh = null_safe_join(df, read_master(spark, path).select(*keys), list(keys), "left_anti")
+        fresh = null_safe_join(fresh, read_master(spark, path).select(*keys), list(keys), "left_anti")
     fresh.write.mode("append").partitionBy("Batch").parquet(path)
     return read_master(spark, path)
 

@@ -11,23 +11,27 @@ from pyspark.sql import functions as F
 
 # Binary layout and size limits.
 HEADER, RECORD = 84, 50
-MIN_STL_BYTES, MAX_STL_MB = 2000, 500.0
+MIN_STL_BYTES = 2000
 RECORD_TYPE = np.dtype([("n", "<f4", 3), ("v", "<f4", (3, 3)), ("attr", "<u2")])
 CHUNK_TRIANGLES = 1_000_000
 
 
-def list_stl(spark: SparkSession, folder: str, max_mb: float = MAX_STL_MB) -> DataFrame:
-    """Every STL below a folder with topology (its parent folder) and status; file contents are not read."""
+def list_stl(spark: SparkSession, folder: str, max_mb: float | None = None) -> DataFrame:
+    """Every STL below a folder with topology (its parent folder) and status; file contents are not read.
+
+    Files of any size are usable; `max_mb` marks larger ones as SKIPPED.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[sS][tT][lL]").load(folder)
     parts = F.split(F.col("path"), "/")
-    status = F.when(F.col("length") > max_mb * 1e6, F.lit(f"SKIPPED >{max_mb}MB")).otherwise("OK")
+    status = F.lit("OK") if max_mb is None else F.when(F.col("length") > max_mb * 1e6, F.lit(f"SKIPPED >{max_mb}MB")).otherwise("OK")
     return df.select("path", F.element_at(parts, -1).alias("file"), F.element_at(parts, -2).alias("topology"), "length", status.alias("status"))
 
 
 def check_stl(spark: SparkSession, folder: str) -> DataFrame:
-    """(ok, reason) per STL from its size and its first 84 bytes."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[sS][tT][lL]").load(folder)
-    head = F.substring("content", 1, HEADER)
+    """(ok, reason) per STL from its size and its first 84 bytes; no more of a file is read."""
+    files = list_stl(spark, folder).select("path", "length")
+    df = files.repartition("path").mapInPandas(_heads, "path string, length long, head binary")
+    head = F.col("head")
     swapped = F.concat(*[F.hex(F.substring(head, 81 + i, 1)) for i in (3, 2, 1, 0)])
     n = F.conv(swapped, 16, 10).cast("long")
     ascii_file = F.lower(F.substring(head, 1, 5).cast("string")) == "solid"
@@ -45,6 +49,15 @@ def _open(path: str):
     return system.open_input_file(unquote(name))
 
 
+def _heads(batches):
+    for pdf in batches:
+        heads = []
+        for path in pdf["path"]:
+            with _open(path) as f:
+                heads.append(f.read(HEADER))
+        yield pdf.assign(head=heads)
+
+
 def _ascii_triangles(raw: bytes) -> np.ndarray:
     words = raw.decode("utf-8", "replace").split()
     at = [i for i, w in enumerate(words) if w == "vertex"]

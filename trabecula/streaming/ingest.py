@@ -8,8 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from trabecula.functions.core import null_safe_join
 from trabecula.operators.dedupe import number_versions
-from trabecula.operators.ordered import keep_one
-from trabecula.sources.sinks import read_master, table_exists
+from trabecula.sources.sinks import one_per_key, read_master, table_exists
 
 KEYS = ["Run", "Batch"]
 
@@ -20,7 +19,7 @@ def append_batch(batch: DataFrame, master_path: str) -> None:
     Keyed by (Run, Batch), so a batch that is delivered twice changes nothing.
     """
     spark = batch.sparkSession
-    rows = keep_one(batch, KEYS, ["Status"])
+    rows = one_per_key(batch, KEYS)
     if table_exists(spark, master_path):
         master = read_master(spark, master_path).select(*KEYS, "Status")
         master = master.join(rows.select("Run").distinct(), "Run", "left_semi")
