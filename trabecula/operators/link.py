@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trabecula.functions.core import col, null_safe_join, number, order_bucket, ratio
+from trabecula.functions.core import col, null_safe_join, number, ratio
 from trabecula.functions.names import strip_suffix
-from trabecula.operators.ordered import interval_join, keep_one, neighbours
+from trabecula.operators.ordered import interval_join, keep_one, neighbours, with_bucket
 
 # Share of unmatched rows above which a join is refused, slack of a measured range, suffix an alias may carry.
 MAX_UNMATCHED = 0.20
@@ -173,23 +173,27 @@ def _span_width(spans: DataFrame, lo: str, hi: str) -> float:
     return w if w and w > 0 else 1.0
 
 
-def nearest(targets: DataFrame, x: str, lookup: DataFrame, value: str, carry: list[str] = (),
-            width: float | None = None) -> DataFrame:
+def nearest(targets: DataFrame, x: str, lookup: DataFrame, value: str, carry: list[str] = ()) -> DataFrame:
     """Closest lookup row per target, the smaller value on a tie.
 
-    The sorted lookup becomes half-open spans; each target falls into one span and compares both ends.
+    Targets and lookup values are ordered together in buckets; each target takes the last value before it and the first behind it, in its bucket
+    or in the nearest one that has any. The work is a sort, whatever the values: an outlier widens nothing.
     """
     names = [value, *carry]
-    uniq = keep_one(lookup.select(*names).where(F.col(value).isNotNull()), [value], [value])
-    pairs = neighbours(uniq, [], [value], names, order_bucket(value))
-    mid = pairs.select(F.col(f"cur.{value}").alias("__lo"), F.col(f"nxt.{value}").alias("__hi"), "cur", "nxt")
-    got = interval_join(targets, x, mid, "__lo", "__hi", width or _span_width(mid, "__lo", "__hi"), closed="left", how="left")
-    near = F.when(F.col(x) - F.col("__lo") <= F.col("__hi") - F.col(x), F.col("cur")).otherwise(F.col("nxt"))
-    struct = F.struct(*names)
-    ends = uniq.agg(F.struct(F.min_by(struct, value).alias("first"), F.max_by(struct, value).alias("last")).alias("ends")).scalar()
-    pick = F.when(F.col("__lo").isNotNull(), near).when(F.col(x) >= ends["last"][value], ends["last"]).otherwise(ends["first"])
-    got = got.withColumn("__pick", F.when(F.col(x).isNotNull(), pick))
-    return got.select(*targets.columns, *[F.col(f"__pick.{n}").alias(f"near_{n}") for n in names])
+    uniq = keep_one(lookup.select(*names).where(F.col(value).isNotNull()), [value], [value]).select(F.struct(*names).alias("__l"), F.col(value).cast("double").alias("__x"))
+    mine = targets.select(F.struct(*targets.columns).alias("__t"), F.col(x).cast("double").alias("__x"))
+    both = with_bucket(mine.unionByName(uniq, allowMissingColumns=True), "__x")
+    up, down = (Window.partitionBy("__b").orderBy(o, F.col("__t").isNotNull()).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("__x").asc(), F.col("__x").desc()))
+    inside = both.withColumns({"__before": F.last("__l", True).over(up), "__after": F.last("__l", True).over(down)}).where(F.col("__t").isNotNull())
+    per = both.groupBy("__b").agg(F.min_by("__l", F.when(F.col("__l").isNotNull(), F.col("__x"))).alias("__first"), F.max_by("__l", F.when(F.col("__l").isNotNull(), F.col("__x"))).alias("__last"))
+    back, ahead = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("__b").asc(), F.col("__b").desc()))
+    per = per.select("__b", F.last("__last", True).over(back).alias("__far_before"), F.last("__first", True).over(ahead).alias("__far_after"))
+    got = null_safe_join(inside, per, ["__b"])
+    low, high = F.coalesce("__before", "__far_before"), F.coalesce("__after", "__far_after")
+    closer = F.col("__x") - low[value] <= high[value] - F.col("__x")
+    pick = F.when(F.col("__x").isNull(), None).when(low.isNull(), high).when(high.isNull() | closer, low).otherwise(high)
+    got = got.withColumn("__pick", pick)
+    return got.select("__t.*", *[F.col(f"__pick.{n}").alias(f"near_{n}") for n in names])
 
 
 def invert_curve(points: DataFrame, rho: str, curve: DataFrame, t: str = "t", vf: str = "vf",
@@ -199,7 +203,7 @@ def invert_curve(points: DataFrame, rho: str, curve: DataFrame, t: str = "t", vf
     Requests outside the measured range (beyond RANGE_SLACK) keep a null t and in_range = false.
     """
     keys = list(keys)
-    pairs = neighbours(curve, keys, [vf, t], [vf, t], order_bucket(vf))
+    pairs = neighbours(curve, keys, [vf, t], [vf, t])
     names = ["__v0", "__v1", "__t0", "__t1"]
     spans = pairs.select(*keys, *[F.col(c).alias(n) for c, n in zip((f"cur.{vf}", f"nxt.{vf}", f"cur.{t}", f"nxt.{t}"), names)]).where("__v1 > __v0")
     # Half-open spans never share a point; a sliver at each end holds the ends themselves.

@@ -14,6 +14,10 @@ from trabecula.functions.core import any_of, col, null_safe_join, order_bucket
 from trabecula.session import cut_lineage
 
 
+#: Rows that one ordered bucket should hold.
+BUCKET_ROWS = 1 << 16
+
+
 def keep_one(df: DataFrame, keys: list[str], order: list[str | Column], prefer: str = "min") -> DataFrame:
     """One whole row per key: the smallest (or largest) by `order`. Combines before the shuffle."""
     pick = F.min_by if prefer == "min" else F.max_by
@@ -51,8 +55,23 @@ def running_total(df: DataFrame, keys: list[str], order: list[str | Column], buc
     return res.drop("__b", "__v", "__in", "__off", "__tot")
 
 
-def neighbours(df: DataFrame, keys: list[str], order: list[str], cols: list[str], bucket: Column) -> DataFrame:
-    """Consecutive row pairs per key: columns `cur` and `nxt` are structs of `cols`."""
+def with_bucket(df: DataFrame, value: str | Column, out: str = "__b") -> DataFrame:
+    """Adds a bucket number that does not decrease with `value` and holds about BUCKET_ROWS rows.
+
+    Logarithmic buckets are cut by their own extremes and row counts, so values in a narrow band (time stamps) are spread as well. The counts are
+    combined before the shuffle; the join with them is null-safe, which leaves its skew to adaptive execution.
+    """
+    rows = df.withColumn("__v", col(value).cast("double")).withColumn("__c", order_bucket("__v"))
+    ends = rows.groupBy("__c").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("__n"))
+    rows = null_safe_join(rows, ends, ["__c"])
+    part = F.least(F.floor(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * F.col("__n")), F.col("__n") - 1)
+    return rows.withColumn(out, F.col("__c") * (1 << 31) + F.coalesce(part, F.lit(0))).drop("__v", "__c", "__lo", "__hi", "__n")
+
+
+def neighbours(df: DataFrame, keys: list[str], order: list[str], cols: list[str], bucket: Column | None = None) -> DataFrame:
+    """Consecutive row pairs per key: columns `cur` and `nxt` are structs of `cols`. Without a bucket the first order value is spread by `with_bucket`."""
+    if bucket is None:
+        df, bucket = with_bucket(df, order[0], "__own"), F.col("__own")
     rows = df.select(*keys, bucket.alias("__b"), F.struct(*[F.col(c) for c in order]).alias("__o"),
                      F.struct(*[F.col(c) for c in cols]).alias("cur"))
     bk = [*keys, "__b"]
@@ -70,7 +89,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
     First pass: bucket histogram. Second pass: only the rows of the buckets that hold a wanted rank.
     """
     base = df.select(*keys, col(value).cast("double").alias("__v"))
-    base = base.where(F.col("__v").isNotNull() & ~F.isnan("__v")).withColumn("__b", order_bucket("__v"))
+    base = base.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    base = with_bucket(base.withColumnRenamed("__v", "__q"), "__q").withColumnRenamed("__q", "__v")
     bk = [*keys, "__b"]
     upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     hist = base.groupBy(*bk).agg(F.count(F.lit(1)).alias("__n")).select(

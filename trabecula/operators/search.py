@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trabecula.functions.core import all_of, col, null_safe_join, order_bucket, percent_diff, ratio
+from trabecula.functions.core import all_of, col, null_safe_join, percent_diff, ratio
 from trabecula.functions.gates import range_guard
 from trabecula.operators.dedupe import ranked
 from trabecula.operators.ordered import keep_one, neighbours
@@ -96,7 +96,7 @@ def context_rows(existing: DataFrame, value: str, target: float, k: int = CONTEX
 
 def is_monotone(curve: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Per key whether y strictly rises along x, and how many steps do not."""
-    pairs = neighbours(curve, keys, [x, y], [y], order_bucket(x))
+    pairs = neighbours(curve, keys, [x, y], [y])
     bad = F.count_if(F.col(f"nxt.{y}") <= F.col(f"cur.{y}"))
     return pairs.groupBy(*keys).agg(bad.alias("n_bad_steps")).withColumn("monotone", F.col("n_bad_steps") == 0)
 
