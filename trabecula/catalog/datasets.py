@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trabecula.catalog.registry import query
+from trabecula.catalog.shapes import FACE, TRI, meshes
 from trabecula.catalog.tensors import _ORTHO, _ortho
 from trabecula.operators import folds
-from trabecula.plans import dataset
+from trabecula.plans import dataset, features
 
 _STEM = "'LAT_df_i15p0_d' || (p_partkey // 2) || 'p0_t0p4_m1p6_s' || (p_partkey % 2 + 2)"
 
 
-def _aperiodic(t):
+def _aperiodic_tables(t):
     """Every part has two versions of its labels; neighbours share a geometry and differ in seed."""
     k = F.col("p_partkey")
     stem = F.concat(F.lit("LAT_df_i15p0_d"), F.floor(k / 2).cast("string"), F.lit("p0_t0p4_m1p6_s"), (k % 2 + 2).cast("string"))
@@ -22,7 +23,39 @@ def _aperiodic(t):
     known = F.col("p_size") % 9 != 0
     master = m.select(stem.alias("Run"), F.concat(F.lit("v"), F.col("v").cast("string")).alias("Version"), F.lit("OK").alias("Status"),
                       F.when(known, F.col("p_retailprice") * F.col("v")).alias("C11_GPa"), F.when(known, F.col("p_size") / 100 * F.col("v")).alias("E_over_Es"), (k * 10 + F.col("v")).alias("seq"))
-    return dataset.aperiodic_dataset(feats, master, "LAT")
+    return feats, master
+
+
+def _aperiodic(t):
+    return dataset.aperiodic_dataset(*_aperiodic_tables(t), "LAT")
+
+
+@query("dataset_aperiodic_losses", """WITH u AS (SELECT p_partkey % 7 = 0 AS lone, p_size % 9 = 0 AS bare FROM part WHERE p_partkey % 13 <> 0)
+SELECT mode, count(*) FILTER (lone) AS unmatched, count(*) FILTER (NOT lone AND bare) AS without_labels, count(*) AS total,
+       CASE WHEN count(*) FILTER (lone) > 0.2 * count(*) THEN 'too many unmatched' ELSE 'ok' END AS verdict FROM u, (VALUES ('params'), ('file')) m(mode) GROUP BY 1""")
+def dataset_aperiodic_losses(t):
+    """A seventh of the runs is missing from the master."""
+    feats, master = _aperiodic_tables(t)
+    runs = t.part.where(F.col("p_partkey") % 7 != 0).select(F.concat(F.lit("LAT_df_i15p0_d"), F.floor(F.col("p_partkey") / 2).cast("string"), F.lit("p0_t0p4_m1p6_s"), (F.col("p_partkey") % 2 + 2).cast("string")).alias("Run"))
+    master, out = master.join(runs, "Run", "left_semi"), None
+    for mode in ("params", "file"):
+        unmatched, bare, guard = dataset.aperiodic_losses(feats, master, "LAT", join_on=mode)
+        n = unmatched.agg(F.count(F.lit(1)).alias("unmatched")).select(F.struct("unmatched").alias("r")).scalar()
+        m = bare.agg(F.count(F.lit(1)).alias("n")).select(F.struct("n").alias("r")).scalar()
+        row = guard.select(F.lit(mode).alias("mode"), n["unmatched"].alias("unmatched"), m["n"].alias("without_labels"), "total", "verdict")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("feature_table", f"""WITH {TRI}, {FACE}, s AS (SELECT mesh_id, count(*) AS n_tris, round(sum(area), 6) AS area FROM f GROUP BY 1)
+SELECT p_partkey AS mesh_id, CASE WHEN p_partkey % 11 = 0 THEN 'SKIPPED' WHEN p_partkey % 17 = 0 THEN 'ERROR no triangles' ELSE 'OK' END AS status, CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 17 <> 0 THEN n_tris END AS n_tris,
+ CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 17 <> 0 THEN area END AS area, CASE WHEN p_partkey % 11 <> 0 AND p_partkey % 17 <> 0 THEN p_partkey % 10 <> 1 END AS watertight FROM part JOIN s ON mesh_id = p_partkey""")
+def feature_table(t):
+    """One file in eleven was skipped and one in seventeen holds no triangle."""
+    k = F.col("mesh_id")
+    files = t.part.select(F.col("p_partkey").alias("mesh_id")).withColumn("status", F.when(k % 11 == 0, "SKIPPED").otherwise("OK"))
+    out = features.feature_table(meshes(t.part).where((k % 11 != 0) & (k % 17 != 0)), files, 3.0, 2.5)
+    return out.select("mesh_id", "status", "n_tris", F.round("area", 6).alias("area"), "watertight")
 
 
 _AP = f"""ap AS (SELECT p_partkey // 2 AS g, arg_min(p_partkey, p_partkey) AS k FROM part WHERE p_partkey % 13 <> 0 AND p_size % 9 <> 0 GROUP BY 1)"""

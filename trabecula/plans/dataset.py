@@ -20,19 +20,28 @@ def label_table(master: DataFrame, labels=units.DEFAULT_LABELS, es_gpa: float =
     return units.normalise_labels(best, labels, es_gpa, sigma_ys_mpa, keep)
 
 
-def aperiodic_dataset(features: DataFrame, master: DataFrame, prefix: str, labels=units.DEFAULT_LABELS,
-                      seed_preference: list[int] = (2, 3, 5, 1), es_gpa: float = 200.0, sigma_ys_mpa: float = 250.0) -> DataFrame:
-    """Usable features with labels, one row per geometry.
-
-    Rows without any target are left out; unmatched features are `link.link_by_params(...)` rows of kind 'none'.
-    """
+def _linked(features: DataFrame, master: DataFrame, prefix: str, labels, es_gpa: float, sigma_ys_mpa: float, join_on: str) -> DataFrame:
+    """Usable features with the label row of their run, or match_kind 'none'."""
     lab = label_table(master, labels, es_gpa, sigma_ys_mpa)
     lab = lab.select("*", names.parse_stem("Run", prefix).alias("__p")).select("*", *[F.col(f"__p.{p}").alias(f"p_{p}") for p in PARAMS]).drop("__p")
     feats = features.where(gates.usable("status")).withColumn("stem", names.strip_suffix("file"))
     feats = feats.select("*", names.parse_stem("stem", prefix).alias("__p")).select("*", *[F.col(f"__p.{p}").alias(f"p_{p}") for p in PARAMS]).drop("__p")
     taken = {c.lower() for c in lab.columns if not c.startswith("p_")}
     feats = feats.drop(*[c for c in feats.columns if c.lower() in taken])
-    joined = link.link_by_params(feats, lab, "stem", "Run", [f"p_{p}" for p in PARAMS], "seq")
+    if join_on == "params":
+        return link.link_by_params(feats, lab, "stem", "Run", [f"p_{p}" for p in PARAMS], "seq")
+    runs = lab.drop(*[f"p_{p}" for p in PARAMS]).withColumnRenamed("Run", "matched_run")
+    out = feats.join(runs, F.col("stem") == names.strip_suffix("matched_run"), "left")
+    return out.withColumn("match_kind", F.when(F.col("matched_run").isNotNull(), "exact").otherwise("none"))
+
+
+def aperiodic_dataset(features: DataFrame, master: DataFrame, prefix: str, labels=units.DEFAULT_LABELS, seed_preference: list[int] = (2, 3, 5, 1),
+                      es_gpa: float = 200.0, sigma_ys_mpa: float = 250.0, join_on: str = "params") -> DataFrame:
+    """Usable features with labels, one row per geometry. What is left out: `aperiodic_losses`.
+
+    `join_on`: 'params' matches names, then parameters; 'file' matches names only.
+    """
+    joined = _linked(features, master, prefix, labels, es_gpa, sigma_ys_mpa, join_on)
     targets = [l.target for l in labels if l.role == "target"]
     hit = joined.where(F.col("match_kind") != "none").where(gates.has_any(*targets))
     # The surviving row is described by the parameters of the matched run, as its labels are.
@@ -41,6 +50,15 @@ def aperiodic_dataset(features: DataFrame, master: DataFrame, prefix: str, label
     return kept.withColumnsRenamed({"matched_run": "Run", "p_variant": "variant"}).drop(*[f"p_{p}" for p in PARAMS if p != "variant"])
 
 
+def aperiodic_losses(features: DataFrame, master: DataFrame, prefix: str, labels=units.DEFAULT_LABELS, es_gpa: float = 200.0, sigma_ys_mpa: float = 250.0,
+                     join_on: str = "params") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(usable features without a run, matched features without any target, the match guard's one row)."""
+    joined = _linked(features, master, prefix, labels, es_gpa, sigma_ys_mpa, join_on)
+    matched = F.col("match_kind") != "none"
+    has = gates.has_any(*[l.target for l in labels if l.role == "target"])
+    return joined.where(~matched), joined.where(matched & ~has), link.match_guard(joined, matched)
+
+
 def periodic_dataset(features: DataFrame, tensors: DataFrame, unit: str, es: float, es_unit: str, nu: float,
                      excluded: list[str] = (), band: tuple[float, float] = (0.85, 1.15), density_bin: float = 0.02,
                      family: str = "periodic", element_order: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
