@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -23,11 +24,11 @@ CAPACITY = 4096
 #: Pieces dealt to one packing task, on average.
 PIECES_PER_TASK = 1 << 16
 #: Words kept by a Python worker with their ids; beyond it the store starts anew.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_000_000
 END_ID = 1
 #: Plain words, with one closing mark: the mark is a token of its own, and case folds letter by letter.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-BLANKS = str.maketrans("\n\r\t", "   ")
+TEXTS_AT_ONCE = 32
 
 
 class WordIds:
@@ -38,36 +39,42 @@ class WordIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(file))
-        self.wide = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        self.any = Tokenizer.from_file(public_tokenizers.path(file))
+        # plain words come in lower case and are one piece, so neither normaliser nor pattern has work to do
+        self.plain = Tokenizer.from_file(public_tokenizers.path(file))
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.wide, self.code = ("<u2", "H") if self.any.get_vocab_size() < 1 << 16 else ("<u4", "I")
+        self.known: dict[str, bytes] = {"": b""}
 
     def learn(self, words: set[str]) -> None:
-        known = self.known
-        parts = {w: (m[1].lower(), m[2]) if (m := PLAIN.fullmatch(w)) else (w, "") for w in words}
-        new = [p for p in {p for pair in parts.values() for p in pair} if p not in known]
-        for word, enc in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = np.asarray(enc.ids, self.wide).tobytes()
-        for w, (head, mark) in parts.items():
+        known, plain, other = self.known, {}, []
+        for w in words:
+            if m := PLAIN.fullmatch(w):
+                plain[w] = (m[1].lower(), m[2])
+            else:
+                other.append(w)
+        heads = [h for h in {h for h, _ in plain.values()} if h not in known]
+        other += [mark for mark in ".," if mark not in known]
+        for tokenizer, new in ((self.plain, heads), (self.any, other)):
+            for word, enc in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                known[word] = array(self.code, enc.ids).tobytes()
+        for w, (head, mark) in plain.items():
             known[w] = known[head] + known[mark] if mark else known[head]
 
     def encode(self, texts: list[str]):
         """Ids of each text, as little-endian 32-bit integers."""
         known = self.known
-        known.setdefault("", b"")
-        for text in texts:
-            words = text.translate(BLANKS).split(" ") if not text.isascii() else text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
-            try:
-                ids = b"".join(map(known.__getitem__, words))
-            except KeyError:
-                if len(known) > KEPT_WORDS:
-                    known.clear()
-                    known[""] = b""
-                self.learn({w for w in words if w not in known})
-                ids = b"".join(map(known.__getitem__, words))
-            yield np.frombuffer(ids, self.wide).astype("<u4")
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            split = [t.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for t in texts[at:at + TEXTS_AT_ONCE]]
+            if len(known) > KEPT_WORDS:
+                known.clear()
+                known[""] = b""
+            self.learn({w for words in split for w in words if w not in known})
+            for words in split:
+                yield np.frombuffer(b"".join(map(known.__getitem__, words)), self.wide).astype("<u4")
 
 
 @lru_cache(maxsize=2)
