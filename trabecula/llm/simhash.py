@@ -3,8 +3,8 @@
 A 64-bit fingerprint is cut into d + 1 segments on a ring. If two fingerprints differ in at most d bits, some segment starts a chain whose
 first l segments together differ in at most floor(l * d / (d + 1)) bits, for every l. So the first segment is equal: it is the bucket. Inside a
 bucket the rest of the chain is tested before the full check. A bucket with too many fingerprints is split by the same budgets: the next
-segments may hold only c differing bits, so of c + 1 parts of one of them at least one is equal and becomes part of the key. Splitting goes on
-until buckets are small, so every link is found whatever the data.
+segments may hold only c differing bits, so of c + 1 parts of one of them at least one is equal and becomes part of the key. Every link is
+found whatever the data.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ from trabecula.llm.graph import star_components
 
 SEED = 42
 BITS = 64
-#: Fingerprints compared pairwise in one bucket; larger buckets are split.
-BUCKET_ROWS = 1024
+#: Fingerprints compared pairwise in one bucket; larger buckets are split, at most so many times: fingerprints that still share a bucket then are
+#: nearly equal, and splitting would only repeat them. Comparing them pairwise is as exact.
+BUCKET_ROWS, MAX_SPLITS = 8192, 5
 CONFIRM = ["c0", "c1", "c2", "c3"]
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 _BYTE_OFFSET = np.arange(8, dtype=np.int64)[None, :] * 256
@@ -190,11 +191,13 @@ def spanning_links(nodes: DataFrame, distance: int = 3, bucket_rows: int = BUCKE
         if held:
             yield found(held)
 
+    splits = 0
     while True:
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         finer = {km: parts for km in known if (parts := ring.split(*km))}
         large = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select(*key))
-        last = not finer or large.isEmpty()
+        last = not finer or splits == MAX_SPLITS or large.isEmpty()
+        splits += 1
         if not last:
             # a few rows per level, made from the ring and not from the data
             masks = spark.createDataFrame([(s, _signed(m), [_signed(x) for x in parts]) for (s, m), parts in finer.items()], "start int, mask long, finer array<long>")
