@@ -270,6 +270,17 @@ def test_field_adds_a_repeated_number(spark, odd, empty):
     assert pii.personal_data(empty, ["doc_id"]).count() == 0
 
 
+def test_query_digests(spark, tmp_path):
+    texts = [*ODD, "a@b.cd 1.2.3.4 a@b.cd +1 (650) 555-1234 4111111111111111"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in pii.op1_skip_chain_crf(spark, str(tmp_path)).collect():
+        spans = base_by_hand(texts[r.doc_id] or "")
+        joined = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == i for _, k, _ in spans) for i in range(4)]
+        assert set(joined.split(",")) <= set(r.spans.split(",")) | {""}
+
+
 def test_messages_match_enumeration():
     rnd = np.random.default_rng(2)
     unary, pair = rnd.normal(size=(4, pii.LABELS)), rnd.normal(size=(3, pii.LABELS, pii.LABELS))

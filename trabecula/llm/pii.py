@@ -266,8 +266,12 @@ def spans_text(spans, kinds=KINDS):
     return F.array_join(F.transform(rank, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _is(kind: str):
+    return lambda s: F.when(s["kind"] == kind, True)
+
+
 def op1_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.array_compact(F.transform("base", _is(k)))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.concat("base", "added")).alias("spans"),
                         F.size("added").cast("long").alias("n_added"))
