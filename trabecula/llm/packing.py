@@ -177,7 +177,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER
     """Packed pieces (input columns plus sequence_id, offset) and the certificate {bins, bound, rounds}.
 
     Needs a column `length` (1 to capacity). Each round keeps the bins without room and the partitions that need no exchange; of the rest the
-    pieces are dealt anew. A round that does not lower the count is dropped and ends the work. Only a histogram of at most `capacity` lengths and
+    pieces are dealt anew. A round that does not lower the count is dropped, and the second such round in turn ends the work. Only a histogram of at most `capacity` lengths and
     one row of totals reach the driver.
     """
     rows = cut(pieces.withColumn("row_id", F.monotonically_increasing_id()))
@@ -186,20 +186,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_task: int = PIECES_PER
     n = int(hist["n"].sum())
     parts = max(1, -(-n // per_task))
     done = cut(pack_once(rows, parts, 0, capacity))
-    bins, rounds = _bins(done), 1
-    while bins > bound and rounds < max_rounds:
+    bins, rounds, idle = _bins(done), 1, 0
+    while bins > bound and rounds < max_rounds and idle < 2:
         gap = F.col("room") > 0
         loose = done.where(gap)
         m, old = loose.agg(F.count(F.lit(1)), F.countDistinct("sequence_id")).first()
         parts_now = max(1, -(-m // per_task))
-        if parts == 1 and rounds > 1 or m == n and parts_now == parts == 1:
+        if parts_now == 1 and (idle or parts == 1):  # the same pieces in one task again would give the same bins
             break
         again = cut(pack_once(loose, parts_now, rounds, capacity))
-        new = _bins(again)
+        new, rounds = _bins(again), rounds + 1
         if new >= old:
-            break
+            idle += 1
+            continue
         done = done.where(~gap).unionByName(again)
-        bins, parts, rounds = bins - old + new, parts_now, rounds + 1
+        bins, parts, idle = bins - old + new, parts_now, 0
     out = done.drop("row_id", "room", "part", "part_bins", "part_bound")
     return out, {"bins": bins, "bound": bound, "rounds": rounds}
 

@@ -172,7 +172,7 @@ class LabelModel:
 
 def _maximise(bits: np.ndarray, weight: np.ndarray) -> LabelModel:
     """Prior, dependency tree (largest conditional mutual information) and smoothed rates for weighted patterns; weight: [pattern, class]."""
-    per_class = weight.sum(0)
+    per_class = weight.sum(0) + 1e-9
     joint = np.zeros((2, VOTERS, VOTERS, 2, 2))
     sides = (1 - bits, bits)
     for y in (0, 1):
