@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trabecula.session import ensure_checkpoint_dir
 
+SEED = 42
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -38,3 +40,21 @@ def text_batches(batches: Iterator, columns: list[str], text: str) -> Iterator[t
     for b in batches:
         if b.num_rows:
             yield {c: b.column(c).to_pylist() for c in columns}, [t or "" for t in b.column(text).to_pylist()]
+
+
+def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of each run of so many words, repeats included, in parts; a shorter text is one run. Words end at white space, capitals A to Z don't count."""
+    from xxhash import xxh64_intdigest
+
+    tokens = text.encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return
+    joined = b" ".join(tokens)
+    width = min(words, len(tokens))
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    n = len(tokens) - width + 1
+    for at in range(0, n, 1 << 16):
+        till = min(n, at + (1 << 16))
+        yield np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at:till].tolist(), ends[at + width - 1:till + width - 1].tolist())), np.uint64, till - at)

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trabecula.llm.common import DOCUMENT_COLUMNS, cut, table
+from trabecula.llm.common import DOCUMENT_COLUMNS, cut, shingle_hashes, table
 from trabecula.llm.graph import star_components
+from trabecula.llm.similar_sets import similar_groups
 
-SEED = 42
 BITS = 64
 #: Fingerprints compared pairwise in one bucket; larger buckets are split, at most so many times: fingerprints that still share a bucket then are
 #: nearly equal, and splitting would only repeat them. Comparing them pairwise is as exact.
@@ -50,21 +50,9 @@ def fingerprint(text: str, words: int, planes: int = 1) -> np.ndarray:
 
     The first part is of XXH64 itself, the others of its mixed values. No words: zero.
     """
-    from xxhash import xxh64_intdigest
-
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(planes, np.uint64)
-    joined = b" ".join(tokens)
-    width = min(words, len(tokens))
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    n = len(tokens) - width + 1
-    ones = np.zeros((planes, BITS), np.int64)
-    for at in range(0, n, 1 << 16):
-        till = min(n, at + (1 << 16))
-        hashes = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at:till].tolist(), ends[at + width - 1:till + width - 1].tolist())), np.uint64, till - at)
+    ones, n = np.zeros((planes, BITS), np.int64), 0
+    for hashes in shingle_hashes(text, words):
+        n += len(hashes)
         for k in range(planes):
             ones[k] += _count_bits(_mixed(hashes, k) if k else hashes)
     return _majority(ones.ravel(), n)
@@ -244,9 +232,10 @@ def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the smallest doc_id of each near-duplicate component stays, and rows without an id.
 
-    Links: fingerprints of two-word shingles within 8 bits, confirmed at a similarity of 0.8 over five-word shingles.
+    Links: a Jaccard similarity of 0.8 or more of the sets of five-word shingles, all of them and no others.
     """
     docs = docs.select(*DOCUMENT_COLUMNS)
-    found = simhash_components(docs, words=2, distance=8, confirm_words=5, similarity=0.8)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti")
+    found = similar_groups(docs).where("doc_id is not null")
+    gone = cut(found.where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("sha") != F.col("keep.sha"))).select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct())
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return docs.join(gone, (F.col("doc_id") == F.col("__id")) & (sha == F.col("__sha")), "left_anti")
