@@ -77,3 +77,16 @@ def test_keys_and_sketches_lose_no_pair():
             assert len(np.intersect1d(similar_sets.first_keys(a, common, rank), similar_sets.first_keys(b, common, rank)))
             x = np.bitwise_count(similar_sets.sketch(a) ^ similar_sets.sketch(b)).sum()
             assert 9 * x <= len(a) + len(b)
+
+
+def test_repeated_filler_does_not_join_texts(spark):
+    filler = " ".join(["filler line of five words"] * 200)
+    texts = [filler + " " + t for t in prose(8, 200, seed=21)] + ["word " * 900 + t for t in prose(8, 200, seed=22)]
+    assert {r.doc_id for r in simhash.near_dedup_stage(spark, docs(spark, texts), "").collect()} == set(range(16)) == kept_by_hand(texts)
+
+
+def test_an_id_that_repeats_with_another_text_stays(spark):
+    base, other, third = prose(3, 200, seed=23)
+    rows = docs(spark, [base]).unionByName(docs(spark, [base + " more", other], 7)).unionByName(docs(spark, [third], 7))
+    kept = sorted((r.doc_id, r.text) for r in simhash.near_dedup_stage(spark, rows, "").collect())
+    assert kept == sorted([(0, base), (8, other), (7, third)])

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +59,20 @@ def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
     for at in range(0, n, 1 << 16):
         till = min(n, at + (1 << 16))
         yield np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[at:till].tolist(), ends[at + width - 1:till + width - 1].tolist())), np.uint64, till - at)
+
+
+def by_whole_groups(batches: Iterator, group: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """`work` on the whole groups of sorted batches; the last group of a batch waits for the next one."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(c).to_numpy() for c in group]
+        first = int(np.flatnonzero(np.logical_and.reduce([c == c[-1] for c in cols]))[0])
+        if first or held and any(held[-1].column(c)[-1] != b.column(c)[0] for c in group):
+            whole = [*held, b.slice(0, first)] if first else held
+            yield from work(pa.Table.from_batches(whole))
+            held = []
+        held.append(b.slice(first))
+    if held:
+        yield from work(pa.Table.from_batches(held))

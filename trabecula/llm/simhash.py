@@ -24,7 +24,6 @@ BITS = 64
 #: Fingerprints compared pairwise in one bucket; larger buckets are split, at most so many times: fingerprints that still share a bucket then are
 #: nearly equal, and splitting would only repeat them. Comparing them pairwise is as exact.
 BUCKET_ROWS, MAX_SPLITS = 8192, 5
-CONFIRM = ["c0", "c1", "c2", "c3"]
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 _BYTE_OFFSET = np.arange(8, dtype=np.int64)[None, :] * 256
 
@@ -38,42 +37,24 @@ def _count_bits(hashes: np.ndarray) -> np.ndarray:
     return np.einsum("ij,jk->ik", per_byte, _BIT_OF_BYTE).ravel()
 
 
-def _mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """A further 64 bits of a hash: an odd multiplier and shifts spread it anew."""
-    h = (h + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(32))
-
-
-def fingerprint(text: str, words: int, planes: int = 1) -> np.ndarray:
-    """Fingerprint of a whole text in `planes` 64-bit parts: a bit is 1 if set in over half the hashes of its shingles, repeats included.
-
-    The first part is of XXH64 itself, the others of its mixed values. No words: zero.
-    """
-    ones, n = np.zeros((planes, BITS), np.int64), 0
+def fingerprint(text: str, words: int) -> np.ndarray:
+    """64-bit fingerprint of a whole text, as one value: a bit is 1 if set in over half the XXH64 hashes of its shingles, repeats included. No words: zero."""
+    ones, n = np.zeros(BITS, np.int64), 0
     for hashes in shingle_hashes(text, words):
         n += len(hashes)
-        for k in range(planes):
-            ones[k] += _count_bits(_mixed(hashes, k) if k else hashes)
-    return _majority(ones.ravel(), n)
+        ones += _count_bits(hashes)
+    return _majority(ones, n)
 
 
-def fingerprints(docs: DataFrame, keys: list[str], words: int = 3, confirm_words: int | None = None, text: str = "text") -> DataFrame:
-    """`keys` and `fp`, the fingerprint as a signed long; with `confirm_words` also c0 to c3, a 256-bit fingerprint of longer shingles.
-
-    Null texts count as empty: fingerprint zero.
-    """
+def fingerprints(docs: DataFrame, keys: list[str], words: int = 3, text: str = "text") -> DataFrame:
+    """`keys` and `fp`, the fingerprint as a signed long. Null texts count as empty: fingerprint zero."""
     rows = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    names = ["fp", *(CONFIRM if confirm_words else [])]
-    schema = rows.drop("__text").select("*", *[F.lit(0).cast("long").alias(c) for c in names]).schema
+    schema = rows.drop("__text").select("*", F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches):
         for b in batches:
-            texts = b.column("__text").to_pylist()
-            cols = [np.array([fingerprint(t, words)[0] for t in texts], np.uint64)]
-            if confirm_words:
-                cols += list(np.array([fingerprint(t, confirm_words, len(CONFIRM)) for t in texts], np.uint64).reshape(-1, len(CONFIRM)).T)
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], *[pa.array(np.ascontiguousarray(c).view(np.int64)) for c in cols]], names=[*keys, *names])
+            fp = np.array([fingerprint(t, words)[0] for t in b.column("__text").to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keys], pa.array(fp.view(np.int64))], names=[*keys, "fp"])
 
     return rows.mapInArrow(run, schema)
 
@@ -109,8 +90,8 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _bucket_links(rows: dict[str, np.ndarray], ring: Ring, confirm_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the whole buckets in sorted rows: chains first, then the full distance, then the confirming fingerprint."""
+def _bucket_links(rows: dict[str, np.ndarray], ring: Ring) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the whole buckets in sorted rows: chains first, then the full distance."""
     start, mask, fp, node = rows["start"], rows["mask"], rows["fp"], rows["node"]
     value = fp & mask
     new = np.r_[True, (start[1:] != start[:-1]) | (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]
@@ -127,8 +108,6 @@ def _bucket_links(rows: dict[str, np.ndarray], ring: Ring, confirm_bits: int) ->
             a, x = a[ok], x[ok]
             if not len(a):
                 break
-        if len(a) and confirm_bits:
-            a = a[sum(np.bitwise_count(rows[c][a] ^ rows[c][a + d]).astype(np.int64) for c in CONFIRM) <= confirm_bits]
         if len(a):
             left.append(a), right.append(a + d)
     if not left:
@@ -146,21 +125,18 @@ def _bucket_links(rows: dict[str, np.ndarray], ring: Ring, confirm_bits: int) ->
     return node[i], node[label[i]]
 
 
-def spanning_links(nodes: DataFrame, distance: int = 3, bucket_rows: int = BUCKET_ROWS, confirm_bits: int = 0) -> DataFrame:
-    """Links (a, b) between the rows `node`, `fp` that join everything within `distance` bits, without the other pairs of a group.
-
-    `confirm_bits`: linked rows also differ in at most so many of the 256 bits of c0 to c3.
-    """
+def spanning_links(nodes: DataFrame, distance: int = 3, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Links (a, b) between the rows `node`, `fp` that join everything within `distance` bits, without the other pairs of a group."""
     ring, spark = Ring(distance), nodes.sparkSession
     firsts = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(_signed(m)).alias("mask")) for s, m in enumerate(ring.masks)])
-    own = ["node", "fp", *(CONFIRM if confirm_bits else [])]
+    own = ["node", "fp"]
     rows = nodes.select(*own, F.explode(firsts).alias("k")).select(F.col("k.start").alias("start"), F.col("k.mask").alias("mask"), *own)
     known, links = {(s, m) for s, m in enumerate(ring.masks)}, []
     key = ["start", "mask", "value"]
     columns = ["start", "mask", *own]
 
     def found(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        a, b = _bucket_links(rows, ring, confirm_bits)
+        a, b = _bucket_links(rows, ring)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
@@ -202,26 +178,19 @@ def spanning_links(nodes: DataFrame, distance: int = 3, bucket_rows: int = BUCKE
     return out
 
 
-def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, confirm_words: int | None = None, similarity: float = 0.8, bucket_rows: int = BUCKET_ROWS,
-                       doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3, bucket_rows: int = BUCKET_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp, component_id (smallest doc_id reachable over links of at most `distance` bits).
 
-    With `confirm_words`, linked texts must also be similar by the shingles of that many words: `similarity` is turned into the bits that 256-bit
-    fingerprints of such sets differ in. Copies share a fingerprint and are joined once, as one. Texts without words have fingerprint zero and are
-    linked like any other; null ids are kept and never name a component that has another. An empty table gives an empty result; other columns are
-    not read.
+    Equal fingerprints are joined once, as one. Texts without words have fingerprint zero and are linked like any other; null ids are kept and never
+    name a component that has another. An empty table gives an empty result; other columns are not read.
     """
-    base = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], words, confirm_words))
-    prints = [c for c in base.columns if c != "doc_id"]
-    cosine = 2 * similarity / (1 + similarity)
-    bits = math.floor(len(CONFIRM) * BITS * math.acos(cosine) / math.pi) if confirm_words else 0
-    nodes = base.groupBy(*prints).agg(F.min("doc_id").alias("least"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id() if confirm_words else F.col("fp")))
-    roots = star_components(spanning_links(nodes, distance, bucket_rows, bits))
+    base = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], words))
+    nodes = cut(base.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")))
+    roots = star_components(spanning_links(nodes, distance, bucket_rows))
     placed = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     names = cut(placed.groupBy("root").agg(F.min("least").alias("component_id")))
-    of_print = cut(placed.join(names, "root").select(*prints, "component_id"))
-    return base.join(of_print, prints).select("doc_id", "fp", "component_id")
+    of_print = cut(placed.join(names, "root").select("fp", "component_id"))
+    return base.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
