@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from trabecula.llm.common import table
 
-#: Normalised sentence beginnings or whole sentences, by identifier. Fixed values; `#` stands for a version number.
+#: Normalised whole sentences as `sentences` cuts them, by identifier, and GPL sentences before the cut. Fixed values; `#` stands for a version number.
 SENTENCES = {
     "ApacheRef": "licensed under the apache license version #",
+    "ApacheHeader": "licensed under the apache license version # the license",
     "ApacheMayNot": "you may not use this file except in compliance with the license",
     "ApacheCopyAt": "you may obtain a copy of the license at",
     "ApacheAsIs": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
@@ -25,6 +26,11 @@ SENTENCES = {
     "GplRef": "this work is licensed under the gnu general public license version #",
     "GplRedistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version # of the license or at your option any later version",
     "GplNoWarranty": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "GplModify": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version # of the license or at your option any later version",
+    "GplTerms": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+    "GplLater": "either version # of the license or at your option any later version",
+    "GplHope": "this program is distributed in the hope that it will be useful but without any warranty",
+    "GplEven": "without even the implied warranty of merchantability or fitness for a particular purpose",
     "CcByNcRef": "licensed under cc by nc #",
     "CcByRef": "licensed under cc by #",
     "CcBySaRef": "licensed under cc by sa #",
@@ -37,11 +43,15 @@ SENTENCES = {
 #: Licences by the identifiers that must follow each other; longer rules of a family come first and use their sentences up. Fixed values.
 RULES = [
     ("Apache", ["ApacheRef", "ApacheMayNot", "ApacheCopyAt", "ApacheAsIs"]),
+    ("Apache", ["ApacheHeader", "ApacheMayNot", "ApacheCopyAt", "ApacheAsIs"]),
     ("Apache", ["ApacheRef"]),
+    ("Apache", ["ApacheHeader"]),
     ("MIT", ["MitGrant", "MitNotice", "AsIsShort"]),
     ("MIT", ["MitRef"]),
     ("MIT", ["MitTitle"]),
     ("GPL-or-later", ["GplRedistribute", "GplNoWarranty"]),
+    ("GPL-or-later", ["GplModify", "GplHope", "GplEven"]),
+    ("GPL-or-later", ["GplTerms", "GplLater", "GplHope", "GplEven"]),
     ("GPL", ["GplRef"]),
     ("CC-BY-NC", ["CcByNcRef"]),
     ("CC-BY-SA", ["CcBySaRef"]),
