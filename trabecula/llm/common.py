@@ -76,3 +76,11 @@ def by_whole_groups(batches: Iterator, group: list[str], work: Callable[[pa.Tabl
         held.append(b.slice(first))
     if held:
         yield from work(pa.Table.from_batches(held))
+
+
+def in_block_pairs(rows: DataFrame, count: str, block_rows: int) -> DataFrame:
+    """`rows` (with `node` and the row count of their group) with block, lo, hi: a group beyond `block_rows` is dealt into blocks, and each pair of
+    blocks lo <= hi gets the rows of both, so that no piece of work holds more than two blocks."""
+    rows = rows.withColumn("__blocks", F.coalesce(F.ceil(F.col(count) / F.lit(block_rows)), F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("__blocks")))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__other"))
+    return rows.select("*", F.least("block", "__other").alias("lo"), F.greatest("block", "__other").alias("hi")).drop("__blocks", "__other", count)

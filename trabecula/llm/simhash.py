@@ -10,19 +10,20 @@ found whatever the data.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trabecula.llm.common import DOCUMENT_COLUMNS, cut, shingle_hashes, table
-from trabecula.llm.graph import star_components
+from trabecula.llm.common import DOCUMENT_COLUMNS, by_whole_groups, cut, in_block_pairs, shingle_hashes, table
+from trabecula.llm.graph import fold_labels, star_components
 from trabecula.llm.similar_sets import similar_groups
 
 BITS = 64
 #: Fingerprints compared pairwise in one bucket; larger buckets are split, at most so many times: fingerprints that still share a bucket then are
-#: nearly equal, and splitting would only repeat them. Comparing them pairwise is as exact.
+#: nearly equal, and splitting would only repeat them. Pairs of blocks of so many rows are compared then, which is as exact.
 BUCKET_ROWS, MAX_SPLITS = 8192, 5
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 _BYTE_OFFSET = np.arange(8, dtype=np.int64)[None, :] * 256
@@ -91,36 +92,22 @@ def _signed(x: int) -> int:
 
 
 def _bucket_links(rows: dict[str, np.ndarray], ring: Ring) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of the whole buckets in sorted rows: chains first, then the full distance."""
-    start, mask, fp, node = rows["start"], rows["mask"], rows["fp"], rows["node"]
-    value = fp & mask
-    new = np.r_[True, (start[1:] != start[:-1]) | (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]
+    """Spanning links of whole buckets (rows of one `group`): chains first, then the full distance. Only a label per row is kept, and pairs that are
+    joined already are skipped. `side`: rows of one side are compared with those of the other only; below zero: with all."""
+    start, fp, node, group, side = rows["start"], rows["fp"], rows["node"], rows["group"], rows["side"]
+    new = np.r_[True, group[1:] != group[:-1]]
     end = np.append(np.flatnonzero(new)[1:], len(fp))[np.cumsum(new) - 1]
-    chains, idx, left, right, d = ring.chains(), np.arange(len(fp)), [], [], 0
-    while True:
-        d += 1
-        idx = idx[idx + d < end[idx]]
-        if not len(idx):
-            break
-        a, x = idx, fp[idx] ^ fp[idx + d]
+    chains, idx, label, d = ring.chains(), np.arange(len(fp)), np.arange(len(fp)), 0
+    while len(idx := idx[idx + (d := d + 1) < end[idx]]):
+        a = idx[(label[idx] != label[idx + d]) & ((side[idx] < 0) | (side[idx] != side[idx + d]))]
+        x = fp[a] ^ fp[a + d]
         for n in range(1, ring.segments):
             ok = np.bitwise_count(x & chains[start[a], n]) <= ring.budget(n + 1)
             a, x = a[ok], x[ok]
             if not len(a):
                 break
         if len(a):
-            left.append(a), right.append(a + d)
-    if not left:
-        return node[:0], node[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
-    label = np.arange(len(fp))
-    while True:
-        was, low = label.copy(), np.minimum(label[a], label[b])
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if np.array_equal(label, was):
-            break
+            label = fold_labels(label, a, a + d)
     i = np.flatnonzero(label != np.arange(len(fp)))
     return node[i], node[label[i]]
 
@@ -133,41 +120,32 @@ def spanning_links(nodes: DataFrame, distance: int = 3, bucket_rows: int = BUCKE
     rows = nodes.select(*own, F.explode(firsts).alias("k")).select(F.col("k.start").alias("start"), F.col("k.mask").alias("mask"), *own)
     known, links = {(s, m) for s, m in enumerate(ring.masks)}, []
     key = ["start", "mask", "value"]
-    columns = ["start", "mask", *own]
+    group = [*key, "lo", "hi"]
 
-    def found(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        a, b = _bucket_links(rows, ring)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        c = {x: t.column(x).to_numpy() for x in (*group, "block", *own)}
+        change = np.logical_or.reduce([c[x][1:] != c[x][:-1] for x in group])
+        side = np.where(c["lo"] == c["hi"], -1, c["block"])
+        a, b = _bucket_links(c | {"fp": c["fp"].view(np.uint64), "group": np.cumsum(np.r_[False, change]), "side": side}, ring)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
-        held: dict[str, np.ndarray] | None = None
-        for b in batches:
-            now = {c: b.column(c).to_numpy(zero_copy_only=False) for c in columns}
-            now = {c: x if c in ("start", "node") else x.view(np.uint64) for c, x in now.items()}
-            if held:
-                now = {c: np.concatenate([held[c], now[c]]) for c in columns}
-            s, m, f = now["start"], now["mask"], now["fp"]
-            same = (s == s[-1]) & (m == m[-1]) & ((f & m) == (f[-1] & m[-1]))
-            whole = len(s) - int(same.sum())
-            held = {c: x[whole:] for c, x in now.items()}
-            if whole:
-                yield found({c: x[:whole] for c, x in now.items()})
-        if held:
-            yield found(held)
+        yield from by_whole_groups(batches, group, found)
 
     splits = 0
     while True:
         rows = rows.withColumn("value", F.col("fp").bitwiseAND(F.col("mask")))
         finer = {km: parts for km in known if (parts := ring.split(*km))}
-        large = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select(*key))
+        large = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows))
         last = not finer or splits == MAX_SPLITS or large.isEmpty()
         splits += 1
         if not last:
             # a few rows per level, made from the ring and not from the data
             masks = spark.createDataFrame([(s, _signed(m), [_signed(x) for x in parts]) for (s, m), parts in finer.items()], "start int, mask long, finer array<long>")
             hot = cut(large.join(masks, ["start", "mask"], "left_semi"))
-        small = rows if last else rows.join(hot, key, "left_anti")
-        links.append(cut(small.repartition(*key).sortWithinPartitions(*key).select(*columns).mapInArrow(run, "a long, b long")))
+        # what no split parts is compared all the same, in pairs of blocks that tasks share
+        small = in_block_pairs(rows.join(large, key, "left"), "n", bucket_rows) if last else in_block_pairs(rows.join(hot, key, "left_anti").withColumn("n", F.lit(1)), "n", bucket_rows)
+        links.append(cut(small.select(*group, "block", *own).repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long")))
         if last:
             break
         rows = cut(rows.join(hot, key, "left_semi").join(masks, ["start", "mask"]).select("start", F.explode("finer").alias("mask"), *own))
