@@ -35,7 +35,7 @@ def name_contents(rows: DataFrame, content: list[str]) -> DataFrame:
     Repeats go before and after the one shuffle, so a content that a third of the rows share costs no more than another. `clash` marks
     routes that differing contents share.
     """
-    each = rows.select("ra", "rb", *content).distinct().withColumn("__b", F.pmod("ra", F.lit(BUCKETS)))
+    each = rows.select("ra", "rb", *content).distinct().withColumn("__b", F.pmod(F.xxhash64("ra", "rb"), F.lit(BUCKETS)))
     by = Window.partitionBy("__b").orderBy("ra", "rb", *content)
     shared = F.coalesce((F.lag("ra").over(by) == F.col("ra")) & (F.lag("rb").over(by) == F.col("rb")), F.lit(False))
     return each.select("ra", "rb", (F.shiftleft("__b", 40) + F.row_number().over(by)).alias("name"), shared.alias("clash"))
