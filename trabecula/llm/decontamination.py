@@ -195,7 +195,8 @@ def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame, keys: list[str], error_rate: float = ERROR_RATE) -> DataFrame:
     """One row per document row and benchmark item found: `keys`, item_id, windows_found, windows, distance, start, end.
 
-    An item of up to 160 normalised characters counts if the whole of it occurs within the edit budget, a longer one if any window of 160 does.
+    An item of up to 160 normalised characters counts if the whole of it occurs within the edit budget, of a longer one windows of 160 at every
+    80th character (and the last) are searched, so that any excerpt of 239 characters or more counts and shorter ones may not.
     `distance`, `start`, `end` are those of the closest window, first in the text. Case and white space don't count. Null and empty texts and items
     match nothing; items of under 12 characters match as equal substrings; repeated items and rows are reported each under their id.
     """
