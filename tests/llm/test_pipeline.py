@@ -79,7 +79,7 @@ def test_stages_keep_the_document_columns(spark, tmp_path):
     nothing = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, str(tmp_path)).count() == 0
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "a", None, None, None), (1, "a", None, None, None), (1, "b", None, None, None)], docs.select(toxicity.DOCUMENT_COLUMNS).schema)
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "a", None, None, None), (1, "a", None, None, None), (1, "b", None, None, None)], docs.select(*toxicity.DOCUMENT_COLUMNS).schema)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, str(tmp_path)).count() == (3 if name == "exact_dedup" else 4), name
 
