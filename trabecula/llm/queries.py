@@ -12,6 +12,7 @@ from trabecula.llm.decontamination import op10_qgram_bands
 from trabecula.llm.licences import OP8_SQL, op8_sentence_rules
 from trabecula.llm.packing import op2_best_fit_packing
 from trabecula.llm.pii import op1_skip_chain_crf
+from trabecula.llm.repeats import op12_bucket_pointers
 from trabecula.llm.sharding import op7_virtual_slots
 from trabecula.llm.simhash import op5_simhash_pigeonring
 from trabecula.llm.token_counts import op9_length_histogram
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_rules": op8_sentence_rules,
     "op9_length_histogram": op9_length_histogram,
     "op10_qgram_bands": op10_qgram_bands,
+    "op12_bucket_pointers": op12_bucket_pointers,
 }
 
 ORACLES: dict[str, str] = {
