@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trabecula.llm.block_naming import op4_block_naming
 from trabecula.llm.chat import OP6_SQL, op6_typed_parts
+from trabecula.llm.collocations import OP13_SQL, op13_fm_index
 from trabecula.llm.decontamination import op10_qgram_bands
 from trabecula.llm.licences import OP8_SQL, op8_sentence_rules
 from trabecula.llm.packing import op2_best_fit_packing
@@ -30,11 +31,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_length_histogram": op9_length_histogram,
     "op10_qgram_bands": op10_qgram_bands,
     "op12_bucket_pointers": op12_bucket_pointers,
+    "op13_fm_index": op13_fm_index,
 }
 
 ORACLES: dict[str, str] = {
     "op6_typed_parts": OP6_SQL,
     "op8_sentence_rules": OP8_SQL,
+    "op13_fm_index": OP13_SQL,
     "op4_block_naming": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
