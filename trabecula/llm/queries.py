@@ -13,6 +13,7 @@ from trabecula.llm.decontamination import op10_qgram_bands
 from trabecula.llm.licences import OP8_SQL, op8_sentence_rules
 from trabecula.llm.packing import op2_best_fit_packing
 from trabecula.llm.pii import op1_skip_chain_crf
+from trabecula.llm.prefix_trie import OP11_SQL, op11_depth_bands
 from trabecula.llm.repeats import op12_bucket_pointers
 from trabecula.llm.sharding import op7_virtual_slots
 from trabecula.llm.simhash import op5_simhash_pigeonring
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_rules": op8_sentence_rules,
     "op9_length_histogram": op9_length_histogram,
     "op10_qgram_bands": op10_qgram_bands,
+    "op11_depth_bands": op11_depth_bands,
     "op12_bucket_pointers": op12_bucket_pointers,
     "op13_fm_index": op13_fm_index,
 }
@@ -37,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op6_typed_parts": OP6_SQL,
     "op8_sentence_rules": OP8_SQL,
+    "op11_depth_bands": OP11_SQL,
     "op13_fm_index": OP13_SQL,
     "op4_block_naming": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
