@@ -211,12 +211,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     key = f"doc_id {id_type}, t1 long, t2 long"
     first = cut(source.mapInArrow(lambda batches: _first_names(batches, length, spread),
                                   f"{key}, at int, first int, last int, places long, own array<struct<first:long,end:long>>, b1 long, b2 long, f1 long, f2 long"))
-    met = _met(first, "at")
+    # one join for both uses of the first, widest rows
+    first = cut(first.drop("places").join(_met(first, "at"), NAMES))
     one = F.struct(F.col("first").cast("long").alias("first"), (F.col("last") + length).cast("long").alias("end"))
-    found = [cut(first.join(met.where("n > 1").select(*NAMES), NAMES).select(*KEY, F.explode(F.coalesce("own", F.array(one))).alias("s")).select(*KEY, "s.first", "s.end").distinct())]
+    found = [cut(first.where("n > 1").select(*KEY, F.explode(F.coalesce("own", F.array(one))).alias("s")).select(*KEY, "s.first", "s.end").distinct())]
 
     # texts of the rows to be refined are read once more; then the rows travel with the bytes around their starts
-    rows = _still_open(first.select(*KEY, "at", "first", "last", *NAMES), met, "at").select(*KEY, F.struct("at", "first", "last", "b1", "b2", "n").alias("row")).distinct()
+    rows = first.where(F.col("open") & (_which("at") == F.col("which"))).select(*KEY, F.struct("at", "first", "last", "b1", "b2", "n").alias("row")).distinct()
     per_text = cut(rows.groupBy(*KEY).agg(F.collect_list("row").alias("rows")))
     side = per_text.select(*[F.col(k).alias(f"__{k}") for k in KEY], "rows")
     named = source.mapInArrow(_named, f"{key}, data binary")
