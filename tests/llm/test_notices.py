@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from trabecula.llm import licences
-from tests.llm.test_operators import docs
+from tests.llm.test_ten_operators import docs
 
 NOTICES = {
     "Apache": """Copyright 2020 A. Person

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from trabecula.llm import similar_sets, simhash
-from tests.llm.test_operators import docs, prose
+from tests.llm.test_ten_operators import docs, prose
 
 
 def shingles(text):
