@@ -104,7 +104,11 @@ def _longs(names: list[bytes]) -> np.ndarray:
 
 
 def _first_names(batches: Iterator, length: int, spread: int) -> Iterator[pa.RecordBatch]:
-    """One row per text and surroundings of an anchor: the anchor, its starts, bucket and surroundings names, number of places, and the spans that repeat inside the text."""
+    """One row per text and surroundings of an anchor: the text's number, the anchor, its starts, bucket and surroundings names, number of places, and
+    the spans that repeat inside the text. The first row of a text also has its id and name."""
+    from pyspark import TaskContext
+
+    doc = TaskContext.get().partitionId() << 40
     for b in batches:
         for i, data in enumerate(b.column("data").to_pylist()):
             at, first, last = anchors(data, length, spread)
@@ -119,8 +123,9 @@ def _first_names(batches: Iterator, length: int, spread: int) -> Iterator[pa.Rec
                 else:
                     seen[3] += 1
                     seen[4].append((lo, hi + length))
-            doc, n = _name(data), len(rows)
-            t1, t2 = np.frombuffer(doc, np.int64)
+            doc, n = doc + 1, len(rows)
+            t1, t2 = np.frombuffer(_name(data), np.int64).tolist()
+            once = [i] + [None] * (n - 1)
             bucket, around = _longs([k for k, _ in rows]), _longs([k for _, k in rows])
             cols = list(zip(*rows.values()))
             spans = []
@@ -130,11 +135,10 @@ def _first_names(batches: Iterator, length: int, spread: int) -> Iterator[pa.Rec
                     spans.append([{"first": x, "end": y} for x, y in zip(s.tolist(), e.tolist())])
                 else:
                     spans.append(None)
-            ids = b.column("doc_id").take(pa.array([i] * n))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.full(n, t1)), pa.array(np.full(n, t2)), *[pa.array(c, pa.int32()) for c in cols[:3]], pa.array(cols[3], _LONGS), pa.array(spans, pa.list_(pa.struct([("first", _LONGS), ("end", _LONGS)]))),
+                [pa.array(np.full(n, doc)), b.column("doc_id").take(pa.array(once, pa.int32())), *[pa.array([x] + [None] * (n - 1), _LONGS) for x in (t1, t2)], *[pa.array(c, pa.int32()) for c in cols[:3]], pa.array(cols[3], _LONGS), pa.array(spans, pa.list_(pa.struct([("first", _LONGS), ("end", _LONGS)]))),
                  *[pa.array(x.copy()) for x in (bucket[:, 0], bucket[:, 1], around[:, 0], around[:, 1])]],
-                names=[*KEY, "at", "first", "last", "places", "own", "b1", "b2", "f1", "f2"])
+                names=["doc", *KEY, "at", "first", "last", "places", "own", "b1", "b2", "f1", "f2"])
 
 
 def _dealt(context: bytes, base: int, size: int, start: int, width: int, own: tuple[int, int], bucket: bytes, length: int) -> Iterator[tuple]:
@@ -155,12 +159,12 @@ def _dealt(context: bytes, base: int, size: int, start: int, width: int, own: tu
         yield lo, _name(bucket, before, behind, (lo - start).to_bytes(4, "little")), around
 
 
-_REFINED = "{key}, own_first int, own_last int, size int, start int, width int, places long, b1 long, b2 long, f1 long, f2 long, base int, context binary"
+_REFINED = "doc long, own_first int, own_last int, size int, start int, width int, places long, b1 long, b2 long, f1 long, f2 long, base int, context binary"
 
 
-def _refined_columns(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
-    names = [*KEY, "own_first", "own_last", "size", "start", "width", "places", "b1", "b2", "f1", "f2", "base", "context"]
-    kinds = [doc_type, *[_LONGS] * 2, *[pa.int32()] * 5, *[_LONGS] * 5, pa.int32(), pa.binary()]
+def _refined_columns(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["doc", "own_first", "own_last", "size", "start", "width", "places", "b1", "b2", "f1", "f2", "base", "context"]
+    kinds = [_LONGS, *[pa.int32()] * 5, *[_LONGS] * 5, pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
@@ -175,16 +179,16 @@ def _refine(batches: Iterator, length: int) -> Iterator[pa.RecordBatch]:
                 b1, b2, f1, f2 = np.frombuffer(name + around, np.int64).tolist()
                 base = max(0, lo)
                 context = r["context"][base - r["base"]:lo + part - 1 + length - r["base"]] if part > 1 else b""
-                out.append((r["doc_id"], r["t1"], r["t2"], r["own_first"], r["own_last"], r["size"], lo, part, r["n"], b1, b2, f1, f2, base, context))
+                out.append((r["doc"], r["own_first"], r["own_last"], r["size"], lo, part, r["n"], b1, b2, f1, f2, base, context))
         if out:
-            yield _refined_columns(out, b.schema.field("doc_id").type)
+            yield _refined_columns(out)
 
 
 NAMES = ["b1", "b2", "f1", "f2"]
 
 
 def _which(at: str) -> Column:
-    return F.xxhash64(*KEY, at)
+    return F.xxhash64("doc", at)
 
 
 def _met(rows: DataFrame, at: str) -> DataFrame:
@@ -210,33 +214,37 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id"
     id_type = source.schema["doc_id"].dataType.simpleString()
     key = f"doc_id {id_type}, t1 long, t2 long"
     first = cut(source.mapInArrow(lambda batches: _first_names(batches, length, spread),
-                                  f"{key}, at int, first int, last int, places long, own array<struct<first:long,end:long>>, b1 long, b2 long, f1 long, f2 long"))
-    # one join for both uses of the first, widest rows
-    first = cut(first.drop("places").join(_met(first, "at"), NAMES))
+                                  f"doc long, {key}, at int, first int, last int, places long, own array<struct<first:long,end:long>>, b1 long, b2 long, f1 long, f2 long"))
+    texts = first.where("t1 is not null").select("doc", *KEY)
+    # most buckets hold one place: half an identifier tells them, and the wide rows of the others travel
+    shared = first.groupBy("b1").agg(F.sum("places").alias("n")).where("n > 1").select("b1")
+    first = cut(first.drop(*KEY).join(shared, "b1", "left_semi"))
+    met = _met(first, "at")
     one = F.struct(F.col("first").cast("long").alias("first"), (F.col("last") + length).cast("long").alias("end"))
-    found = [cut(first.where("n > 1").select(*KEY, F.explode(F.coalesce("own", F.array(one))).alias("s")).select(*KEY, "s.first", "s.end").distinct())]
+    found = [cut(first.join(met.where("n > 1").select(*NAMES), NAMES).select("doc", F.explode(F.coalesce("own", F.array(one))).alias("s")).select("doc", "s.first", "s.end"))]
 
     # texts of the rows to be refined are read once more; then the rows travel with the bytes around their starts
-    rows = first.where(F.col("open") & (_which("at") == F.col("which"))).select(*KEY, F.struct("at", "first", "last", "b1", "b2", "n").alias("row")).distinct()
-    per_text = cut(rows.groupBy(*KEY).agg(F.collect_list("row").alias("rows")))
+    rows = _still_open(first.select("doc", "at", "first", "last", *NAMES), met, "at").select("doc", F.struct("doc", "at", "first", "last", "b1", "b2", "n").alias("row"))
+    per_text = cut(rows.join(texts, "doc").groupBy(*KEY).agg(F.collect_list("row").alias("rows")))
     side = per_text.select(*[F.col(k).alias(f"__{k}") for k in KEY], "rows")
     named = source.mapInArrow(_named, f"{key}, data binary")
-    rows = cut(named.join(side, _same_text()).select(*KEY, "data", "rows").mapInArrow(lambda batches: _opened(batches, length, spread), _REFINED.format(key=key)))
+    rows = cut(named.join(side, _same_text()).select("data", "rows").mapInArrow(lambda batches: _opened(batches, length, spread), _REFINED))
     width = spread // FAN
     while True:
         met = _met(rows, "start")
         inside = rows.join(met.where("n > 1").select(*NAMES), NAMES).select(
-            *KEY, F.greatest("start", F.lit(0)).cast("long").alias("first"), (F.least(F.col("start") + F.col("width") - 1, F.col("size") - length) + length).cast("long").alias("end"))
+            "doc", F.greatest("start", F.lit(0)).cast("long").alias("first"), (F.least(F.col("start") + F.col("width") - 1, F.col("size") - length) + length).cast("long").alias("end"))
         found.append(cut(inside.distinct()))
         if width == 1:
             break
-        rows = cut(_still_open(rows.drop("places"), met, "start").mapInArrow(lambda batches: _refine(batches, length), _REFINED.format(key=key)))
+        rows = cut(_still_open(rows.drop("places"), met, "start").mapInArrow(lambda batches: _refine(batches, length), _REFINED))
         width //= FAN
     spans = found[0]
     for more in found[1:]:
         spans = spans.unionByName(more)
-    lists = spans.groupBy(*KEY).agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    return cut(lists.mapInArrow(_merge_lists, f"{key}, spans array<struct<first:long,end:long>>"))
+    lists = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
+    merged_lists = cut(lists.mapInArrow(_merge_lists, "doc long, spans array<struct<first:long,end:long>>"))
+    return cut(merged_lists.join(texts, "doc").drop("doc").dropDuplicates(KEY))
 
 
 def _same_text() -> Column:
@@ -261,9 +269,9 @@ def _opened(batches: Iterator, length: int, spread: int) -> Iterator[pa.RecordBa
                     b1, b2, f1, f2 = np.frombuffer(name + around, np.int64).tolist()
                     base = max(0, lo)
                     context = data[base:lo + part - 1 + length] if part > 1 else b""
-                    out.append((r["doc_id"], r["t1"], r["t2"], x["first"], x["last"], len(data), lo, part, x["n"], b1, b2, f1, f2, base, context))
+                    out.append((x["doc"], x["first"], x["last"], len(data), lo, part, x["n"], b1, b2, f1, f2, base, context))
             if out:
-                yield _refined_columns(out, b.schema.field("doc_id").type)
+                yield _refined_columns(out)
 
 
 def _merge_lists(batches: Iterator) -> Iterator[pa.RecordBatch]:
@@ -273,7 +281,7 @@ def _merge_lists(batches: Iterator) -> Iterator[pa.RecordBatch]:
         for own in b.column("spans").to_pylist():
             s, e = merged(np.array([x["first"] for x in own]), np.array([x["end"] for x in own]))
             spans.append([{"first": x, "end": y} for x, y in zip(s.tolist(), e.tolist())])
-        yield pa.RecordBatch.from_arrays([*[b.column(k) for k in KEY], pa.array(spans, kind)], names=[*KEY, "spans"])
+        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(spans, kind)], names=["doc", "spans"])
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = True) -> DataFrame:
