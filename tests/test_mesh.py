@@ -65,8 +65,8 @@ def test_wall_thickness_between_plates(spark):
                 out += [(a, b, c), (a, c, d)] if up else [(a, c, b), (a, d, c)]
         return out
     tri = triangles(spark, slab=plate(0.7, True) + plate(0.0, False))
-    for levels in (1, 4):
-        hits = mesh.wall_hits(tri, 3.0, 1000, 1, skin=None, levels=levels)
+    for cell_rows in (4, 32, 1000):
+        hits = mesh.wall_hits(tri, 3.0, 1000, 1, skin=None, cell_rows=cell_rows)
         d = [r["distance"] for r in hits.collect()]
         assert len(d) == 98 and all(x == pytest.approx(0.7) for x in d)
     s = mesh.wall_summary(hits, None, 2.0, 10).first()
@@ -74,6 +74,41 @@ def test_wall_thickness_between_plates(spark):
     assert mesh.wall_summary(hits, None, 2.0, 500).first()["thickness_med_mm"] is None
 
 
+def test_wall_search_equals_all_pairs(spark):
+    """Uneven meshes with a dense spot: every distance as found by looking at all pairs, with few vertices met."""
+    dense = [tuple((0.02 * x, 0.02 * y, 0.02 * z - 2.0) for x, y, z in t) for t in sphere(1.0, 24, 12)]
+    tri = triangles(spark, ring=torus(3.0, 1.0, 48, 24), ball=sphere(2.0, 32, 16) + dense, cube=CUBE)
+    v = {}
+    for r in mesh.vertex_table(tri).collect():
+        v.setdefault(r["mesh_id"], []).append((tuple(r["vertex"]), np.array(list(r["pos"])), np.array(list(r["normal"]))))
+    for cell_rows, cap in ((4, 5.0), (32, 2.5)):
+        got = {(r["mesh_id"], tuple(r["vertex"])): r["distance"] for r in mesh.wall_hits(tri, cap, skin=None, cell_rows=cell_rows).collect()}
+        assert len(got) == sum(map(len, v.values()))
+        for m, rows in v.items():
+            pos, normal = np.array([p for _, p, _ in rows]), np.array([n for _, _, n in rows])
+            for key, p, n in rows:
+                gap = pos - p
+                d = np.linalg.norm(gap, axis=1)
+                ok = (d > 1e-3) & (d <= cap) & (-gap @ n > d * 0.6) & (normal @ n < -0.3)
+                assert got[m, key] == (pytest.approx(d[ok].min()) if ok.any() else None), (m, key)
+
+
+def test_wall_search_meets_few_vertices_of_a_fine_mesh(spark):
+    """A slab of a million triangles, 40 spacings thick: a search by radius would meet thousands of vertices per sample."""
+    n, thick = 500, 40.0
+    cell = spark.range(n * n).select((F.col("id") % n).cast("double").alias("x"), F.floor(F.col("id") / n).cast("double").alias("y"), "id")
+    def at(dx, dy, z):
+        return F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(float(z)).alias("z"))
+    def face(k, *corners):
+        return F.struct((F.col("id") * 4 + k).alias("tri_id"), *[at(*c).alias(f"v{i}") for i, c in enumerate(corners)])
+    up = [face(0, (0, 0, thick), (1, 0, thick), (1, 1, thick)), face(1, (0, 0, thick), (1, 1, thick), (0, 1, thick))]
+    down = [face(2, (0, 0, 0), (1, 1, 0), (1, 0, 0)), face(3, (0, 0, 0), (0, 1, 0), (1, 1, 0))]
+    tri = cell.select(F.lit("slab").alias("mesh_id"), F.inline(F.array(*up, *down)))
+    r = mesh.wall_hits(tri, 80.0, 400, 1, skin=None).agg(F.count("distance").alias("n"), F.min("distance").alias("lo"), F.max("distance").alias("hi"), F.max("candidates").alias("met")).first()
+    assert r["n"] == 400 and r["lo"] == pytest.approx(thick) and r["hi"] == pytest.approx(thick)
+    assert r["met"] < 500
+
+
 def test_wall_search_with_cap_per_mesh(spark):
     far = moved(CUBE, 0)
     tri = triangles(spark, near=far, short=far)

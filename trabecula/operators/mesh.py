@@ -12,34 +12,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trabecula.functions import vec
-from trabecula.functions.core import all_of, hash_bucket, hash_order, null_safe_join, ratio
-from trabecula.operators.ordered import exact_quantiles, running_total
+from trabecula.functions.core import all_of, null_safe_join, ratio
+from trabecula.operators.ordered import exact_quantiles
 from trabecula.operators.score import weighted_mean
+from trabecula.operators.surface import TINY, Surface, corner_table, surface, weld_key, with_faces  # noqa: F401
+from trabecula.operators.walls import wall_hits  # noqa: F401
 from trabecula.session import cut_lineage
 
-# Weld grid, smallest area, cone and opposition limits of the wall search, fabric limits.
-WELD_DIGITS = 8
-TINY = 1e-12
-CONE_COS, OPPOSING_DOT, MIN_DISTANCE = 0.6, -0.3, 1e-3
+# Fabric limits.
 NORMAL_TOL, MIN_FABRIC_FACES = 0.9, 100
 
 
-def weld_key(v: Column | str) -> Column:
-    """G1: vertex identity: the coordinates on a fine integer grid."""
-    scale = 10.0 ** WELD_DIGITS
-    return F.struct(*[F.rint(p * scale).cast("long").alias(a) for p, a in zip(vec.parts(v), vec.AXES)])
-
-
-def with_faces(tri: DataFrame) -> DataFrame:
-    """Area, unit normal and the doubled-area vector of every triangle."""
-    t = tri.withColumn("cr", vec.cross(vec.sub("v1", "v0"), vec.sub("v2", "v0")))
-    t = t.withColumn("twice", vec.norm("cr"))
-    inv = F.when(F.col("twice") > 0, 1.0 / F.col("twice")).otherwise(F.lit(0.0))
-    return t.withColumns({"area": F.col("twice") / 2.0, "normal": vec.times("cr", inv)}).drop("cr", "twice")
-
-
-def measures(tri: DataFrame, cell: float | None = None) -> DataFrame:
+def measures(tri: DataFrame | Surface, cell: float | None = None) -> DataFrame:
     """Triangles, box, volume, area, volume fraction on the box or nominal-cell basis, surface ratios."""
+    tri = _triangles(tri)
     six = vec.dot("v0", vec.cross("v1", "v2")) / 6.0
     lows = [F.min(F.least(*[F.col(f"{v}.{a}") for v in ("v0", "v1", "v2")])).alias(f"lo_{a}") for a in vec.AXES]
     highs = [F.max(F.greatest(*[F.col(f"{v}.{a}") for v in ("v0", "v1", "v2")])).alias(f"hi_{a}") for a in vec.AXES]
@@ -56,25 +42,20 @@ def measures(tri: DataFrame, cell: float | None = None) -> DataFrame:
     return m.withColumns({"SAV_x_cell": ratio("area", "volume") * scale, "rel_surface": ratio("area", "box_volume") * scale})
 
 
-def edge_table(tri: DataFrame) -> DataFrame:
-    """Undirected edges with how many faces use them and the balance of their directions."""
-    k = tri.select("mesh_id", *[weld_key(v).alias(f"k{i}") for i, v in enumerate(("v0", "v1", "v2"))])
-    half = F.array(*[F.struct(F.col(f"k{i}").alias("a"), F.col(f"k{(i + 1) % 3}").alias("b")) for i in range(3)])
-    e = k.select("mesh_id", F.inline(half))
-    e = e.select("mesh_id", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"),
-                 F.when(F.col("a") < F.col("b"), 1).otherwise(-1).alias("way"))
-    return e.groupBy("mesh_id", "lo", "hi").agg(F.count(F.lit(1)).alias("n_faces"), F.sum("way").alias("balance"))
+def _triangles(tri: DataFrame | Surface) -> DataFrame:
+    """The written faces of a kept surface, or the triangles."""
+    return tri if isinstance(tri, DataFrame) else tri.faces if tri.keep else tri.tri
 
 
-def topology(tri: DataFrame) -> DataFrame:
+def topology(tri: DataFrame | Surface) -> DataFrame:
     """Closed (every edge has two faces), consistently wound, Euler number V - E + F."""
-    edges = edge_table(tri)
+    edges = surface(tri).edge_use
     per = edges.groupBy("mesh_id").agg(
         F.count(F.lit(1)).alias("n_edges"), (F.count_if(F.col("n_faces") != 2) == 0).alias("watertight"),
         (F.count_if((F.col("n_faces") == 2) & (F.col("balance") != 0)) == 0).alias("winding_ok"))
     ends = edges.select("mesh_id", F.explode(F.array("lo", "hi")).alias("v")).distinct()
     verts = ends.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_vertices"))
-    faces = tri.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_tris"))
+    faces = _triangles(tri).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_tris"))
     out = per.join(verts, "mesh_id").join(faces, "mesh_id")
     return out.withColumn("euler", F.col("n_vertices") - F.col("n_edges") + F.col("n_tris"))
 
@@ -99,13 +80,13 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("mesh_id", "a", F.col("m").alias("b"))).distinct()
 
 
-def components(tri: DataFrame) -> DataFrame:
+def components(tri: DataFrame | Surface) -> DataFrame:
     """(mesh_id, a = vertex, b = smallest vertex of its body) for every vertex that is not that smallest one.
 
     Alternating large-star / small-star contraction; each round is checkpointed, so neither lineage
     nor a lost executor makes it start over.
     """
-    e = edge_table(tri).where(F.col("lo") != F.col("hi")).select("mesh_id", F.col("hi").alias("a"), F.col("lo").alias("b"))
+    e = surface(tri).edge_use.where(F.col("lo") != F.col("hi")).select("mesh_id", F.col("hi").alias("a"), F.col("lo").alias("b"))
     sign = None
     while True:
         e = cut_lineage(_small_star(_large_star(e)))
@@ -115,89 +96,46 @@ def components(tri: DataFrame) -> DataFrame:
         sign = now
 
 
-def bodies(tri: DataFrame) -> DataFrame:
+def bodies(tri: DataFrame | Surface) -> DataFrame:
     """Disconnected bodies per mesh: vertices less those that point to another vertex."""
     key = F.explode(F.array(*[weld_key(v) for v in ("v0", "v1", "v2")]))
-    verts = tri.select("mesh_id", key.alias("k")).distinct().groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_vertices"))
+    verts = _triangles(tri).select("mesh_id", key.alias("k")).distinct().groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_vertices"))
     tied = components(tri).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_tied"))
     out = verts.join(tied, "mesh_id", "left")
     return out.select("mesh_id", (F.col("n_vertices") - F.coalesce("n_tied", F.lit(0))).alias("bodies"))
 
 
-def report(tri: DataFrame, cell: float | None = None) -> DataFrame:
+def report(tri: DataFrame | Surface, cell: float | None = None) -> DataFrame:
     """One health row per mesh, ready for the mesh gate."""
     return measures(tri, cell).join(topology(tri).drop("n_tris"), "mesh_id").join(bodies(tri), "mesh_id")
 
 
-def corner_table(tri: DataFrame) -> DataFrame:
-    """One row per triangle corner: vertex, angle, a third of the area, angle-weighted normal, cotangent pull."""
-    t = with_faces(tri)
-    for i in range(3):
-        a, b, c = f"v{i}", f"v{(i + 1) % 3}", f"v{(i + 2) % 3}"
-        u, w = vec.sub(b, a), vec.sub(c, a)
-        size = vec.norm(vec.cross(u, w))
-        t = t.withColumns({f"ang{i}": vec.angle(u, w), f"cot{i}": vec.dot(u, w) / F.greatest(size, F.lit(1e-20))})
-    def corner(i):
-        j, k = (i + 1) % 3, (i + 2) % 3
-        pull = vec.add(vec.times(vec.sub(f"v{k}", f"v{i}"), F.col(f"cot{j}")), vec.times(vec.sub(f"v{j}", f"v{i}"), F.col(f"cot{k}")))
-        return F.struct(weld_key(f"v{i}").alias("vertex"), F.col(f"v{i}").alias("pos"), F.col(f"ang{i}").alias("angle"),
-                        (F.col("area") / 3.0).alias("third"), vec.times("normal", F.col(f"ang{i}")).alias("wn"), pull.alias("pull"))
-    return t.select("mesh_id", "tri_id", F.inline(F.array(*[corner(i) for i in range(3)])))
+def vertex_table(tri: DataFrame | Surface) -> DataFrame:
+    """Per vertex position, unit normal, dual area, Gaussian and cotangent mean curvature."""
+    return surface(tri).vertices
 
 
-def vertex_table(tri: DataFrame) -> DataFrame:
-    """Per vertex position, unit normal, dual area, Gaussian and cotangent mean curvature."""
-    v = corner_table(tri).groupBy("mesh_id", "vertex").agg(
-        *[F.min(F.col(f"pos.{a}")).alias(f"p{a}") for a in vec.AXES], F.sum("angle").alias("angles"),
-        F.sum("third").alias("dual"), *vec.sums("wn", "n"), *vec.sums("pull", "l"))
-    v = v.withColumns({"pos": vec.packed("p"), "__n": vec.packed("n"), "__l": vec.packed("l")})
-    v = v.withColumn("__len", vec.norm("__n"))
-    v = v.withColumn("normal", vec.times("__n", F.when(F.col("__len") > 0, 1.0 / F.col("__len")).otherwise(F.lit(0.0))))
-    ok = F.col("dual") > TINY
-    k = F.when(ok, (2.0 * math.pi - F.col("angles")) / F.col("dual"))
-    h = F.when(ok, vec.dot("__l", "normal") / (F.col("dual") * 2.0) * -0.5)
-    return v.select("mesh_id", "vertex", "pos", "normal", "dual", k.alias("gauss"), h.alias("mean_cot"))
-
-
-def edge_curvature(tri: DataFrame) -> DataFrame:
-    """Dihedral mean curvature of edges with two faces, convex positive; weight is a third of both areas.
-
-    The two faces meet in one aggregate per edge, so the mesh is never joined with itself.
-    """
-    t = with_faces(tri)
-    t = t.withColumns({f"k{i}": weld_key(f"v{i}") for i in range(3)})
-    def half(i):
-        j, k = (i + 1) % 3, (i + 2) % 3
-        swap = F.col(f"k{i}") > F.col(f"k{j}")
-        return F.struct(F.least(f"k{i}", f"k{j}").alias("lo"), F.greatest(f"k{i}", f"k{j}").alias("hi"),
-                        F.when(swap, F.col(f"v{j}")).otherwise(F.col(f"v{i}")).alias("p_lo"),
-                        F.when(swap, F.col(f"v{i}")).otherwise(F.col(f"v{j}")).alias("p_hi"), F.col(f"v{k}").alias("opposite"))
-    e = t.select("mesh_id", "tri_id", "area", "normal", F.inline(F.array(*[half(i) for i in range(3)])))
-    side = F.struct("normal", "area", "opposite", "p_lo", "p_hi")
-    e = e.groupBy("mesh_id", "lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min_by(side, "tri_id").alias("f"), F.max_by(side, "tri_id").alias("g"))
-    e = e.where((F.col("n") == 2) & (F.col("lo") != F.col("hi")))
-    length = vec.norm(vec.sub("f.p_lo", "f.p_hi"))
-    rise = vec.dot("f.normal", vec.sub("g.opposite", "f.p_lo"))
-    e = e.withColumns({"weight": (F.col("f.area") + F.col("g.area")) / 3.0, "theta": vec.angle(F.col("f.normal"), F.col("g.normal")),
-                       "length": length, "sign": F.when(rise < 1e-8, 1.0).otherwise(-1.0)})
+def edge_curvature(tri: DataFrame | Surface) -> DataFrame:
+    """Dihedral mean curvature of edges with two faces, convex positive; weight is a third of both areas."""
+    e = surface(tri).edges.where((F.col("n_faces") == 2) & (F.col("lo") != F.col("hi")))
+    rise = vec.dot("nf", vec.sub("og", "p_lo"))
+    e = e.withColumns({"weight": F.col("areas") / 3.0, "theta": vec.angle("nf", "ng"), "length": vec.norm(vec.sub("p_lo", "p_hi")), "sign": F.when(rise < 1e-8, 1.0).otherwise(-1.0)})
     h = F.when(F.col("weight") > TINY, F.col("sign") * 0.5 * F.col("theta") * F.col("length") / F.col("weight"))
-    return e.select("mesh_id", "lo", "hi", F.col("f.p_lo").alias("p_lo"), F.col("f.p_hi").alias("p_hi"), "weight", h.alias("mean"))
+    return e.select("mesh_id", "lo", "hi", "p_lo", "p_hi", "weight", h.alias("mean"))
 
 
-def vertex_mean_curvature(tri: DataFrame) -> DataFrame:
+def vertex_mean_curvature(tri: DataFrame | Surface) -> DataFrame:
     """Dihedral curvature spread onto vertices, weighted by area (0 where no edge contributes)."""
+    tri = surface(tri)
     e = edge_curvature(tri).where(F.col("mean").isNotNull())
     ends = e.select("mesh_id", F.explode(F.array("lo", "hi")).alias("vertex"), "mean", "weight")
     h = ends.groupBy("mesh_id", "vertex").agg(weighted_mean("mean", "weight").alias("mean_dihedral"))
     return vertex_table(tri).join(h, ["mesh_id", "vertex"], "left").withColumn("mean_dihedral", F.coalesce("mean_dihedral", F.lit(0.0)))
 
 
-def boxes(tri: DataFrame) -> DataFrame:
+def boxes(tri: DataFrame | Surface) -> DataFrame:
     """Bounding box of each mesh."""
-    vs = ("v0", "v1", "v2")
-    return tri.groupBy("mesh_id").agg(
-        *[F.min(F.least(*[F.col(f"{v}.{a}") for v in vs])).alias(f"lo_{a}") for a in vec.AXES],
-        *[F.max(F.greatest(*[F.col(f"{v}.{a}") for v in vs])).alias(f"hi_{a}") for a in vec.AXES])
+    return surface(tri).boxes
 
 
 def interior(pos: str | Column, skin: float) -> Column:
@@ -218,21 +156,24 @@ def in_domain(pos: str | Column, inner: float | Column | None, offset: float) ->
     return F.coalesce(all_of([F.abs(p) <= half for p in vec.parts(pos)]), half.isNull())
 
 
-def interior_share(tri: DataFrame, skin: float) -> DataFrame:
+def interior_share(tri: DataFrame | Surface, skin: float) -> DataFrame:
     """Share of the vertices that are interior."""
-    v = tri.select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("pos"))
-    v = v.groupBy("mesh_id", weld_key("pos").alias("vertex")).agg(*[F.min(F.col(f"pos.{a}")).alias(f"p{a}") for a in vec.AXES])
-    v = null_safe_join(v.withColumn("pos", vec.packed("p")), boxes(tri), ["mesh_id"])
+    if isinstance(tri, Surface) and tri.keep:
+        v = tri.vertices.select("mesh_id", "pos")
+    else:
+        v = _triangles(tri).select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("pos"))
+        v = v.groupBy("mesh_id", weld_key("pos").alias("vertex")).agg(*[F.min(F.col(f"pos.{a}")).alias(f"p{a}") for a in vec.AXES]).withColumn("pos", vec.packed("p"))
+    v = null_safe_join(v, boxes(tri), ["mesh_id"])
     return v.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_vertices"), F.count_if(interior("pos", skin)).alias("n_interior"),
                                     F.avg(interior("pos", skin).cast("double")).alias("interior_vert_frac"))
 
 
-def curvature_summary(tri: DataFrame, cell: float, skin: float | None = 0.02) -> DataFrame:
+def curvature_summary(tri: DataFrame | Surface, cell: float, skin: float | None = 0.02) -> DataFrame:
     """Area means, quartile spreads and p99 of Gaussian and mean curvature, scaled by the cell size.
 
     `skin=None` keeps the whole surface.
     """
-    L = float(cell)
+    L, tri = float(cell), surface(tri)
     v = vertex_table(tri).where(F.col("gauss").isNotNull())
     e = edge_curvature(tri).where(F.col("mean").isNotNull())
     if skin is not None:
@@ -255,49 +196,6 @@ def curvature_summary(tri: DataFrame, cell: float, skin: float | None = 0.02) ->
     return out.join(q, "mesh_id", "left")
 
 
-def _cells(pos: Column, size: float | Column) -> tuple[Column, Column, Column]:
-    return tuple(F.floor(p / size).alias(f"c{a}") for p, a in zip(vec.parts(pos), vec.AXES))
-
-
-def wall_hits(tri: DataFrame, cap: float | DataFrame, n_samples: int | None = None, seed: int = 0, skin: float | None = 0.02, levels: int = 4) -> DataFrame:
-    """Per vertex (of `n_samples` hashed ones per mesh, if given) the distance to the nearest opposing vertex inside the inward cone (null: none).
-
-    `cap` is one search radius or a table (mesh_id, cap). Vertices are bucketed on a grid whose cell is the search
-    radius and met by equal cell numbers. The radius starts at cap / 2^(levels-1) and doubles; a sample leaves as
-    soon as a hit lies within the radius, so most samples never look at the wide neighbourhood. Every radius is
-    checkpointed: the next one starts from the samples still open, not from the mesh.
-    """
-    verts = vertex_table(tri).select("mesh_id", "vertex", "pos", "normal")
-    caps = cap if isinstance(cap, DataFrame) else None
-    pool = cut_lineage(null_safe_join(verts, caps, ["mesh_id"]) if caps is not None else verts.withColumn("cap", F.lit(float(cap))))
-    cand = pool if skin is None else null_safe_join(pool, boxes(tri), ["mesh_id"]).where(interior("pos", skin)).select(*pool.columns)
-    left = cand
-    if n_samples is not None:
-        cand = cand.withColumn("__h", hash_order(seed, "mesh_id", "vertex"))
-        left = running_total(cand, ["mesh_id"], ["__h", "vertex"], hash_bucket("__h"), out="__pos")
-        left = left.where(F.col("__pos") <= n_samples).drop("__h", "__pos")
-    done = None
-    for level in reversed(range(levels)):
-        r = F.col("cap") / float(2 ** level)
-        near = pool.select("mesh_id", F.col("pos").alias("q"), F.col("normal").alias("qn"), *_cells(F.col("pos"), r))
-        cx, cy, cz = _cells(F.col("pos"), r)
-        shift = F.transform(F.sequence(F.lit(0), F.lit(26)), lambda i: F.struct(
-            (cx + F.floor(i / 9).cast("long") - 1).alias("cx"), (cy + F.floor(i / 3).cast("long") % 3 - 1).alias("cy"),
-            (cz + i % 3 - 1).alias("cz")))
-        probe = left.select("mesh_id", "vertex", "pos", "normal", "cap", F.inline(shift))
-        j = probe.join(near, ["mesh_id", "cx", "cy", "cz"])
-        gap = vec.sub("q", "pos")
-        d = vec.norm(gap)
-        hit = (d > MIN_DISTANCE) & (d <= r) & (-vec.dot(gap, "normal") > d * CONE_COS) & (vec.dot("qn", "normal") < OPPOSING_DOT)
-        best = j.where(hit).groupBy("mesh_id", "vertex").agg(F.min(d).alias("distance"))
-        seen = cut_lineage(left.join(best, ["mesh_id", "vertex"], "left"))
-        found = seen if level == 0 else seen.where(F.col("distance").isNotNull())
-        found = found.select("mesh_id", "vertex", "distance")
-        done = found if done is None else done.unionByName(found)
-        left = seen.where(F.col("distance").isNull()).drop("distance")
-    return done
-
-
 def wall_summary(hits: DataFrame, expected: DataFrame | None, cell: float, min_hits: int) -> DataFrame:
     """Median, sd, hits and ratios per mesh; measures are null when there are too few hits."""
     h = hits.where(F.col("distance").isNotNull())
@@ -325,9 +223,10 @@ def symmetric_eigenvalues(xx, yy, zz, xy, xz, yz) -> Column:
     return F.when(p > 0, F.array(e1, q * 3.0 - e1 - e3, e3)).otherwise(F.array(q, q, q))
 
 
-def fabric(tri: DataFrame, skin: float = 0.02, axis_tol: float = NORMAL_TOL, min_faces: int = MIN_FABRIC_FACES) -> DataFrame:
+def fabric(tri: DataFrame | Surface, skin: float = 0.02, axis_tol: float = NORMAL_TOL, min_faces: int = MIN_FABRIC_FACES) -> DataFrame:
     """Area-weighted orientation tensor without cut faces; null measures when too few faces are left."""
-    t = null_safe_join(with_faces(tri), boxes(tri), ["mesh_id"])
+    tri = surface(tri)
+    t = null_safe_join(tri.faces, boxes(tri), ["mesh_id"])
     keep = []
     for a in vec.AXES:
         c = (F.col(f"v0.{a}") + F.col(f"v1.{a}") + F.col(f"v2.{a}")) / 3.0

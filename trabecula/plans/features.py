@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trabecula.functions.core import null_safe_join
 from trabecula.operators import mesh
+from trabecula.operators.surface import Surface
 
 #: Hits that wall measures need.
 MIN_HITS = 20
@@ -16,8 +17,10 @@ def feature_table(tri: DataFrame, files: DataFrame, cell: float, cap: float | Da
                   min_hits: int = MIN_HITS, n_samples: int | None = None, seed: int = 0) -> DataFrame:
     """One row per row of `files` (mesh_id, status) with all measures of its triangles.
 
-    A file that is not usable keeps its status, a usable one without triangles gets ERROR; their measures are null.
+    A file that is not usable keeps its status, a usable one without triangles gets ERROR; their measures are null. The triangles are scanned once:
+    all measures read the written tables of one surface.
     """
+    tri = Surface(tri, keep=True)
     walls = mesh.wall_summary(mesh.wall_hits(tri, cap, n_samples, seed, skin=skin), expected, cell, min_hits)
     out = files
     for part in (mesh.measures(tri, cell), mesh.topology(tri).drop("n_tris"), mesh.interior_share(tri, skin or 0.0).drop("n_vertices"), mesh.curvature_summary(tri, cell, skin), walls,
