@@ -228,6 +228,42 @@ def invert_calibration(t):
     return out.select("c_custkey", F.round("t_solved", 5).alias("t_solved"), "in_range")
 
 
+@query("invert_calibration_outlier", """
+WITH c0 AS (SELECT n_regionkey AS topo, s_suppkey * 1.0 AS t, sum(2.5 + s_suppkey % 5) OVER (PARTITION BY n_regionkey ORDER BY s_suppkey) AS vf
+           FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT * FROM c0 UNION ALL SELECT topo, max(t) + 1, 1e9 FROM c0 GROUP BY topo),
+iv AS (SELECT topo, t AS t0, lead(t) OVER w AS t1, vf AS v0, lead(vf) OVER w AS v1 FROM c WINDOW w AS (PARTITION BY topo ORDER BY vf)),
+p AS (SELECT c_custkey, n_regionkey AS topo, 5 + abs(c_acctbal) / 7 AS rho FROM customer JOIN nation ON c_nationkey = n_nationkey),
+m AS (SELECT c_custkey, max(t0 + (rho - v0) / (v1 - v0) * (t1 - t0)) AS ts FROM p JOIN iv ON p.topo = iv.topo AND rho >= v0 AND rho <= v1 GROUP BY c_custkey)
+SELECT p.c_custkey, round(ts, 5) AS t_solved, ts IS NOT NULL AS in_range FROM p LEFT JOIN m USING (c_custkey)
+""")
+def invert_calibration_outlier(t):
+    """One curve point far away from all others widens nothing: the sweep is a sort."""
+    c = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_regionkey").alias("topo"), "s_suppkey", F.col("s_suppkey").cast("double").alias("t"), (F.lit(2.5) + F.col("s_suppkey") % 5).alias("step"))
+    curve = running_total(c, ["topo"], ["s_suppkey"], None, "step", out="vf").select("topo", "t", "vf")
+    far = curve.groupBy("topo").agg((F.max("t") + 1).alias("t"), F.lit(1e9).alias("vf"))
+    pts = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", F.col("n_regionkey").alias("topo"), (F.lit(5) + F.abs("c_acctbal") / 7).alias("rho"))
+    out = link.invert_curve(pts, "rho", curve.unionByName(far), keys=["topo"])
+    return out.select("c_custkey", F.round("t_solved", 5).alias("t_solved"), "in_range")
+
+
+@query("link_contained_whole", """
+WITH f AS (SELECT DISTINCT p_brand || '_' || p_size AS stem FROM part UNION SELECT DISTINCT substr(p_type, 1, 2) FROM part UNION SELECT DISTINCT p_name FROM part UNION SELECT 'no such part'),
+n AS (SELECT DISTINCT p_type || ' ' || p_brand || '_' || p_size || '/' || p_name AS name FROM part UNION SELECT DISTINCT substr(p_brand, 1, 7) FROM part UNION SELECT 'PRO'),
+m AS (SELECT stem, min(name) AS matched_name FROM f JOIN n ON contains(name, stem) OR contains(stem, name) GROUP BY stem)
+SELECT f.stem, matched_name, CASE WHEN matched_name IS NULL THEN 'none' ELSE 'contains' END AS match_kind FROM f LEFT JOIN m USING (stem)
+""")
+def link_contained_whole(t):
+    """All parts on both sides; stems of one gram that very many names have, and names of one gram."""
+    code = F.concat(F.col("p_brand"), F.lit("_"), F.col("p_size").cast("string"))
+    one = t.part.limit(1)
+    f = t.part.select(code.alias("stem")).union(t.part.select(F.substring("p_type", 1, 2))).union(t.part.select("p_name")).union(one.select(F.lit("no such part"))).distinct()
+    n = t.part.select(F.concat("p_type", F.lit(" "), code, F.lit("/"), "p_name").alias("name")).union(t.part.select(F.substring("p_brand", 1, 7))).union(one.select(F.lit("PRO")))
+    return link.link_contained(f, "stem", n, "name").select("stem", "matched_name", "match_kind")
+
+
 @query("design_grid", """
 WITH b AS (SELECT p_brand, min(p_size) * 1.0 AS lo, max(p_size) * 1.0 AS hi, min(p_retailprice) AS plo, max(p_retailprice) AS phi FROM part GROUP BY p_brand),
 c AS (SELECT p_partkey, greatest(lo, least(p_size * 0.9, hi)) AS a0, greatest(lo, least(p_size * 1.1, hi)) AS a1,

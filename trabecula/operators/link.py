@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trabecula.functions.core import col, null_safe_join, number, ratio
 from trabecula.functions.names import strip_suffix
-from trabecula.operators.ordered import interval_join, keep_one, neighbours, with_bucket
+from trabecula.operators.ordered import bracket, keep_one
 
 # Share of unmatched rows above which a join is refused, slack of a measured range, suffix an alias may carry.
 MAX_UNMATCHED = 0.20
 RANGE_SLACK = 1e-9
+#: Characters of the grams that contains-matching looks names up by.
+GRAM = 3
 ALIAS_SUFFIX = " Generator"
 
 
@@ -87,25 +89,44 @@ def prefer_first(rows: DataFrame, sources: list[tuple[str, DataFrame]], keys: li
     return rows.drop(*[f"__v_{n}" for n, _ in picks])
 
 
-def _pieces(df: DataFrame, c: str, lengths: Column) -> DataFrame:
-    """One row per distinct substring `__p` of column c whose length is in `lengths`."""
-    cut = df.withColumn("__len", F.explode(lengths)).where(F.col("__len") <= F.length(c))
-    cut = cut.withColumn("__at", F.explode(F.sequence(F.lit(1), F.length(c) - F.col("__len") + 1)))
-    return cut.withColumn("__p", F.substring(F.col(c), F.col("__at"), F.col("__len"))).drop("__len", "__at").distinct()
+def _grams(df: DataFrame, c: str, sizes: Column) -> DataFrame:
+    """`df` with one row per distinct gram of column c, of each length in the array `sizes`."""
+    def cut(k: Column) -> Column:
+        return F.when(k <= F.length(c), F.transform(F.sequence(F.lit(1), F.length(c) - k + 1), lambda i: F.substring(F.col(c), i, k))).otherwise(F.array().cast("array<string>"))
+
+    return df.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform(sizes, cut)))))
+
+
+def contained_pairs(needles: DataFrame, needle: str, hays: DataFrame, hay: str) -> DataFrame:
+    """(needle, hay) for distinct needles that lie inside distinct hays, by an inverted table of the hays' grams.
+
+    A needle looks up its rarest gram only, and meets just the hays that have it. A needle no longer than a gram is a gram itself: it never meets
+    the hays, but takes the smallest hay that its gram has, which stands for all of them. A gram that the hays lack ends its needle.
+    """
+    size = F.least(F.length(needle), F.lit(GRAM))
+    sizes = [r[0] for r in needles.select(size.alias("k")).where("k IS NOT NULL").distinct().collect()]  # at most GRAM + 1 of them
+    listed = _grams(hays, hay, F.array(*[F.lit(k) for k in sizes]) if sizes else F.array().cast("array<int>"))
+    known = listed.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min(hay).alias("least"))
+    own = _grams(needles, needle, F.array(size)).join(known, "gram", "left")
+    rarest = own.groupBy(needle).agg(F.count_if(F.col("df").isNull()).alias("missing"), F.min(F.struct("df", "gram", "least")).alias("pick")).where("missing = 0")
+    whole = rarest.where(F.length(needle) <= GRAM).select(needle, F.col("pick.least").alias(hay))
+    probe = rarest.where(F.length(needle) > GRAM).select(needle, F.col("pick.gram").alias("gram"))
+    met = probe.join(listed, "gram").where(F.contains(F.col(hay), F.col(needle))).select(needle, hay)
+    return whole.unionByName(met)
 
 
 def link_contained(rows: DataFrame, stem: str, names: DataFrame, name: str) -> DataFrame:
     """For the rows left over by the exact joins, the first name that contains the stem or lies inside it.
 
-    Both directions are equality joins on substrings, cut only at lengths the other side really has.
+    A short name is met by every stem that has it as a gram; other pairs only by the rarest gram of the shorter side. Minima are taken before the shuffle.
     """
-    probe = rows.select(F.col(stem).alias("__s")).distinct()
-    index = names.select(F.col(name).alias("__n")).distinct()
-    lens_n = index.agg(F.collect_set(F.length("__n"))).scalar()
-    lens_s = probe.agg(F.collect_set(F.length("__s"))).scalar()
-    inside = _pieces(probe, "__s", lens_n).join(index, F.col("__p") == F.col("__n")).select("__s", "__n")
-    around = _pieces(index, "__n", lens_s).join(probe, F.col("__p") == F.col("__s")).select("__s", "__n")
-    best = inside.unionByName(around).groupBy("__s").agg(F.min("__n").alias("matched_name"))
+    probe = rows.select(F.col(stem).alias("__s")).where(F.col("__s").isNotNull()).distinct()
+    index = names.select(F.col(name).alias("__n")).where(F.col("__n").isNotNull()).distinct()
+    around = contained_pairs(probe, "__s", index, "__n")
+    short, long = index.where(F.length("__n") <= GRAM), index.where(F.length("__n") > GRAM)
+    inside = contained_pairs(long, "__n", probe, "__s").select("__s", "__n")
+    tiny = _grams(probe, "__s", F.sequence(F.lit(0), F.lit(GRAM))).join(short, F.col("gram") == F.col("__n")).select("__s", "__n")
+    best = around.unionByName(inside).unionByName(tiny).groupBy("__s").agg(F.min("__n").alias("matched_name"))
     out = rows.join(best, F.col(stem) == F.col("__s"), "left").drop("__s")
     return out.withColumn("match_kind", F.when(F.col("matched_name").isNotNull(), F.lit("contains")).otherwise(F.lit("none")))
 
@@ -167,53 +188,32 @@ def novel_range(plan: DataFrame, built: DataFrame, x: str, step: float, keys: li
     return plan.join(b, cond, "left_anti")
 
 
-def _span_width(spans: DataFrame, lo: str, hi: str) -> float:
-    """Bucket width at which disjoint spans cover about as many buckets as there are spans (one-row result)."""
-    w = spans.agg(((F.max(hi) - F.min(lo)) / F.count(F.lit(1))).alias("w")).first()["w"]
-    return w if w and w > 0 else 1.0
+def nearest(targets: DataFrame, x: str, lookup: DataFrame, value: str, carry: list[str] = ()) -> DataFrame:
+    """Closest lookup row per target, the smaller value on a tie. A sweep over targets and lookup values together."""
+    names = [value, *carry]
+    uniq = keep_one(lookup.select(*names).where(F.col(value).isNotNull()), [value], [value])
+    got = bracket(targets.withColumn("__at", F.col(x).cast("double")), "__at", uniq, value)
+    low, high = F.col("before"), F.col("after")
+    closer = F.col("__at") - low[value] <= high[value] - F.col("__at")
+    pick = F.when(F.col("__at").isNull(), None).when(low.isNull(), high).when(high.isNull() | closer, low).otherwise(high)
+    return got.withColumn("__pick", pick).select(*targets.columns, *[F.col(f"__pick.{n}").alias(f"near_{n}") for n in names])
 
 
-def nearest(targets: DataFrame, x: str, lookup: DataFrame, value: str, carry: list[str] = ()) -> DataFrame:
-    """Closest lookup row per target, the smaller value on a tie.
+def invert_curve(points: DataFrame, rho: str, curve: DataFrame, t: str = "t", vf: str = "vf", keys: list[str] = ()) -> DataFrame:
+    """T at which the measured curve reaches rho, linear between neighbours, by a sweep over requests and curve points together.
 
-    Targets and lookup values are ordered together in buckets; each target takes the last value before it and the first behind it, in its bucket
-    or in the nearest one that has any. The work is a sort, whatever the values: an outlier widens nothing.
-    """
-    names = [value, *carry]
-    uniq = keep_one(lookup.select(*names).where(F.col(value).isNotNull()), [value], [value]).select(F.struct(*names).alias("__l"), F.col(value).cast("double").alias("__x"))
-    mine = targets.select(F.struct(*targets.columns).alias("__t"), F.col(x).cast("double").alias("__x"))
-    both = with_bucket(mine.unionByName(uniq, allowMissingColumns=True), "__x")
-    up, down = (Window.partitionBy("__b").orderBy(o, F.col("__t").isNotNull()).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("__x").asc(), F.col("__x").desc()))
-    inside = both.withColumns({"__before": F.last("__l", True).over(up), "__after": F.last("__l", True).over(down)}).where(F.col("__t").isNotNull())
-    per = both.groupBy("__b").agg(F.min_by("__l", F.when(F.col("__l").isNotNull(), F.col("__x"))).alias("__first"), F.max_by("__l", F.when(F.col("__l").isNotNull(), F.col("__x"))).alias("__last"))
-    back, ahead = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("__b").asc(), F.col("__b").desc()))
-    per = per.select("__b", F.last("__last", True).over(back).alias("__far_before"), F.last("__first", True).over(ahead).alias("__far_after"))
-    got = null_safe_join(inside, per, ["__b"])
-    low, high = F.coalesce("__before", "__far_before"), F.coalesce("__after", "__far_after")
-    closer = F.col("__x") - low[value] <= high[value] - F.col("__x")
-    pick = F.when(F.col("__x").isNull(), None).when(low.isNull(), high).when(high.isNull() | closer, low).otherwise(high)
-    got = got.withColumn("__pick", pick)
-    return got.select("__t.*", *[F.col(f"__pick.{n}").alias(f"near_{n}") for n in names])
-
-
-def invert_curve(points: DataFrame, rho: str, curve: DataFrame, t: str = "t", vf: str = "vf",
-                 keys: list[str] = (), width: float | None = None) -> DataFrame:
-    """T at which the measured curve reaches rho, linear between neighbours.
-
-    Requests outside the measured range (beyond RANGE_SLACK) keep a null t and in_range = false.
+    Of curve points with one vf the largest t ends the step before a request above it and the smallest t the step behind a request below it. Requests outside
+    the measured range (beyond RANGE_SLACK) keep a null t and in_range = false. Curve points without vf or t don't count.
     """
     keys = list(keys)
-    pairs = neighbours(curve, keys, [vf, t], [vf, t])
-    names = ["__v0", "__v1", "__t0", "__t1"]
-    spans = pairs.select(*keys, *[F.col(c).alias(n) for c, n in zip((f"cur.{vf}", f"nxt.{vf}", f"cur.{t}", f"nxt.{t}"), names)]).where("__v1 > __v0")
-    # Half-open spans never share a point; a sliver at each end holds the ends themselves.
-    ends = curve.groupBy(*keys).agg(F.min(vf).alias("lo"), F.min_by(t, vf).alias("t_lo"), F.max(vf).alias("hi"), F.max_by(t, vf).alias("t_hi"))
-    def sliver(a, b, at):
-        return F.struct(a.alias("__v0"), b.alias("__v1"), F.col(at).alias("__t0"), F.col(at).alias("__t1"))
-    tips = ends.select(*keys, F.inline(F.array(sliver(F.col("lo") - RANGE_SLACK, F.col("lo"), "t_lo"), sliver(F.col("hi"), F.col("hi") + RANGE_SLACK, "t_hi"))))
-    got = interval_join(points, rho, spans.unionByName(tips), "__v0", "__v1", width or _span_width(spans, "__v0", "__v1"), keys=keys, how="left")
-    solved = F.col("__t0") + (F.col(rho) - F.col("__v0")) / (F.col("__v1") - F.col("__v0")) * (F.col("__t1") - F.col("__t0"))
-    return got.select(*points.columns, solved.alias("t_solved")).withColumn("in_range", F.col("t_solved").isNotNull())
+    usable = curve.where(F.col(vf).isNotNull() & F.col(t).isNotNull()).select(*keys, F.col(vf).cast("double").alias("v"), F.col(t).cast("double").alias("t"))
+    knots = usable.groupBy(*keys, "v").agg(F.min("t").alias("t_first"), F.max("t").alias("t_last"))
+    got = bracket(points.withColumn("__rho", F.col(rho).cast("double")), "__rho", knots, "v", keys)
+    lo, hi, at = F.col("before"), F.col("after"), F.col("__rho")
+    between = lo["t_last"] + (at - lo["v"]) / (hi["v"] - lo["v"]) * (hi["t_first"] - lo["t_last"])
+    solved = (F.when(lo.isNotNull() & hi.isNotNull(), between).when(lo.isNotNull() & (at - lo["v"] < RANGE_SLACK), lo["t_last"])
+              .when(hi.isNotNull() & (hi["v"] - at <= RANGE_SLACK), hi["t_first"]))
+    return got.withColumn("t_solved", solved).select(*points.columns, "t_solved").withColumn("in_range", F.col("t_solved").isNotNull())
 
 
 def parameter_grid(centres: DataFrame, axes: dict[str, tuple[Column, Column, int]], digits: int = 2) -> DataFrame:

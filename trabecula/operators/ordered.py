@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trabecula.functions.core import any_of, col, null_safe_join, order_bucket
-from trabecula.session import cut_lineage
+from trabecula.session import cut_lineage, written
 
 
 #: Rows that one ordered bucket should hold.
@@ -126,6 +126,29 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
     return got.select(*out)
 
 
+def bracket(points: DataFrame, x: str | Column, knots: DataFrame, at: str, keys: list[str] = ()) -> DataFrame:
+    """Adds to each point the structs `before`, the last knot of its key at or below x, and `after`, the first one above (null: none, or x is null).
+
+    A sweep: the distinct values of the points and the knots (unique per key and `at`) are cut into ranges together, each range looks at its own rows, and
+    what a range lacks comes over its border from the nearest range that has a knot. The work is one sort whatever the distances between knots, and a
+    value that many points share is looked up once.
+    """
+    keys, row = list(keys), F.struct(*knots.columns)
+    at_x = col(x).cast("double")
+    wanted = points.select(*keys, at_x.alias("__x")).where(F.col("__x").isNotNull()).distinct()
+    given = knots.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("double").alias("__x"), row.alias("__k"))
+    both = given.unionByName(wanted, allowMissingColumns=True).withColumn("__point", F.col("__k").isNull())
+    rows = written(both.repartitionByRange(*[F.col(k) for k in keys], F.col("__x"), F.col("__point")).withColumn("__b", F.spark_partition_id()))
+    bk = [*keys, "__b"]
+    up, down = (Window.partitionBy(*bk).orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in ([F.asc("__x"), F.asc("__point")], [F.desc("__x"), F.desc("__point")]))
+    inside = rows.withColumns({"__lo": F.last("__k", True).over(up), "__hi": F.last("__k", True).over(down)}).where("__point").drop("__k", "__point")
+    ends = rows.groupBy(*bk).agg(F.min_by("__k", F.when(~F.col("__point"), F.col("__x"))).alias("__first"), F.max_by("__k", F.when(~F.col("__point"), F.col("__x"))).alias("__last"))
+    back, ahead = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__b"), F.desc("__b")))
+    ends = ends.select(*bk, F.last("__last", True).over(back).alias("__left"), F.last("__first", True).over(ahead).alias("__right"))
+    found = null_safe_join(inside, ends, bk).select(*keys, "__x", F.coalesce("__lo", "__left").alias("before"), F.coalesce("__hi", "__right").alias("after"))
+    return null_safe_join(points.withColumn("__x", at_x), found, [*keys, "__x"], "left").drop("__x")
+
+
 def interval_join(points: DataFrame, x: str | Column, spans: DataFrame, lo: str, hi: str, width: float | Column,
                   keys: list[str] = (), closed: str = "left", how: str = "inner") -> DataFrame:
     """Join points to the spans that hold them through equal bucket numbers, not a nested loop.
