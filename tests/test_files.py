@@ -137,6 +137,43 @@ def test_stream_into_versioned_master(spark, tmp_path):
     assert got == [("s1", "20260101", "v1"), ("s1", "20260102", "v2"), ("s1", "20260103", "v3"), ("s2", "20260101", "v1"), ("s2", "20260102", "v1")]
 
 
+def test_stream_goes_on_from_an_older_master_without_reading_it(spark, tmp_path):
+    drop, path, state = str(tmp_path / "drop"), str(tmp_path / "master"), str(tmp_path / "state")
+    schema = "Run string, Batch string, Status string"
+    old = spark.createDataFrame([("s1", "20250101", "OK", "v1"), ("s1", "20250102", "FAIL", "v2"), ("s2", "20250101", "OK", "v1")], schema + ", Version string")
+    before = sinks.append_master(old, path)
+    for rows in ([("s1", "20250102", "OK"), ("s1", "20260101", "OK")], [("s1", "20260102", None), ("s3", "20260101", "ERROR"), ("s3", "20260101", "OK"), (None, "x", "OK")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(drop)
+        q = ingest.ingest_runs(ingest.read_run_stream(spark, drop, schema), path, state, initial=before)
+        q.awaitTermination()
+    got = sorted((r["Run"] or "", r["Batch"], r["Version"]) for r in sinks.read_master(spark, path).where("Batch >= '2026'").collect())
+    assert got == [("", "x", "v1"), ("s1", "20260101", "v2"), ("s1", "20260102", "v3"), ("s3", "20260101", "v1")]
+    rows = ingest.versioned(ingest.read_run_stream(spark, drop, schema))
+    assert path not in rows._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_killed_append_leaves_nothing_and_is_repeated(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "master")
+    one = spark.createDataFrame([("r1", "b1", "OK"), ("r2", "b1", "OK")], "Run string, Batch string, Status string")
+    two = spark.createDataFrame([("r2", "b1", "OK", 1), ("r3", "b2", "OK", 2), (None, None, "OK", 3)], "Run string, Batch string, Status string, x int")
+    sinks.append_master(one, path, commit="first")
+    from trabecula.sources import master
+
+    def dies(spark, p):
+        raise RuntimeError("lost")
+    with monkeypatch.context() as m:
+        m.setattr(master, "_any_file", dies)  # the data is written, keys and record are not
+        with pytest.raises(RuntimeError):
+            sinks.append_master(two, path, commit="second")
+    assert sinks.read_master(spark, path).count() == 2 and "x" not in sinks.read_master(spark, path).columns
+    for _ in range(2):  # repeated, and once more without effect
+        out = sinks.append_master(two, path, commit="second")
+        assert sorted((r["Run"] or "", r["Batch"] or "", r["x"] or 0) for r in out.collect()) == [("", "", 3), ("r1", "b1", 0), ("r2", "b1", 0), ("r3", "b2", 2)]
+    assert [r["n_rows"] for r in master.commits(spark, path)] == [2, 2]
+    with pytest.raises(ValueError):
+        sinks.append_master(spark.createDataFrame([("r9", "b9", "OK", "text")], "Run string, Batch string, Status string, x string"), path)
+
+
 def test_usable_row_of_a_repeated_key_wins(spark, tmp_path):
     rows = spark.createDataFrame([("r", "b", "OK", 1.0), ("r", "b", "ERROR bad", None), ("r", "c", "FAIL", None)], "Run string, Batch string, Status string, x double")
     kept = {(r.Run, r.Batch): r.Status for r in sinks.append_master(rows, str(tmp_path / "master")).collect()}

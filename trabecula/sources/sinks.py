@@ -1,12 +1,12 @@
-"""Sinks: joined dataset, append-only master, resumable appends, manifests (K1-K5)."""
+"""Sinks: joined dataset, append-only master (sources/master.py), resumable appends, manifests (K1-K5)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trabecula.functions.core import null_safe_join
-from trabecula.operators.ordered import keep_one
+from trabecula.sources.master import append_master, one_per_key, read_master  # noqa: F401
 
 
 def write_dataset(df: DataFrame, path: str, order: str = "VF", fmt: str = "parquet") -> None:
@@ -15,35 +15,6 @@ def write_dataset(df: DataFrame, path: str, order: str = "VF", fmt: str = "parqu
     (out.write.mode("overwrite").option("header", True).csv(path) if fmt == "csv" else out.write.mode("overwrite").parquet(path))
 
 
-def read_master(spark: SparkSession, path: str) -> DataFrame:
-    """K2: the master with every column any batch ever carried."""
-    return spark.read.option("mergeSchema", True).parquet(path)
-
-
-def one_per_key(df: DataFrame, keys: list[str], status: str = "Status") -> DataFrame:
-    """One row per key: a usable one (status OK or none given) before any other, then the smallest status and row."""
-    if status not in df.columns:
-        return keep_one(df, keys, [c for c in df.columns if c not in keys] or [F.lit(1)])
-    text = F.coalesce(F.col(status).cast("string"), F.lit("OK"))
-    return keep_one(df, keys, [F.when(text.startswith("OK"), 0).otherwise(1), text])
-
-
-def append_master(df: DataFrame, path: str, keys: list[str] = ("Run", "Batch")) -> DataFrame:
-    """K2: append the rows whose key is new, one partition per batch; stored rows are never changed."""
-    spark, fresh = df.sparkSession, one_per_key(df, list(keys))
-    if table_exists(spark, path):
-        fresh = null_safe_join(fresh, read_master(spark, path).select(*keys), list(keys), "left_anti")
-    fresh.write.mode("append").partitionBy("Batch").parquet(path)
-    return read_master(spark, path)
-
-
-def table_exists(spark: SparkSession, path: str) -> bool:
-    """True when the folder holds at least one data file."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(jpath) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(jpath))
-
-
 def remaining(todo: DataFrame, done: DataFrame, keys: list[str] = ("topology", "file"), status: str = "status") -> DataFrame:
     """K3: what a resumed run still has to do; rows that ended in ERROR or SKIPPED are tried again."""
     ok = done.where(F.coalesce(F.col(status), F.lit("OK")).startswith("OK")).select(*keys)

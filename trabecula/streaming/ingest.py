@@ -2,38 +2,97 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from trabecula.functions.core import null_safe_join
-from trabecula.operators.dedupe import number_versions
-from trabecula.sources.sinks import one_per_key, read_master, table_exists
+from trabecula.sources.master import commit_rows, commits
 
 KEYS = ["Run", "Batch"]
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _usable(status: str | None) -> bool:
+    return status is None or str(status).startswith("OK")
+
+
+class VersionRuns(StatefulProcessor):
+    """W6 per Run: numbers its new batches v(n+1), where n counts the usable results so far; a batch that was seen is dropped.
+
+    State: the usable results so far (value) and the batches seen (map). Of a delivery one row per batch is held, a usable one before any other.
+    """
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
 
+    def init(self, handle) -> None:
+        self.usable = handle.getValueState("usable", "n long")
+        self.seen = handle.getMapState("seen", "batch string", "version long")
 
-def append_batch(batch: DataFrame, master_path: str) -> None:
-    """Add the runs the master lacks, with version numbers that continue from it.
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        best: dict[str, tuple] = {}
+        for row in rows:
+            batch, status = row["Batch"], row["Status"]
+            rank = (not _usable(status), "OK" if status is None else str(status))
+            if batch not in best or rank < best[batch][0]:
+                best[batch] = (rank, row)
+        n, make = (self.usable.get()[0] if self.usable.exists() else 0), Row(*self.columns, "Version")
+        given, named = n, key[0] not in (None, "")
+        for batch in sorted(best, key=lambda b: (b is not None, b or "")):
+            if self.seen.containsKey((batch or "",)):
+                continue
+            row, given = best[batch][1], given + 1
+            self.seen.updateValue((batch or "",), (given,))
+            n += named and row["Status"] is not None and _usable(row["Status"])
+            yield make(*[row[c] for c in self.columns], f"v{given}")
+        self.usable.update((n,))
 
-    Keyed by (Run, Batch), so a batch that is delivered twice changes nothing.
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        """One row per known batch of a master that was there before the stream: Run, Batch, n (1 if usable)."""
+        n = self.usable.get()[0] if self.usable.exists() else 0
+        self.seen.updateValue((initialState["Batch"] or "",), (0,))
+        self.usable.update((n + initialState["n"],))
+
+    def close(self) -> None:
+        pass
+
+
+def versioned(results: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """The new rows of a stream of run results with their Version. `initial` (Run, Batch, Status): rows of an older master, read once at the very start."""
+    schema = T.StructType([*results.schema.fields, T.StructField("Version", T.StringType())])
+    start = None
+    if initial is not None:
+        ok = F.coalesce(F.col("Status"), F.lit("")).startswith("OK") & (F.coalesce(F.col("Run"), F.lit("")) != "")
+        start = initial.select("Run", F.col("Batch").cast("string").alias("Batch"), F.when(ok, 1).otherwise(0).cast("long").alias("n")).groupBy("Run")
+    return results.groupBy("Run").transformWithState(VersionRuns(results.columns), schema, "Append", "None", start)
+
+
+def ingest_runs(results: DataFrame, master_path: str, checkpoint: str, available_now: bool = True, initial: DataFrame | None = None) -> StreamingQuery:
+    """ST1: stream of run results (Run, Batch, Status, ...) into the master.
+
+    Versions and seen batches live in the stream's state, so no micro-batch reads the master. A micro-batch is one commit named after the
+    checkpoint and its number: delivered again it changes nothing, and a half-written one is replaced.
     """
-    spark = batch.sparkSession
-    rows = one_per_key(batch, KEYS)
-    if table_exists(spark, master_path):
-        master = read_master(spark, master_path).select(*KEYS, "Status")
-        master = master.join(rows.select("Run").distinct(), "Run", "left_semi")
-        rows = null_safe_join(rows, master.select(*KEYS), KEYS, "left_anti")
-    else:
-        master = rows.select("Run", "Status").limit(0)
-    numbered = number_versions(rows, master, "Run", ["Batch"], F.substring("Batch", 1, 8))
-    numbered.write.mode("append").partitionBy("Batch").parquet(master_path)
-
-
-def ingest_runs(results: DataFrame, master_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """ST1: stream of run results (Run, Batch, Status, ...) into the master."""
-    w = results.writeStream.foreachBatch(lambda b, _: append_batch(b, master_path)).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if available_now else w).start()
+    spark, name = results.sparkSession, hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def commit(batch: DataFrame, number: int) -> None:
+        own = f"{name}-{number:09d}"
+        if own not in {r["commit"] for r in commits(batch.sparkSession, master_path)}:
+            commit_rows(batch, master_path, own, KEYS)
+
+    rows = versioned(results.withColumn("Batch", F.col("Batch").cast("string")), initial)
+    w = rows.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)  # the query keeps the setting it starts with
+    try:
+        return (w.trigger(availableNow=True) if available_now else w).start()
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
 
 
 def read_run_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
