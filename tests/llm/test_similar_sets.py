@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from trabecula.llm import similar_sets, simhash
@@ -90,3 +91,15 @@ def test_an_id_that_repeats_with_another_text_stays(spark):
     rows = docs(spark, [base]).unionByName(docs(spark, [base + " more", other], 7)).unionByName(docs(spark, [third], 7))
     kept = sorted((r.doc_id, r.text) for r in simhash.near_dedup_stage(spark, rows, "").collect())
     assert kept == sorted([(0, base), (8, other), (7, third)])
+
+
+def test_wide_sketches_keep_similar_sets_and_part_others():
+    rng = np.random.default_rng(4)
+    for n in (3, 200, 900, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        for share, kept in ((0.0, True), (0.09, True), (0.5, False)):
+            b = np.unique(np.r_[a[int(len(a) * share):], rng.integers(0, 1 << 63, int(len(a) * share)).astype(np.uint64)])
+            apart = similar_sets.sketches_differ(similar_sets.wide_sketch(a).tobytes(), similar_sets.wide_sketch(b).tobytes())
+            assert apart <= len(np.setxor1d(a, b)) and (9 * apart <= len(a) + len(b)) == kept, (n, share)
+        longer = np.unique(np.r_[a, rng.integers(0, 1 << 63, n // 9).astype(np.uint64)])
+        assert similar_sets.sketches_differ(similar_sets.wide_sketch(a).tobytes(), similar_sets.wide_sketch(longer).tobytes()) <= len(np.setxor1d(a, longer))
