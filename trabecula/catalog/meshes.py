@@ -44,7 +44,7 @@ def mesh_bodies(t):
     return mesh.bodies(meshes(t.part))
 
 
-@query("mesh_health", """SELECT p_partkey AS mesh_id, p_partkey % 10 NOT IN (1, 2, 3) AS ok, CASE p_partkey % 10 WHEN 1 THEN 'not watertight; odd Euler number 1' WHEN 2 THEN 'inconsistent winding' WHEN 3 THEN '2 disconnected bodies' ELSE '' END AS detail FROM part""")
+@query("mesh_health", """SELECT p_partkey AS mesh_id, p_partkey % 10 NOT IN (1, 2, 3) AS ok, CASE p_partkey % 10 WHEN 1 THEN 'V - E + F = 1 is odd; surface has open edges' WHEN 2 THEN 'faces turn both ways' WHEN 3 THEN '2 parts instead of one' ELSE '' END AS detail FROM part""")
 def mesh_health(t):
     r = mesh.report(meshes(t.part)).withColumn("g", gates.mesh_gate())
     return r.select("mesh_id", "g.ok", "g.detail")

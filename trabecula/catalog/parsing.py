@@ -118,8 +118,8 @@ def normalised_labels(t):
     return out.withColumns({"C11_n": F.round("C11_n", 9), "onset_n": F.round("onset_n", 9)})
 
 
-@query("result_status", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL (no C tensor CSV - see log.txt)' WHEN o_orderkey % 11 = 0 THEN 'FAIL (C tensor parse)' WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'OK' WHEN o_orderstatus = 'F' THEN 'OK (no shear CSV)'
- WHEN o_totalprice > 200000 THEN 'OK (no compression CSV)' ELSE 'OK (stiffness only - no stress CSVs)' END AS status FROM orders""")
+@query("result_status", """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'FAIL: stiffness file is missing or empty' WHEN o_orderkey % 11 = 0 THEN 'FAIL: stiffness file is unreadable' WHEN o_orderstatus = 'F' AND o_totalprice > 200000 THEN 'OK'
+ WHEN o_orderstatus = 'F' THEN 'OK without stress of shear' WHEN o_totalprice > 200000 THEN 'OK without stress of compression' ELSE 'OK without stress of compression and shear' END AS status FROM orders""")
 def result_status(t):
     k = F.col("o_orderkey")
     s = units.result_status(F.when(k % 7 != 0, 500), k % 11 != 0, F.col("o_orderstatus") == "F", F.col("o_totalprice") > 200000)

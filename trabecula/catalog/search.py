@@ -103,7 +103,7 @@ def context_rows(t):
 
 
 @query("mesh_gate", """WITH m AS (SELECT p_partkey, p_partkey % 5 <> 0 AS w, p_partkey % 7 <> 0 AS d, CASE WHEN p_partkey % 11 = 0 THEN 2 ELSE 1 END AS b, p_size % 4 AS e FROM part)
-SELECT p_partkey, w AND d AND b = 1 AND e % 2 = 0 AS ok, concat_ws('; ', CASE WHEN NOT w THEN 'not watertight' END, CASE WHEN NOT d THEN 'inconsistent winding' END, CASE WHEN b <> 1 THEN b || ' disconnected bodies' END, CASE WHEN e % 2 <> 0 THEN 'odd Euler number ' || e END) AS detail FROM m""")
+SELECT p_partkey, w AND d AND b = 1 AND e % 2 = 0 AS ok, concat_ws('; ', CASE WHEN e % 2 <> 0 THEN 'V - E + F = ' || e || ' is odd' END, CASE WHEN b <> 1 THEN b || ' parts instead of one' END, CASE WHEN NOT w THEN 'surface has open edges' END, CASE WHEN NOT d THEN 'faces turn both ways' END) AS detail FROM m""")
 def mesh_gate(t):
     k = F.col("p_partkey")
     m = t.part.select("p_partkey", (k % 5 != 0).alias("watertight"), (k % 7 != 0).alias("winding_ok"), F.when(k % 11 == 0, 2).otherwise(1).alias("bodies"), (F.col("p_size") % 4).alias("euler"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trabecula.functions.core import all_of, any_of, col, is_close, number, ratio, reasons
 
-# Operators of the holdout language.
-COMPARISONS = (">=", "<=", ">", "<")
+#: The holdout language: a bound (>x, >=x, <x, <=x), a range (x..y, ends included), or one value.
+_VALUE = re.compile(r"(?P<side>[<>])(?P<closed>=?)(?P<bound>.*)|(?P<low>.*?)\.\.(?P<high>.*)|(?P<one>.*)", re.DOTALL)
 
 
 def usable(status: str | Column, exact: bool = False) -> Column:
@@ -34,30 +36,46 @@ def parse_holdouts(specs: list[str]) -> list[Holdout]:
     return [Holdout(*p) for p in split if len(p) == 3]
 
 
-def _as_float(s: str) -> float | None:
+class Limits(NamedTuple):
+    """Numbers between two ends (null: no end); `open` leaves the ends out, equal ends stand for one number."""
+
+    low: float | None
+    high: float | None
+    open: bool = False
+
+
+def holdout_limits(value: str) -> Limits | str | None:
+    """The numbers a holdout value stands for, its text when it is no number, or None when a bound or range has no numbers."""
+    part = _VALUE.fullmatch(value.strip()).groupdict()
     try:
-        return float(s)
+        if part["side"]:
+            end = float(part["bound"])
+            return Limits(end, None, not part["closed"]) if part["side"] == ">" else Limits(None, end, not part["closed"])
+        if part["low"] is not None:
+            return Limits(float(part["low"]), float(part["high"]))
     except ValueError:
         return None
+    try:
+        return Limits(float(part["one"]), float(part["one"]))
+    except ValueError:
+        return part["one"]
+
+
+def _holds(value: Column, limits: Limits) -> Column:
+    if limits.low is not None and limits.low == limits.high:
+        return is_close(value, F.lit(limits.low))
+    beyond = [value > limits.low if limits.open else value >= limits.low] if limits.low is not None else []
+    below = [value < limits.high if limits.open else value <= limits.high] if limits.high is not None else []
+    return all_of(beyond + below)
 
 
 def holdout_filter(df: DataFrame, spec: Holdout) -> Column | None:
     """The rows a holdout hides as a filter, or None when the spec cannot apply to this table."""
-    if spec.column not in df.columns:
+    limits = holdout_limits(spec.value)
+    if limits is None or spec.column not in df.columns:
         return None
-    v, num = spec.value.strip(), number(spec.column)
-    op = next((o for o in COMPARISONS if v.startswith(o)), None)
-    if op:
-        x = _as_float(v[len(op):])
-        tests = {">=": num >= x, "<=": num <= x, ">": num > x, "<": num < x} if x is not None else {}
-        return F.coalesce(tests[op], F.lit(False)) if tests else None
-    if ".." in v:
-        lo, hi = (_as_float(p) for p in v.split("..", 1))
-        return F.coalesce(num.between(lo, hi), F.lit(False)) if None not in (lo, hi) else None
-    x = _as_float(v)
-    if x is not None:
-        return F.coalesce(is_close(num, F.lit(x)), F.lit(False))
-    return F.coalesce(F.trim(F.col(spec.column).cast("string")) == v, F.lit(False))
+    hidden = F.trim(F.col(spec.column).cast("string")) == limits if isinstance(limits, str) else _holds(number(spec.column), limits)
+    return F.coalesce(hidden, F.lit(False))
 
 
 def in_band(c: str | Column, lo: float, hi: float) -> Column:
@@ -109,9 +127,11 @@ def range_guard(value: str | Column, lo: str | Column, hi: str | Column) -> Colu
 
 def mesh_gate(watertight="watertight", winding="winding_ok", bodies="bodies", euler="euler") -> Column:
     """P9 (gate 2): struct(ok, detail)."""
-    why = reasons((~col(watertight), "not watertight"), (~col(winding), "inconsistent winding"),
-                  (col(bodies) != 1, F.concat(col(bodies).cast("string"), F.lit(" disconnected bodies"))),
-                  (col(euler) % 2 != 0, F.concat(F.lit("odd Euler number "), col(euler).cast("string"))))
+    def counted(c: str | Column, before: str, behind: str) -> Column:
+        return F.concat(F.lit(before), col(c).cast("string"), F.lit(behind))
+
+    why = reasons((col(euler) % 2 != 0, counted(euler, "V - E + F = ", " is odd")), (col(bodies) != 1, counted(bodies, "", " parts instead of one")),
+                  (~col(watertight), "surface has open edges"), (~col(winding), "faces turn both ways"))
     return F.struct((why == "").alias("ok"), why.alias("detail"))
 
 
