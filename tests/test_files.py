@@ -37,6 +37,22 @@ def test_stl_scan_splits_files_and_survives_broken_ones(spark, tmp_path):
     assert skipped.count() == 2
 
 
+def test_a_large_ascii_file_is_many_tasks(spark, tmp_path):
+    n = 286_000  # two million lines
+    lines = ["solid big"]
+    for i in range(n):
+        lines += ["facet normal 0 0 1", " outer loop", f"  vertex {i} 0 0.5", f"  vertex {i + 1} 0 0.5", f"\tvertex  {i} 1 5e-1", " endloop", "endfacet"]
+    (tmp_path / "big.stl").write_text("\n".join([*lines, "endsolid vertex", ""]))
+    (tmp_path / "odd.stl").write_text("solid odd\nvertex 1 2 3\nvertex 4 5 6\n" + " " * 3000)
+    (tmp_path / "bad.stl").write_text("solid bad\nvertex 1 2 x\n" + " " * 3000)
+    rows = stl.read_triangles(stl.list_stl(spark, str(tmp_path)), chunk=40_000).cache()
+    big = rows.where(F.col("path").endswith("big.stl")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tri_id").alias("ids"), F.sum((F.col("v0.x") == F.col("tri_id")).cast("int")).alias("placed"),
+                                                            F.sum((F.col("v1.x") == F.col("tri_id") + 1).cast("int")).alias("second"), F.sum((F.col("v2.y") == 1).cast("int")).alias("third")).first()
+    assert tuple(big) == (n, n, n, n, n)
+    assert {r["path"].rsplit("/", 1)[1]: r["error"] is not None for r in rows.where("tri_id = -1").collect()} == {"odd.stl": True, "bad.stl": True}
+    assert (tmp_path / "big.stl").stat().st_size > 5 * stl.RECORD * 40_000
+
+
 def test_stl_sanity(spark, tmp_path):
     (tmp_path / "ok.stl").write_bytes(binary_stl(CUBE * 10))
     (tmp_path / "empty.stl").write_bytes(b"\0" * 80 + struct.pack("<I", 0) + b"\0" * 3000)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from trabecula.catalog.registry import query
+from trabecula.catalog.shapes import FACE, TRI, meshes
+from trabecula.functions import vec
 from trabecula.functions.tensor import at, symmetrise
-from trabecula.sources import inventory, sinks, tables, text_files
+from trabecula.session import ensure_checkpoint_dir
+from trabecula.sources import inventory, sinks, stl, tables, text_files
 
 _V = "embedding::DOUBLE[]"
 
@@ -123,3 +128,25 @@ def newest_files(t):
 def dataset_manifest(t):
     m = sinks.manifest(t.lineitem, ["l_extendedprice", "l_tax"], "l_discount", element_order="quadratic")
     return m.select("n_rows", "vf_min", "vf_max", F.col("label_min.l_extendedprice").alias("price_min"), F.col("label_max.l_tax").alias("tax_max"), "element_order")
+
+
+_SIX = "(ax * (dy * cz - dz * cy) + ay * (dz * cx - dx * cz) + az * (dx * cy - dy * cx)) / 6"
+
+
+@query("stl_ascii_triangles", f"WITH {TRI}, {FACE} SELECT count(*) AS n_tris, round(sum({_SIX}), 4) AS volume, round(sum(area), 4) AS area, round(max(dx), 6) AS right FROM f")
+def stl_ascii_triangles(t):
+    """All mesh triangles written as ASCII files and read back by byte ranges of 50 kB."""
+    base = f"{ensure_checkpoint_dir(t.spark)}/stl-{uuid.uuid4().hex}"
+    stl.write_ascii(meshes(t.part), base)
+    rows = stl.read_triangles(stl.list_stl(t.spark, base, names="part-*"), chunk=1000)
+    six = vec.dot("v0", vec.cross("v1", "v2")) / 6.0
+    area = vec.norm(vec.cross(vec.sub("v1", "v0"), vec.sub("v2", "v0"))) / 2.0
+    return rows.where("error IS NULL").agg(F.count_distinct("path", "tri_id").alias("n_tris"), F.round(F.sum(six), 4).alias("volume"), F.round(F.sum(area), 4).alias("area"), F.round(F.max("v1.x"), 6).alias("right"))
+
+
+@query("stl_heads", "SELECT 'OK (ascii)' AS reason, true AS ok")
+def stl_heads(t):
+    """Mesh files checked by size and head (S5); the file names are the writer's, so reasons are counted once."""
+    base = f"{ensure_checkpoint_dir(t.spark)}/stl-{uuid.uuid4().hex}"
+    stl.write_ascii(meshes(t.part), base)
+    return stl.check_stl(t.spark, base, names="part-*").select("reason", "ok").distinct()
