@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trabecula.catalog.registry import query
 from trabecula.catalog.shapes import FACE, TRI, meshes
+from trabecula.catalog.tensors import _ortho
 from trabecula.functions import vec
 from trabecula.functions.core import null_safe_join
 from trabecula.operators import cloud, mesh
+from trabecula.plans import augmented
 
 _N = 48
 _FULL = 2048
@@ -110,3 +113,21 @@ def cloud_jitter(t):
     j = cloud.jitter(base, 0.01, 9).withColumnsRenamed({a: f"j{a}" for a in vec.AXES}).join(base, ["mesh_id", "i"])
     gap = F.greatest(*[F.abs(F.col(f"j{a}") - F.col(a)) for a in vec.AXES])
     return j.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_points"), ((F.max(gap) < 0.09) & (F.max(gap) > 0)).alias("bounded"))
+
+
+@query("augmented_rows", """WITH o AS (SELECT p_partkey, p_partkey % 9 = 0 AS gone, 8.0 + p_size * 0.1 AS a1, 9.0 + p_partkey % 5 AS a2, 2.0 + p_partkey % 3 * 0.4 AS b12, 3.0 + p_partkey % 6 * 0.2 AS g4, 2.5 + p_size * 0.03 AS g5, p_retailprice AS vf FROM part)
+SELECT p_partkey AS mesh_id, copy, CASE WHEN NOT gone THEN round((CASE WHEN copy % 2 = 0 THEN a1 ELSE a2 END)::DOUBLE / 10, 8) END AS "C11_n", CASE WHEN NOT gone THEN round(b12::DOUBLE / 10, 8) END AS "C12_n",
+ CASE WHEN NOT gone THEN round((CASE WHEN copy % 2 = 0 THEN g4 ELSE g5 END)::DOUBLE / 10, 8) END AS "C44_n", vf, true AS same_shape FROM o, range(4) r(copy)""")
+def augmented_rows(t):
+    """Quarter turns of every mesh, its tensor and labels: C11 and C44 change places with C22 and C55, the shape of the cloud stays."""
+    quarter = {0: (1, 0, 0, 1), 1: (0, -1, 1, 0), 2: (-1, 0, 0, -1), 3: (0, 1, -1, 0)}
+    turns = t.part.select(F.col("p_partkey").alias("mesh_id"), F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("copy"), F.array(*[F.lit(float(v)) for v in (a, b, 0, c, d, 0, 0, 0, 1)]).alias("r")) for k, (a, b, c, d) in quarter.items()])).alias("q"))
+    turns = turns.select("mesh_id", "q.copy", "q.r")
+    points = meshes(t.part).select("mesh_id", F.col("tri_id").alias("i"), "v0.x", "v0.y", "v0.z")
+    rows = _ortho(t).join(t.part.select("p_partkey", F.col("p_retailprice").alias("vf")), "p_partkey").withColumnRenamed("p_partkey", "mesh_id")
+    rows = rows.withColumns({"c": F.when(F.col("mesh_id") % 9 != 0, F.col("c")), **{n: F.lit(0.5) for n in ("C11_n", "C12_n", "C44_n", "TAI")}})
+    out = augmented.augmented_rows(points, rows, turns, ["C11_n", "C12_n", "C44_n", "vf"], 10.0)
+    first = F.get("cloud", F.lit(0))
+    spread = F.aggregate("cloud", F.lit(0.0), lambda acc, p: acc + F.sqrt(sum(((p[a] - first[a]) * (p[a] - first[a]) for a in "xy"), (p["z"] - first["z"]) * (p["z"] - first["z"]))))
+    same = F.max(spread).over(Window.partitionBy("mesh_id")) - F.min(spread).over(Window.partitionBy("mesh_id")) < 1e-6
+    return out.withColumn("same_shape", same).select("mesh_id", "copy", *[F.round(n, 8).alias(n) for n in ("C11_n", "C12_n", "C44_n")], "vf", "same_shape")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trabecula.catalog.registry import query
+from trabecula.functions.core import null_safe_join
 from trabecula.functions import gates
 from trabecula.operators import fit, stress
+from trabecula.session import written
 
 
 def _fit_sql(keys, x, y, src):
@@ -117,6 +119,18 @@ def stress_summary(t):
     return out.withColumns({"max_mpa": F.round("max_mpa", 10), "p99_mpa": F.round("p99_mpa", 10)})
 
 
+@query("stress_sketches", """SELECT event_type AS batch, count(value) AS n_nodes, round(max(value), 6) AS max_mpa, true AS p50_within, true AS p99_within FROM events GROUP BY 1""")
+def stress_sketches(t):
+    """One sketch per run (user), stored and merged per batch (event type): the quantiles' true ranks are within the stated error."""
+    runs = written(stress.stress_sketches(t.events, ["user_id", "event_type"], unit=1.0)).withColumnRenamed("event_type", "batch")
+    got = written(stress.sketched_quantiles(runs, ["batch"], [0.5, 0.99], ["p50", "p99"]))
+    rows = null_safe_join(t.events.where("value IS NOT NULL").select(F.col("event_type").alias("batch"), "value"), got, ["batch"])
+    def within(c, p):  # values may repeat: the rank of a quantile is a range
+        below, upto = F.avg((F.col("value") < F.col(c)).cast("double")), F.avg((F.col("value") <= F.col(c)).cast("double"))
+        return ((below <= p + F.max("rank_error")) & (upto >= p - F.max("rank_error"))).alias(f"{c}_within")
+    return rows.groupBy("batch").agg(F.max("n_nodes").alias("n_nodes"), F.round(F.max("max_mpa"), 6).alias("max_mpa"), within("p50", 0.5), within("p99", 0.99))
+
+
 @query("quartile_spread", "SELECT user_id, count(value) AS n, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY 1")
 def quartile_spread(t):
     out = stress.quartile_spread(t.events, ["user_id"], "value")

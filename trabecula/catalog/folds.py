@@ -55,7 +55,7 @@ def stratified_small_strata(t):
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"))
 
 
-@query("validation_groups")
+@query("validation_groups", "SELECT true AS enough, true AS needed, count(DISTINCT c_nationkey) > 1 AS leaves_some FROM customer")
 def validation_groups(t):
     """Whole groups reach the wanted rows, and without the last one they would not."""
     v = folds.validation_groups(t.customer, "c_nationkey", 0.15, 42)

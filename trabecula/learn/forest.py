@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trabecula.functions.gates import Holdout, holdout_filter
+from trabecula.session import written
 
 MIN_TRAIN_ROWS = 10
+#: Fits submitted at once; their jobs share the cluster.
+FITS_AT_ONCE = 4
+
+
+def at_once(spark: SparkSession, work: list[Callable], limit: int = FITS_AT_ONCE) -> list:
+    """Results of the calls in order; each submits its Spark jobs from a thread of its own, in a pool of its own name where fair scheduling is on."""
+    def pooled(k: int, call: Callable):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{k}")
+        return call()
+
+    with ThreadPoolExecutor(max_workers=max(1, min(limit, len(work)))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(pooled), k, call) for k, call in enumerate(work)]]
 
 
 def regressor(features: list[str], label: str, trees: int = 100, seed: int = 42, depth: int = 8, scale: bool = False) -> Pipeline:
@@ -30,13 +47,12 @@ def usable_rows(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, n_folds: int, carry: list[str],
                 model: str = "RF", min_train: int = 3, **kw) -> DataFrame:
-    """M3: every row predicted by the model that did not see its fold. One distributed fit per fold."""
-    rows, out = usable_rows(df, features, label), None
-    counts = {r[fold]: r["n"] for r in rows.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}
-    for k in range(n_folds):
-        if not counts.get(k) or sum(counts.values()) - counts[k] < min_train:
-            continue
-        fitted = regressor(features, label, **kw).fit(rows.where(F.col(fold) != k))
+    """M3: every row predicted by the model that did not see its fold. The fits run at once over one written table of the rows they share."""
+    rows, out = written(usable_rows(df, features, label).select(*dict.fromkeys([*carry, fold, *features, label]))), None
+    counts = {r[fold]: r["n"] for r in rows.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per fold
+    wanted = [k for k in range(n_folds) if counts.get(k) and sum(counts.values()) - counts[k] >= min_train]
+    fits = at_once(df.sparkSession, [lambda k=k: regressor(features, label, **kw).fit(rows.where(F.col(fold) != k)) for k in wanted])
+    for k, fitted in zip(wanted, fits):
         pred = fitted.transform(rows.where(F.col(fold) == k))
         pred = pred.select(*carry, fold, F.col(label).cast("double").alias("y_true"), "y_pred").withColumns(
             {"target": F.lit(label), "model": F.lit(model)})
@@ -49,17 +65,17 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, n_fol
 def holdout_predictions(df: DataFrame, features: list[str], label: str, specs: list[Holdout], carry: list[str],
                         model: str = "RF", min_train: int = MIN_TRAIN_ROWS, **kw) -> DataFrame | None:
     """M4: for each holdout spec a model trained without the rows it hides; specs that leave too little are skipped."""
-    rows, out = usable_rows(df, features, label), None
-    for spec in specs:
-        hidden = holdout_filter(rows, spec)
-        if hidden is None:
-            continue
-        n_train, n_test = rows.agg(F.count_if(~hidden), F.count_if(hidden)).first()
-        if n_train < min_train or not n_test:
-            continue
-        pred = regressor(features, label, **kw).fit(rows.where(~hidden)).transform(rows.where(hidden))
+    rows, out = written(usable_rows(df, features, label)), None
+    masks = [(s.name, m) for s in specs if (m := holdout_filter(rows, s)) is not None]
+    if not masks:
+        return None
+    *hidden, n_rows = rows.agg(*[F.count_if(m) for _, m in masks], F.count(F.lit(1))).first()
+    wanted = [own for own, n in zip(masks, hidden) if n and n_rows - n >= min_train]
+    fits = at_once(df.sparkSession, [lambda m=m: regressor(features, label, **kw).fit(rows.where(~m)) for _, m in wanted])
+    for (name, mask), fitted in zip(wanted, fits):
+        pred = fitted.transform(rows.where(mask))
         pred = pred.select(*carry, F.col(label).cast("double").alias("y_true"), "y_pred").withColumns(
-            {"target": F.lit(label), "model": F.lit(model), "split": F.lit(spec.name)})
+            {"target": F.lit(label), "model": F.lit(model), "split": F.lit(name)})
         out = pred if out is None else out.unionByName(pred)
     return out
 
