@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trabecula.llm.common import DOCUMENT_COLUMNS, cut, table
+from trabecula.llm.common import DOCUMENT_COLUMNS, cut, table, without_texts
 
 BLOCK_BYTES = 8192
 #: Buckets in which distinct contents are sorted; a name is the bucket and the rank in it.
@@ -103,12 +103,12 @@ def drop_copies(docs: DataFrame, **named) -> DataFrame:
     """`docs` with one row of each group of equal texts, all columns kept."""
     groups = cut(exact_groups(docs, **named))
     keys = groups.where("kept").select("doc_id", "text_sha256")
-    gone = groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    gone = cut(groups.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
     twice = gone.join(keys, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__sha") == F.col("text_sha256")), "left_semi")  # rows repeated with id and text
     twice = cut(twice)
     sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (sha == F.col("__sha"))
-    left = docs.join(cut(gone), same, "left_anti")
+    left = without_texts(docs, gone)
     return left.unionByName(docs.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])) if not twice.isEmpty() else left
 
 

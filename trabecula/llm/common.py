@@ -84,3 +84,16 @@ def in_block_pairs(rows: DataFrame, count: str, block_rows: int) -> DataFrame:
     rows = rows.withColumn("__blocks", F.coalesce(F.ceil(F.col(count) / F.lit(block_rows)), F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("__blocks")))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__other"))
     return rows.select("*", F.least("block", "__other").alias("lo"), F.greatest("block", "__other").alias("hi")).drop("__blocks", "__other", count)
+
+
+def sha_bucket(sha: str) -> Column:
+    return F.pmod(F.xxhash64(sha), F.lit(1 << 16)).cast("int")
+
+
+def without_texts(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """`rows` without those of `gone` (__id, __sha: the hash of the text; null ids are equal). Texts outside the at most 65536 hash buckets that `gone` has stay where they are."""
+    own = rows.withColumn("__own", F.sha2(text_or_empty().cast("binary"), 256))
+    buckets = F.broadcast(cut(gone.select(sha_bucket("__sha").alias("__bucket")).distinct()))
+    met = own.join(buckets, sha_bucket("__own") == F.col("__bucket"), "left_semi")
+    left = met.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_anti")
+    return own.join(buckets, sha_bucket("__own") == F.col("__bucket"), "left_anti").unionByName(left).select(*rows.columns)

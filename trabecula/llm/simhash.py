@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trabecula.llm.common import DOCUMENT_COLUMNS, by_whole_groups, cut, in_block_pairs, shingle_hashes, table
+from trabecula.llm.common import DOCUMENT_COLUMNS, by_whole_groups, cut, in_block_pairs, shingle_hashes, table, without_texts
 from trabecula.llm.graph import fold_labels, star_components
-from trabecula.llm.similar_sets import sha_bucket, sha_buckets, similar_groups
+from trabecula.llm.similar_sets import similar_groups
 
 BITS = 64
 #: Fingerprints compared pairwise in one bucket; larger buckets are split, at most so many times: fingerprints that still share a bucket then are
@@ -184,8 +184,4 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     docs = docs.select(*DOCUMENT_COLUMNS)
     found = similar_groups(docs).where("doc_id is not null")
     gone = cut(found.where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("sha") != F.col("keep.sha"))).select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct())
-    rows = docs.withColumn("__own", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    buckets = sha_buckets(gone.select(F.col("__sha").alias("sha")))
-    apart = rows.join(buckets, sha_bucket("__own") == F.col("__bucket"), "left_anti")
-    met = rows.join(buckets, sha_bucket("__own") == F.col("__bucket"), "left_semi").join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_anti")
-    return apart.unionByName(met).select(*DOCUMENT_COLUMNS)
+    return without_texts(docs, gone)

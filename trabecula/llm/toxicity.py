@@ -65,6 +65,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, limit: int | None) -> Data
     if limit:
         share = min(1.0, limit / max(1, known.count()))
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+        return docs.join(F.broadcast(known), "doc_id")  # about `limit` ids and labels: the texts stay where they are
     return docs.join(known, "doc_id")
 
 
@@ -240,13 +241,8 @@ def fit_linear(x: np.ndarray, target: np.ndarray, ridge: float = 0.3, rounds: in
     return w
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, keys: list[str], max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """`keys` (doc_id among them), held_out, score, predicted for each row of `docs`.
-
-    Labels are used of training rows only (see `held_out`), texts whole. Without any usable label of both kinds the lexicon is empty and
-    every text gets one low score. Null texts are empty; repeated rows are scored alike; an empty table gives an empty result.
-    """
-    docs = docs.select(*dict.fromkeys(["doc_id", "text", *keys]))
+def fitted(docs: DataFrame, labels: DataFrame, keys: list[str], max_labelled: int) -> tuple[list[tuple[str, float]], np.ndarray, DataFrame]:
+    """Lexicon, weights of the classifier, and the evidence of all texts (written)."""
     lexicon = learn_lexicon(labelled_rows(docs.select("doc_id", "text"), labels, max_labelled))
     seen = cut(evidence(docs, keys, lexicon))
     known = cut(labelled_rows(seen.select("doc_id").distinct(), labels, None))
@@ -260,24 +256,36 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, keys: list[str], max_lab
     else:
         w = np.zeros(len(lexicon) + DENSE_FEATURES + 1)
         w[-1] = -3.0
-    entry_w = F.array(*[F.lit(float(x)) for x in w[:len(lexicon)]], F.lit(0.0))
+    return lexicon, w, seen
+
+
+def scored(seen: DataFrame, w: np.ndarray, keys: list[str]) -> DataFrame:
+    """`keys`, held_out, score and predicted from the evidence of texts."""
+    n = len(w) - DENSE_FEATURES - 1
+    entry_w = F.array(*[F.lit(float(x)) for x in w[:n]], F.lit(0.0))
     odds = F.lit(float(w[-1])) + F.aggregate(F.arrays_zip("entries", "counts"), F.lit(0.0), lambda s, e: s + F.get(F.col("__w"), e["entries"]) * F.log1p(e["counts"].cast("double")))
     for i in range(DENSE_FEATURES):
-        odds = odds + F.lit(float(w[len(lexicon) + i])) * F.get("dense", F.lit(i))
+        odds = odds + F.lit(float(w[n + i])) * F.get("dense", F.lit(i))
     score = 1 / (1 + F.exp(-odds))
     return seen.withColumn("__w", entry_w).select(*keys, held_out().alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def toxicity_scores(docs: DataFrame, labels: DataFrame, keys: list[str], max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """`keys` (doc_id among them), held_out, score, predicted for each row of `docs`.
+
+    Labels are used of training rows only (see `held_out`), texts whole. Without any usable label of both kinds the lexicon is empty and
+    every text gets one low score. Null texts are empty; repeated rows are scored alike; an empty table gives an empty result.
+    """
+    _, w, seen = fitted(docs.select(*dict.fromkeys(["doc_id", "text", *keys])), labels, keys, max_labelled)
+    return scored(seen, w, keys)
+
+
 def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted toxic go. Rows are known by id and two hashes of the text, so repeats share a fate."""
+    """Pipeline stage: documents predicted toxic go. The fitted classifier reads each row once more where it lies, so no text is shuffled and repeats share a fate."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("h1", F.xxhash64(text)).withColumn("h2", F.xxhash64(F.lit(1), text))
-    scored = toxicity_scores(marked, table(spark, sf_dir, "labels"), ["doc_id", "h1", "h2"])
-    gone = cut(scored.where("predicted = 1").select(F.col("doc_id").alias("__id"), F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__h1")) & (F.xxhash64(F.lit(1), text) == F.col("__h2"))
-    return docs.join(gone, same, "left_anti")
+    lexicon, w, _ = fitted(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id"], MAX_LABELLED)
+    return scored(evidence(docs, list(DOCUMENT_COLUMNS), lexicon), w, list(DOCUMENT_COLUMNS)).where("predicted = 0").select(*DOCUMENT_COLUMNS)
