@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,10 @@ LENGTH = 400
 SPREAD, GRAM, FAN = 256, 8, 4
 #: Starts whose anchors are chosen at once; bounds the arrays of a very long text.
 STARTS_AT_ONCE = 1 << 20
+#: Rows that a task hands on at once.
+ROWS_AT_ONCE = 1 << 16
 
-KEY = ["doc_id", "t1", "t2"]
+KEY, NAMES = ["doc_id", "t1", "t2"], ["b1", "b2", "f1", "f2"]
 _LONGS = pa.int64()
 
 
@@ -53,10 +56,9 @@ def anchors(data: bytes, length: int = LENGTH, spread: int = SPREAD) -> tuple[np
     for at in range(0, max(starts, 0), STARTS_AT_ONCE):
         n = min(STARTS_AT_ONCE, starts - at)
         grams = n + spread - 1
-        raw = np.frombuffer(data, np.uint8, grams + GRAM - 1, at)
-        mixed = np.zeros(grams, np.uint64)
-        for k in range(GRAM):
-            mixed |= raw[k:k + grams].astype(np.uint64) << np.uint64(8 * k)
+        mixed = np.empty(grams, np.uint64)
+        for k in range(min(GRAM, grams)):  # every eighth gram is a number as it lies
+            mixed[k::GRAM] = np.frombuffer(data, "<u8", (grams - k + GRAM - 1) // GRAM, at + k)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
@@ -83,9 +85,10 @@ def _name(*parts: bytes) -> bytes:
 
 
 def _around(data: bytes, first: int, last: int, length: int) -> bytes:
-    """Name of all bytes of the strings with starts first to last, with what a text's ends cut off."""
+    """Name of all bytes of the strings with starts first to last, and of what a text's ends cut off, if anything."""
     left, right = max(0, -first), max(0, last + length - len(data))
-    return _name(data[max(0, first):last + length], left.to_bytes(4, "little"), right.to_bytes(4, "little"))
+    cut_off = (left.to_bytes(4, "little"), right.to_bytes(4, "little")) if left or right else ()
+    return _name(data[max(0, first):last + length], *cut_off)
 
 
 def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,38 +110,61 @@ def _first_names(batches: Iterator, length: int, spread: int) -> Iterator[pa.Rec
     """One row per text and surroundings of an anchor: the text's number, the anchor, its starts, bucket and surroundings names, number of places, and
     the spans that repeat inside the text. The first row of a text also has its id and name."""
     from pyspark import TaskContext
+    from xxhash import xxh3_128_digest as digest
 
-    doc = TaskContext.get().partitionId() << 40
+    doc, core = TaskContext.get().partitionId() << 40, length - spread + 1
+    kind = pa.list_(pa.struct([("first", _LONGS), ("end", _LONGS)]))
     for b in batches:
+        texts, whose, sizes, ids, names, plain, spans = [], [], [], [], [], [], []
+
+        def made():
+            starts = np.cumsum([0, *sizes[:-1]])
+            key_at, t1, t2 = np.full(sum(sizes), -1, np.int64), *(np.zeros(sum(sizes), np.int64) for _ in range(2))
+            key_at[starts] = whose
+            t1[starts], t2[starts] = _longs(texts).T
+            none = pa.array(key_at < 0)
+            take = pa.array(np.where(key_at < 0, 0, key_at), mask=key_at < 0)
+            own, four = np.array(plain, np.int64).reshape(-1, 4), np.frombuffer(b"".join(names), np.int64).reshape(-1, 4)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(np.array(ids, np.int64), sizes)), b.column("doc_id").take(take), *[pc.if_else(none, None, pa.array(t)) for t in (t1, t2)],
+                 *[pa.array(own[:, k].astype(np.int32)) for k in range(3)], pa.array(own[:, 3].copy()), pa.array(spans, kind), *[pa.array(four[:, k].copy()) for k in range(4)]],
+                names=["doc", *KEY, "at", "first", "last", "places", "own", *NAMES])
+
         for i, data in enumerate(b.column("data").to_pylist()):
             at, first, last = anchors(data, length, spread)
             if not len(at):
                 continue
-            rows: dict[tuple[bytes, bytes], list] = {}
-            for a, lo, hi in zip(at.tolist(), first.tolist(), last.tolist()):
-                key = _name(data[a:a + length - spread + 1]), _around(data, a - spread + 1, a, length)
-                seen = rows.get(key)
-                if seen is None:
-                    rows[key] = [a, lo, hi, 1, [(lo, hi + length)]]
-                else:
-                    seen[3] += 1
-                    seen[4].append((lo, hi + length))
-            doc, n = doc + 1, len(rows)
-            t1, t2 = np.frombuffer(_name(data), np.int64).tolist()
-            once = [i] + [None] * (n - 1)
-            bucket, around = _longs([k for k, _ in rows]), _longs([k for _, k in rows])
-            cols = list(zip(*rows.values()))
-            spans = []
-            for count, own in zip(cols[3], cols[4]):
-                if count > 1:
-                    s, e = merged(np.array([x for x, _ in own]), np.array([y for _, y in own]))
+            size = len(data) - length
+            at, first, last = at.tolist(), first.tolist(), last.tolist()
+            buckets = [digest(data[a:a + core]) for a in at]
+            arounds = [digest(data[a - spread + 1:a + length]) if spread <= a + 1 and a <= size else _around(data, a - spread + 1, a, length) for a in at]
+            keys = list(map(bytes.__add__, buckets, arounds))
+            doc += 1
+            texts.append(digest(data))
+            ids.append(doc)
+            whose.append(i)
+            sizes.append(len(set(keys)))
+            if sizes[-1] == len(keys):
+                names += keys
+                plain += zip(at, first, last, [1] * len(at))
+                spans += [None] * len(at)
+            else:
+                places: dict[bytes, list[int]] = {}
+                for k, key in enumerate(keys):
+                    places.setdefault(key, []).append(k)
+                for key, own in places.items():
+                    names.append(key)
+                    plain.append((at[own[0]], first[own[0]], last[own[0]], len(own)))
+                    if len(own) == 1:
+                        spans.append(None)
+                        continue
+                    s, e = merged(np.array([first[k] for k in own]), np.array([last[k] + length for k in own]))
                     spans.append([{"first": x, "end": y} for x, y in zip(s.tolist(), e.tolist())])
-                else:
-                    spans.append(None)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, doc)), b.column("doc_id").take(pa.array(once, pa.int32())), *[pa.array([x] + [None] * (n - 1), _LONGS) for x in (t1, t2)], *[pa.array(c, pa.int32()) for c in cols[:3]], pa.array(cols[3], _LONGS), pa.array(spans, pa.list_(pa.struct([("first", _LONGS), ("end", _LONGS)]))),
-                 *[pa.array(x.copy()) for x in (bucket[:, 0], bucket[:, 1], around[:, 0], around[:, 1])]],
-                names=["doc", *KEY, "at", "first", "last", "places", "own", "b1", "b2", "f1", "f2"])
+            if len(names) >= ROWS_AT_ONCE:
+                yield made()
+                texts, whose, sizes, ids, names, plain, spans = [], [], [], [], [], [], []
+        if names:
+            yield made()
 
 
 def _dealt(context: bytes, base: int, size: int, start: int, width: int, own: tuple[int, int], bucket: bytes, length: int) -> Iterator[tuple]:
@@ -155,7 +181,8 @@ def _dealt(context: bytes, base: int, size: int, start: int, width: int, own: tu
         old_from, old_to = start + width - 1, start + length
         before, behind = context[hi - base:old_from - base], context[old_to - base:lo + length - base]
         left, right = max(0, -lo), max(0, hi + length - size)
-        around = _name(context[max(0, lo) - base:hi + length - base], left.to_bytes(4, "little"), right.to_bytes(4, "little"))
+        cut_off = (left.to_bytes(4, "little"), right.to_bytes(4, "little")) if left or right else ()
+        around = _name(context[max(0, lo) - base:hi + length - base], *cut_off)
         yield lo, _name(bucket, before, behind, (lo - start).to_bytes(4, "little")), around
 
 
@@ -163,30 +190,28 @@ _REFINED = "doc long, own_first int, own_last int, size int, start int, width in
 
 
 def _refined_columns(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["doc", "own_first", "own_last", "size", "start", "width", "places", "b1", "b2", "f1", "f2", "base", "context"]
-    kinds = [_LONGS, *[pa.int32()] * 5, *[_LONGS] * 5, pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
+    *plain, names, base, context = zip(*rows)
+    names = np.frombuffer(b"".join(names), np.int64).reshape(-1, 4)
+    kinds = [_LONGS, *[pa.int32()] * 5, _LONGS]
+    return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(plain, kinds)], *[pa.array(names[:, k].copy()) for k in range(4)], pa.array(base, pa.int32()), pa.array(context, pa.binary())],
+                                      names=["doc", "own_first", "own_last", "size", "start", "width", "places", "b1", "b2", "f1", "f2", "base", "context"])
 
 
 def _refine(batches: Iterator, length: int) -> Iterator[pa.RecordBatch]:
     """Rows to be refined (with context) as rows of the next round."""
     for b in batches:
         out = []
-        for r in b.to_pylist():
-            bucket = np.array([r["b1"], r["b2"]], np.int64).tobytes()
-            part = r["width"] // FAN
-            for lo, name, around in _dealt(r["context"], r["base"], r["size"], r["start"], r["width"], (r["own_first"], r["own_last"]), bucket, length):
-                b1, b2, f1, f2 = np.frombuffer(name + around, np.int64).tolist()
+        names = np.stack([b.column(c).to_numpy() for c in ("b1", "b2")], 1)
+        columns = [b.column(c).to_pylist() for c in ("doc", "own_first", "own_last", "size", "start", "width", "n", "base", "context")]
+        for bucket, doc, lo_own, hi_own, size, start, width, n, at, context in zip(names, *columns):
+            part = width // FAN
+            for lo, name, around in _dealt(context, at, size, start, width, (lo_own, hi_own), bucket.tobytes(), length):
                 base = max(0, lo)
-                context = r["context"][base - r["base"]:lo + part - 1 + length - r["base"]] if part > 1 else b""
-                out.append((r["doc"], r["own_first"], r["own_last"], r["size"], lo, part, r["n"], b1, b2, f1, f2, base, context))
+                out.append((doc, lo_own, hi_own, size, lo, part, n, name + around, base, context[base - at:lo + part - 1 + length - at] if part > 1 else b""))
         if out:
             yield _refined_columns(out)
 
 
-NAMES = ["b1", "b2", "f1", "f2"]
-
-
 def _which(at: str) -> Column:
     return F.xxhash64("doc", at)
 
@@ -266,10 +291,8 @@ def _opened(batches: Iterator, length: int, spread: int) -> Iterator[pa.RecordBa
             for x in r["rows"]:
                 start, bucket = x["at"] - spread + 1, np.array([x["b1"], x["b2"]], np.int64).tobytes()
                 for lo, name, around in _dealt(data, 0, len(data), start, spread, (x["first"], x["last"]), bucket, length):
-                    b1, b2, f1, f2 = np.frombuffer(name + around, np.int64).tolist()
                     base = max(0, lo)
-                    context = data[base:lo + part - 1 + length] if part > 1 else b""
-                    out.append((x["doc"], x["first"], x["last"], len(data), lo, part, x["n"], b1, b2, f1, f2, base, context))
+                    out.append((x["doc"], x["first"], x["last"], len(data), lo, part, x["n"], name + around, base, data[base:lo + part - 1 + length] if part > 1 else b""))
             if out:
                 yield _refined_columns(out)
 
