@@ -9,6 +9,7 @@ least count over all shards are extended, since no longer phrase is more frequen
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -191,15 +192,13 @@ def _pairs(index: Index, frequent: np.ndarray) -> Phrases:
     return pairs.take(ok[pairs.words[0]])
 
 
-def _emit_pairs(batches: Iterator, with_place: bool) -> Iterator[pa.RecordBatch]:
+def _emit_pairs(batches: Iterator) -> Iterator[pa.RecordBatch]:
     for b, i, words, index in _indexes(batches):
         pairs = _pairs(index, _marked(b.column("frequent")[i].as_py()))
         n = len(pairs.count)
         texts, lang = _phrase_texts(words, pairs.words), pa.array([b.column("lang")[i].as_py()] * n, pa.string())
-        if with_place:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column("shard")[i].as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int32)), lang, texts], names=["shard", "place", "lang", "phrase"])
-        else:
-            yield pa.RecordBatch.from_arrays([lang, texts, pa.array(pairs.count)], names=["lang", "phrase", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column("shard")[i].as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int32)), lang, texts, pa.array(pairs.count)],
+                                         names=["shard", "place", "lang", "phrase", "n"])
 
 
 def _emit_longer(batches: Iterator) -> Iterator[pa.RecordBatch]:
@@ -233,27 +232,36 @@ def _marks_per_shard(rows: DataFrame, place: str, out: str) -> DataFrame:
 def phrase_counts(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of one to DEPTH words with f >= `least`, and (lang, n) with the words of each language.
 
-    Words and pairs go in a round each; longer phrases are enumerated once their pairs are known. Every round sums a shard's counts before and
-    after one shuffle on language and phrase; what survives goes back to its shards as bits. Null texts count as empty, a null language is `und`;
+    Words and pairs go in a round each; longer phrases are enumerated once their pairs are known. Every round has one shuffle on language and phrase;
+    what survives goes back to its shards as bits. Null texts count as empty, a null language is `und`;
     texts of any length are read whole. Other columns are not read.
     """
-    index = cut(build_indexes(docs, shard_words, lang, text))
+    spark = docs.sparkSession
+    # buckets by shard: the rounds bring their bits to the indexes, which are never shuffled
+    name = f"phrase_index_{uuid.uuid4().hex}"
+    made = build_indexes(docs, shard_words, lang, text)
+    made.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").saveAsTable(name)
+    index = spark.table(name)
     totals = cut(index.groupBy("lang").agg(F.sum("n").cast("long").alias("n")))
     listed = index.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("p", "w")).select(
         "shard", "lang", (F.col("p") + 1).alias("place"), F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
 
     def frequent(rows: DataFrame) -> DataFrame:
-        return cut(rows.groupBy("lang", "phrase").agg(F.sum("n").cast("long").alias("f")).where(F.col("f") >= least))
-
-    def places(rows: DataFrame, found: DataFrame) -> DataFrame:
-        return rows.join(found.select("lang", "phrase"), ["lang", "phrase"], "left_semi").select("shard", "place")
-
-    words = frequent(listed.select("lang", "phrase", "n"))
-    known = index.drop("counts", "n").join(_marks_per_shard(places(listed, words), "place", "frequent"), "shard")
-    pairs = frequent(known.mapInArrow(lambda b: _emit_pairs(b, False), "lang string, phrase string, n long"))
-    placed = places(known.mapInArrow(lambda b: _emit_pairs(b, True), "shard long, place int, lang string, phrase string"), pairs)
-    longer = frequent(known.join(_marks_per_shard(placed, "place", "pairs"), "shard").mapInArrow(_emit_longer, "lang string, phrase string, n long"))
-    return words.unionByName(pairs).unionByName(longer), totals
+        """The shards' rows of frequent phrases with f; a phrase has at most one row per shard. One shuffle sums and sends back."""
+        total = F.sum("n").over(Window.partitionBy("lang", "phrase")).cast("long")
+        return cut(rows.withColumn("f", total).where(F.col("f") >= least).select("shard", "place", "lang", "phrase", "f"))
+
+    def phrases(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("lang", "phrase").agg(F.max("f").alias("f"))
+
+    words = frequent(listed)
+    known = index.drop("counts", "n").join(_marks_per_shard(words, "place", "frequent"), "shard")
+    pairs = frequent(known.mapInArrow(_emit_pairs, "shard long, place int, lang string, phrase string, n long"))
+    found = known.join(_marks_per_shard(pairs, "place", "pairs"), "shard").mapInArrow(_emit_longer, "lang string, phrase string, n long")
+    longer = cut(found.groupBy("lang", "phrase").agg(F.sum("n").cast("long").alias("f")).where(F.col("f") >= least))
+    counts = cut(phrases(words).unionByName(phrases(pairs)).unionByName(longer))
+    spark.sql(f"DROP TABLE {name}")
+    return counts, totals
 
 
 def _joined(words: Column, start: Column | int, length: Column | int) -> Column:
