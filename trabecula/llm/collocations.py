@@ -24,7 +24,7 @@ from trabecula.llm.common import cut, table
 
 DEPTH = 4
 #: Words of one shard, and bytes of a text that are cut into words at once (at the end of a piece).
-SHARD_WORDS, TEXT_BYTES = 1 << 21, 1 << 22
+SHARD_WORDS, TEXT_BYTES = 1 << 20, 1 << 22
 #: Least count of a phrase; a phrase goes if a longer one has this share of its occurrences; phrases reported per language.
 LEAST, SHARE, TOP = 30, 80, 2000
 #: Parts in which a language's best phrases are found before they are ranked together.
