@@ -9,7 +9,7 @@ from trabecula.catalog.registry import query
 from trabecula.catalog.shapes import FACE, TRI, meshes
 from trabecula.catalog.tensors import _ortho
 from trabecula.functions import vec
-from trabecula.functions.core import null_safe_join
+from trabecula.functions.core import spread_join
 from trabecula.operators import cloud, mesh
 from trabecula.plans import augmented
 
@@ -76,18 +76,18 @@ def cloud_sample_coverage(t):
     per = pts.groupBy("mesh_id", "tri_id").agg(F.count(F.lit(1)).alias("got"))
     area = mesh.with_faces(tri).select("mesh_id", "tri_id", "area")
     total = area.groupBy("mesh_id").agg(F.sum("area").alias("total"))
-    j = null_safe_join(area, total, ["mesh_id"]).join(per, ["mesh_id", "tri_id"], "left")
+    j = spread_join(area, total, ["mesh_id"]).join(per.hint("merge"), ["mesh_id", "tri_id"], "left")
     off = F.abs(F.coalesce("got", F.lit(0)) - F.col("area") / F.col("total") * _FULL)
     ok = j.groupBy("mesh_id").agg(F.bool_and(off < 2).alias("follows_area"), F.round(F.log(F.max("total")), 6).alias("log_area"))
     n = pts.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("i").alias("n_indices"))
-    return n.join(ok, "mesh_id")
+    return n.join(ok.hint("merge"), "mesh_id")
 
 
 @query("cloud_sample_on_surface", f"WITH {TRI} SELECT mesh_id, {_N}::BIGINT AS n_on_face FROM tri GROUP BY 1")
 def cloud_sample_on_surface(t):
     """Every sampled point lies in the plane of its triangle."""
     tri = mesh.with_faces(meshes(t.part))
-    p = cloud.sample_surface(meshes(t.part), _N, 11).join(tri.select("mesh_id", "tri_id", "v0", "normal"), ["mesh_id", "tri_id"])
+    p = cloud.sample_surface(meshes(t.part), _N, 11).join(tri.select("mesh_id", "tri_id", "v0", "normal").hint("merge"), ["mesh_id", "tri_id"])
     gap = vec.dot(vec.sub(F.struct("x", "y", "z"), F.col("v0")), F.col("normal"))
     return p.groupBy("mesh_id").agg(F.count_if(F.abs(gap) < 1e-9).alias("n_on_face"))
 
@@ -109,9 +109,8 @@ def cloud_seed_probe(t):
 
 @query("cloud_jitter", _PTS + " SELECT mesh_id, count(*) AS n_points, true AS bounded FROM nb GROUP BY 1")
 def cloud_jitter(t):
-    base = _corners(t)
-    j = cloud.jitter(base, 0.01, 9).withColumnsRenamed({a: f"j{a}" for a in vec.AXES}).join(base, ["mesh_id", "i"])
-    gap = F.greatest(*[F.abs(F.col(f"j{a}") - F.col(a)) for a in vec.AXES])
+    j = cloud.jitter(_corners(t).withColumns({f"was_{a}": F.col(a) for a in vec.AXES}), 0.01, 9)
+    gap = F.greatest(*[F.abs(F.col(a) - F.col(f"was_{a}")) for a in vec.AXES])
     return j.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_points"), ((F.max(gap) < 0.09) & (F.max(gap) > 0)).alias("bounded"))
 
 

@@ -111,7 +111,7 @@ def mesh_curvature_summary(t):
 SELECT mesh_id, count(*) AS n, round(sum(gauss * dual) / sum(dual), 5) AS gauss FROM vt JOIN box USING (mesh_id) WHERE {_IN} GROUP BY 1""")
 def mesh_interior_curvature(t):
     tri = meshes(t.part)
-    v = mesh.vertex_table(tri).join(mesh.boxes(tri), "mesh_id").where(mesh.interior("pos", 0.02))
+    v = mesh.vertex_table(tri).join(mesh.boxes(tri).hint("merge"), "mesh_id").where(mesh.interior("pos", 0.02))
     return v.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("gauss") * F.col("dual")) / F.sum("dual"), 5).alias("gauss"))
 
 

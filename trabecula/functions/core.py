@@ -85,6 +85,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return out if how in ("left_semi", "left_anti") else out.drop(*[f"__r_{k}" for k in keys])
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """`null_safe_join` that shuffles both sides whatever their estimated size.
+
+    Rows that come out of an explode are estimated at the size of the rows that went in, so the planner would send millions of them through the
+    driver as a broadcast.
+    """
+    return null_safe_join(left, right.hint("merge"), keys, how)
+
+
 def reasons(*pairs: tuple[Column, str | Column]) -> Column:
     """Texts whose condition holds, joined with '; ' (empty text when none does)."""
     texts = [F.when(c, t if isinstance(t, Column) else F.lit(t)) for c, t in pairs]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trabecula.functions import vec
-from trabecula.functions.core import hash_uniform, null_safe_join
+from trabecula.functions.core import hash_uniform, spread_join
 from trabecula.functions.tensor import quaternion_rotation
 from trabecula.operators.mesh import with_faces
 from trabecula.operators.ordered import running_total
@@ -35,9 +35,9 @@ def sample_surface(tri: DataFrame, n: int, seed: int) -> DataFrame:
     scattered, so that the first m points cover the whole surface too.
     """
     t = with_faces(tri)
-    t = null_safe_join(t, t.groupBy("mesh_id").agg(F.max("area").alias("__largest")), ["mesh_id"])
+    t = spread_join(t, t.groupBy("mesh_id").agg(F.max("area").alias("__largest")), ["mesh_id"])
     t = t.withColumn("share", F.coalesce(F.rint(F.try_divide(F.col("area"), F.col("__largest")) * AREA_UNITS), F.lit(0.0)).cast("long")).drop("__largest")
-    t = running_total(t, ["mesh_id"], ["tri_id"], F.floor(F.col("tri_id") / STEP), "share", out="upto", total="total")
+    t = running_total(t, ["mesh_id"], ["tri_id"], F.floor(F.col("tri_id") / STEP), "share", out="upto", total="total", spread=True)
     low = F.col("upto") - F.col("share")
     first = F.greatest(F.floor(low / F.col("total") * n) - 1, F.lit(0))
     last = F.least(F.floor(F.col("upto") / F.col("total") * n) + 1, F.lit(n - 1))
@@ -59,7 +59,7 @@ def to_unit_box(points: DataFrame, keys: list[str] = ("mesh_id",)) -> DataFrame:
     stats = points.groupBy(*keys).agg(*[F.avg(a).alias(f"m_{a}") for a in vec.AXES],
                                       *[(F.max(a) - F.min(a)).alias(f"e_{a}") for a in vec.AXES])
     stats = stats.withColumn("__e", F.greatest(*[F.col(f"e_{a}") for a in vec.AXES])).drop(*[f"e_{a}" for a in vec.AXES])
-    j = null_safe_join(points, stats, keys)
+    j = spread_join(points, stats, keys)
     e = F.when(F.col("__e") > 0, F.col("__e")).otherwise(F.lit(1.0))
     return j.withColumns({a: (F.col(a) - F.col(f"m_{a}")) / e for a in vec.AXES}).drop("__e", *[f"m_{a}" for a in vec.AXES])
 
@@ -85,7 +85,7 @@ def rebuild_diff(old: DataFrame, new: DataFrame, keys: list[str] = ("mesh_id",),
     keys = list(keys)
     o = old.select(*keys, "i", *[F.col(a).alias(f"o_{a}") for a in vec.AXES])
     n = new.select(*keys, "i", *[F.col(a).alias(f"n_{a}") for a in vec.AXES])
-    j = o.join(n, [*keys, "i"], "full")
+    j = o.join(n.hint("merge"), [*keys, "i"], "full")
     gap = F.greatest(*[F.abs(F.col(f"o_{a}") - F.col(f"n_{a}")) for a in vec.AXES])
     lone = F.col("o_x").isNull() | F.col("n_x").isNull()
     out = j.groupBy(*keys).agg(F.max(gap).alias("max_diff"), F.count_if(lone).alias("n_unpaired"))
@@ -95,7 +95,7 @@ def rebuild_diff(old: DataFrame, new: DataFrame, keys: list[str] = ("mesh_id",),
 
 def with_density(points: DataFrame, density: DataFrame, first_n: int, key: str = "mesh_id") -> DataFrame:
     """Density as a fourth channel of the first n points."""
-    return points.where(F.col("i") < first_n).join(density, key)
+    return points.where(F.col("i") < first_n).join(density.hint("merge"), key)
 
 
 def _turn(r: str) -> dict[str, Column]:
@@ -114,7 +114,7 @@ def rotations(meshes: DataFrame, copies: int, seed: int, key: str = "mesh_id") -
 
 def augment(points: DataFrame, turns: DataFrame, key: str = "mesh_id") -> DataFrame:
     """Every copy of every cloud, turned, centred and scaled again."""
-    j = null_safe_join(points, turns, [key])
+    j = spread_join(points, turns, [key])
     turned = _turn("r")
     j = j.withColumns({f"__{a}": c for a, c in turned.items()}).drop("x", "y", "z", "r")
     j = j.withColumnsRenamed({f"__{a}": a for a in vec.AXES})

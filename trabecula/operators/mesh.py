@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trabecula.functions import vec
-from trabecula.functions.core import all_of, null_safe_join, ratio
+from trabecula.functions.core import all_of, ratio, spread_join
 from trabecula.operators.ordered import exact_quantiles
 from trabecula.operators.score import weighted_mean
 from trabecula.operators.surface import TINY, Surface, corner_table, surface, weld_key, with_faces  # noqa: F401
@@ -56,7 +56,7 @@ def topology(tri: DataFrame | Surface) -> DataFrame:
     ends = edges.select("mesh_id", F.explode(F.array("lo", "hi")).alias("v")).distinct()
     verts = ends.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_vertices"))
     faces = _triangles(tri).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_tris"))
-    out = per.join(verts, "mesh_id").join(faces, "mesh_id")
+    out = per.join(verts.hint("merge"), "mesh_id").join(faces.hint("merge"), "mesh_id")
     return out.withColumn("euler", F.col("n_vertices") - F.col("n_edges") + F.col("n_tris"))
 
 
@@ -68,14 +68,14 @@ def _star_sign(e: DataFrame) -> tuple:
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.unionByName(e.select("mesh_id", F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("mesh_id", "a").agg(F.min("b").alias("m"))
-    j = null_safe_join(both, low, ["mesh_id", "a"]).where(F.col("b") > F.col("a"))
+    j = spread_join(both, low, ["mesh_id", "a"]).where(F.col("b") > F.col("a"))
     return j.select("mesh_id", F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     down = e.select("mesh_id", F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("mesh_id", "a").agg(F.min("b").alias("m"))
-    j = null_safe_join(down, low, ["mesh_id", "a"])
+    j = spread_join(down, low, ["mesh_id", "a"])
     moved = j.where(F.col("b") != F.col("m")).select("mesh_id", F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(low.select("mesh_id", "a", F.col("m").alias("b"))).distinct()
 
@@ -101,13 +101,13 @@ def bodies(tri: DataFrame | Surface) -> DataFrame:
     key = F.explode(F.array(*[weld_key(v) for v in ("v0", "v1", "v2")]))
     verts = _triangles(tri).select("mesh_id", key.alias("k")).distinct().groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_vertices"))
     tied = components(tri).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_tied"))
-    out = verts.join(tied, "mesh_id", "left")
+    out = verts.join(tied.hint("merge"), "mesh_id", "left")
     return out.select("mesh_id", (F.col("n_vertices") - F.coalesce("n_tied", F.lit(0))).alias("bodies"))
 
 
 def report(tri: DataFrame | Surface, cell: float | None = None) -> DataFrame:
     """One health row per mesh, ready for the mesh gate."""
-    return measures(tri, cell).join(topology(tri).drop("n_tris"), "mesh_id").join(bodies(tri), "mesh_id")
+    return measures(tri, cell).join(topology(tri).drop("n_tris").hint("merge"), "mesh_id").join(bodies(tri).hint("merge"), "mesh_id")
 
 
 def vertex_table(tri: DataFrame | Surface) -> DataFrame:
@@ -130,7 +130,7 @@ def vertex_mean_curvature(tri: DataFrame | Surface) -> DataFrame:
     e = edge_curvature(tri).where(F.col("mean").isNotNull())
     ends = e.select("mesh_id", F.explode(F.array("lo", "hi")).alias("vertex"), "mean", "weight")
     h = ends.groupBy("mesh_id", "vertex").agg(weighted_mean("mean", "weight").alias("mean_dihedral"))
-    return vertex_table(tri).join(h, ["mesh_id", "vertex"], "left").withColumn("mean_dihedral", F.coalesce("mean_dihedral", F.lit(0.0)))
+    return vertex_table(tri).join(h.hint("merge"), ["mesh_id", "vertex"], "left").withColumn("mean_dihedral", F.coalesce("mean_dihedral", F.lit(0.0)))
 
 
 def boxes(tri: DataFrame | Surface) -> DataFrame:
@@ -163,7 +163,7 @@ def interior_share(tri: DataFrame | Surface, skin: float) -> DataFrame:
     else:
         v = _triangles(tri).select("mesh_id", F.explode(F.array("v0", "v1", "v2")).alias("pos"))
         v = v.groupBy("mesh_id", weld_key("pos").alias("vertex")).agg(*[F.min(F.col(f"pos.{a}")).alias(f"p{a}") for a in vec.AXES]).withColumn("pos", vec.packed("p"))
-    v = null_safe_join(v, boxes(tri), ["mesh_id"])
+    v = spread_join(v, boxes(tri), ["mesh_id"])
     return v.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_vertices"), F.count_if(interior("pos", skin)).alias("n_interior"),
                                     F.avg(interior("pos", skin).cast("double")).alias("interior_vert_frac"))
 
@@ -178,11 +178,11 @@ def curvature_summary(tri: DataFrame | Surface, cell: float, skin: float | None
     e = edge_curvature(tri).where(F.col("mean").isNotNull())
     if skin is not None:
         b = boxes(tri)
-        v = null_safe_join(v, b, ["mesh_id"]).where(interior("pos", skin))
-        e = null_safe_join(e, b, ["mesh_id"]).where(interior("p_lo", skin) & interior("p_hi", skin))
+        v = spread_join(v, b, ["mesh_id"]).where(interior("pos", skin))
+        e = spread_join(e, b, ["mesh_id"]).where(interior("p_lo", skin) & interior("p_hi", skin))
     v, e = cut_lineage(v.select("mesh_id", "gauss", "dual")), cut_lineage(e.select("mesh_id", "mean", "weight"))
     out = v.groupBy("mesh_id").agg((weighted_mean("gauss", "dual") * L * L).alias("curv_gauss_mean_xL2"))
-    out = out.join(e.groupBy("mesh_id").agg((weighted_mean("mean", "weight") * L).alias("curv_mean_mean_xL")), "mesh_id", "full")
+    out = out.join(e.groupBy("mesh_id").agg((weighted_mean("mean", "weight") * L).alias("curv_mean_mean_xL")).hint("merge"), "mesh_id", "full")
     # Quartiles of the values and p99 of their sizes, for both curvatures, in one quantile pass.
     def both(rows, value, kind):
         sizes = F.array(F.struct(F.lit(kind).alias("kind"), F.col(value).alias("x")), F.struct(F.lit(f"|{kind}|").alias("kind"), F.abs(F.col(value)).alias("x")))
@@ -193,15 +193,15 @@ def curvature_summary(tri: DataFrame | Surface, cell: float, skin: float | None
     q = q.groupBy("mesh_id").agg(
         pick("gauss", F.col("q3") - F.col("q1"), L * L, "curv_gauss_iqr_xL2"), pick("|gauss|", F.col("p99"), L * L, "curv_gauss_p99_xL2"),
         pick("mean", F.col("q3") - F.col("q1"), L, "curv_mean_iqr_xL"), pick("|mean|", F.col("p99"), L, "curv_mean_p99_xL"))
-    return out.join(q, "mesh_id", "left")
+    return out.join(q.hint("merge"), "mesh_id", "left")
 
 
 def wall_summary(hits: DataFrame, expected: DataFrame | None, cell: float, min_hits: int) -> DataFrame:
     """Median, sd, hits and ratios per mesh; measures are null when there are too few hits."""
     h = hits.where(F.col("distance").isNotNull())
     agg = hits.groupBy("mesh_id").agg(F.count("distance").alias("thickness_hits"), F.stddev_pop("distance").alias("__sd"))
-    out = agg.join(exact_quantiles(h, ["mesh_id"], "distance", [0.5], ["__med"]), "mesh_id", "left")
-    out = out.join(expected, "mesh_id", "left") if expected is not None else out.withColumn("expected", F.lit(None).cast("double"))
+    out = agg.join(exact_quantiles(h, ["mesh_id"], "distance", [0.5], ["__med"]).hint("merge"), "mesh_id", "left")
+    out = out.join(expected.hint("merge"), "mesh_id", "left") if expected is not None else out.withColumn("expected", F.lit(None).cast("double"))
     enough = F.col("thickness_hits") > min_hits
     return out.select("mesh_id", "thickness_hits", F.when(enough, F.col("__med")).alias("thickness_med_mm"),
                       F.when(enough, F.col("__sd")).alias("thickness_std_mm"),
@@ -226,7 +226,7 @@ def symmetric_eigenvalues(xx, yy, zz, xy, xz, yz) -> Column:
 def fabric(tri: DataFrame | Surface, skin: float = 0.02, axis_tol: float = NORMAL_TOL, min_faces: int = MIN_FABRIC_FACES) -> DataFrame:
     """Area-weighted orientation tensor without cut faces; null measures when too few faces are left."""
     tri = surface(tri)
-    t = null_safe_join(tri.faces, boxes(tri), ["mesh_id"])
+    t = spread_join(tri.faces, boxes(tri), ["mesh_id"])
     keep = []
     for a in vec.AXES:
         c = (F.col(f"v0.{a}") + F.col(f"v1.{a}") + F.col(f"v2.{a}")) / 3.0

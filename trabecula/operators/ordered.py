@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trabecula.functions.core import any_of, col, null_safe_join, order_bucket
+from trabecula.functions.core import any_of, col, null_safe_join, order_bucket, spread_join
 from trabecula.session import cut_lineage, written
 
 
@@ -29,12 +29,13 @@ def keep_one(df: DataFrame, keys: list[str], order: list[str | Column], prefer:
 
 
 def running_total(df: DataFrame, keys: list[str], order: list[str | Column], bucket: Column | None,
-                  value: str | Column | None = None, out: str = "running", total: str | None = None) -> DataFrame:
+                  value: str | Column | None = None, out: str = "running", total: str | None = None, spread: bool = False) -> DataFrame:
     """Inclusive running sum of `value` per key in `order`; `bucket` must not decrease along `order`.
 
     With the default value it is the row position 1..n. `total` adds the whole-group sum. Give a bucket where
     one is known to spread the rows (hashes, ids, stamps). Without one the rows are range-partitioned on keys and
     order and checkpointed, which also splits a group whose leading order value is the same for most rows.
+    `spread` is for rows that come out of an explode (`spread_join`).
     """
     if bucket is None:
         ranged = df.repartitionByRange(*[F.col(k) for k in keys], *[col(c) for c in order])
@@ -49,7 +50,7 @@ def running_total(df: DataFrame, keys: list[str], order: list[str | Column], buc
                        F.sum("__s").over(Window.partitionBy(*keys)).alias("__tot"))
     inside = Window.partitionBy(*bk).orderBy(*[col(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__in", F.sum("__v").over(inside))
-    res = null_safe_join(rows, sums, bk, "inner").withColumn(out, F.col("__off") + F.col("__in"))
+    res = (spread_join if spread else null_safe_join)(rows, sums, bk).withColumn(out, F.col("__off") + F.col("__in"))
     if total:
         res = res.withColumn(total, F.col("__tot"))
     return res.drop("__b", "__v", "__in", "__off", "__tot")
@@ -63,7 +64,7 @@ def with_bucket(df: DataFrame, value: str | Column, out: str = "__b") -> DataFra
     """
     rows = df.withColumn("__v", col(value).cast("double")).withColumn("__c", order_bucket("__v"))
     ends = rows.groupBy("__c").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("__n"))
-    rows = null_safe_join(rows, ends, ["__c"])
+    rows = spread_join(rows, ends, ["__c"])
     part = F.least(F.floor(F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * F.col("__n")), F.col("__n") - 1)
     return rows.withColumn(out, F.col("__c") * (1 << 31) + F.coalesce(part, F.lit(0))).drop("__v", "__c", "__lo", "__hi", "__n")
 
@@ -108,7 +109,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
         return (r >= F.col(lo)) & (r < F.col(hi))
 
     want = hist.where(any_of([holds(r(p), "__lo", "__hi") for p in probs for r in (rank, nxt)]))
-    hit = null_safe_join(base, want.select(*bk, "__lo", "__tot"), bk)
+    hit = spread_join(base, want.select(*bk, "__lo", "__tot"), bk)
     hit = hit.groupBy(*bk, "__lo", "__tot", "__v").agg(F.count(F.lit(1)).alias("__n"))
     inside = Window.partitionBy(*bk).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     hit = hit.withColumn("__e", F.col("__lo") + F.sum("__n").over(inside)).withColumn("__s", F.col("__e") - F.col("__n"))

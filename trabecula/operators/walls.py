@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trabecula.functions import vec
-from trabecula.functions.core import all_of, hash_bucket, hash_order, null_safe_join
+from trabecula.functions.core import all_of, hash_bucket, hash_order, spread_join
 from trabecula.operators.ordered import running_total
 from trabecula.operators.surface import Surface, surface
 from trabecula.session import written
@@ -54,12 +54,12 @@ def celled(verts: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     wanted = F.floor(F.log2(F.col("side") / (F.sqrt(F.col("area") / F.col("n")) * SPACINGS)))
     level = F.when(F.col("n") <= cell_rows, 0).otherwise(F.greatest(F.lit(0), F.least(F.coalesce(wanted, F.lit(0)), F.lit(BITS)))).cast("int")
     frames = per.select("mesh_id", "side", *[f"lo_{a}" for a in vec.AXES], level.alias("level"))
-    v = written(null_safe_join(verts, frames, ["mesh_id"]).withColumn("morton", morton("pos")).drop("side", *[f"lo_{a}" for a in vec.AXES]))
+    v = written(spread_join(verts, frames, ["mesh_id"]).withColumn("morton", morton("pos")).drop("side", *[f"lo_{a}" for a in vec.AXES]))
     while True:
         full = written(v.groupBy("mesh_id", "level", _code().alias("code")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > cell_rows) & (F.col("level") < BITS)).drop("n"))
         if full.isEmpty():
             return v
-        marked = null_safe_join(v.withColumn("code", _code()), full.withColumn("full", F.lit(True)), ["mesh_id", "level", "code"], "left")
+        marked = spread_join(v.withColumn("code", _code()), full.withColumn("full", F.lit(True)), ["mesh_id", "level", "code"], "left")
         v = written(marked.withColumn("level", F.least(F.when(F.col("full"), F.col("level") + 2).otherwise(F.col("level")), F.lit(BITS))).drop("code", "full"))
 
 
@@ -111,11 +111,11 @@ def wall_hits(tri: DataFrame | Surface, cap: float | DataFrame, n_samples: int |
     tree = cell_tree(v)
     deepest = v.agg(F.max("level")).first()[0] or 0
     pool = v.select("mesh_id", "vertex", "pos", "normal")
-    pool = null_safe_join(pool, cap, ["mesh_id"]) if isinstance(cap, DataFrame) else pool.withColumn("cap", F.lit(float(cap)))
-    left = pool if skin is None else null_safe_join(pool, s.boxes, ["mesh_id"]).where(interior("pos", skin)).select(*pool.columns)
+    pool = spread_join(pool, cap, ["mesh_id"]) if isinstance(cap, DataFrame) else pool.withColumn("cap", F.lit(float(cap)))
+    left = pool if skin is None else spread_join(pool, s.boxes, ["mesh_id"]).where(interior("pos", skin)).select(*pool.columns)
     if n_samples is not None:
         left = left.withColumn("__h", hash_order(seed, "mesh_id", "vertex"))
-        left = running_total(left, ["mesh_id"], ["__h", "vertex"], hash_bucket("__h"), out="__pos")
+        left = running_total(left, ["mesh_id"], ["__h", "vertex"], hash_bucket("__h"), out="__pos", spread=True)
         left = left.where(F.col("__pos") <= n_samples).drop("__h", "__pos")
     left = written(left)
 
@@ -123,17 +123,17 @@ def wall_hits(tri: DataFrame | Surface, cap: float | DataFrame, n_samples: int |
     open_cells, reached = left.withColumn("bound", F.col("cap")).withColumn("parent", F.lit(0).cast("long")), None
     for level in range(deepest + 1):
         cells = tree.where(F.col("at") == level).withColumn("parent", F.shiftright("code", 3)).drop("at")
-        met = _judged(null_safe_join(open_cells, cells, ["mesh_id", "parent"]))
+        met = _judged(spread_join(open_cells, cells, ["mesh_id", "parent"]))
         best = F.least("bound", F.min("sure").over(Window.partitionBy("mesh_id", "vertex")))
         met = written(met.withColumn("bound", best).where(F.col("near") <= F.col("bound") + _SLACK).select(*own, "code", "leaf", F.lit(level).alias("level")))
         ready = met.where("leaf").drop("leaf")
         reached = ready if reached is None else reached.unionByName(ready)
         open_cells = met.where("not leaf").select(*own, F.col("code").alias("parent"))
     others = v.select("mesh_id", "level", _code().alias("code"), F.col("pos").alias("q"), F.col("normal").alias("qn"))
-    j = null_safe_join(reached, others, ["mesh_id", "level", "code"])
+    j = spread_join(reached, others, ["mesh_id", "level", "code"])
     gap = vec.sub("q", "pos")
     d = vec.norm(gap)
     hit = (d > MIN_DISTANCE) & (d <= F.col("cap")) & (-vec.dot(gap, "normal") > d * CONE_COS) & (vec.dot("qn", "normal") < OPPOSING_DOT)
     found = j.groupBy("mesh_id", "vertex").agg(F.min(F.when(hit, d)).alias("distance"), F.count(F.lit(1)).alias("candidates"))
-    out = null_safe_join(left.select("mesh_id", "vertex"), found, ["mesh_id", "vertex"], "left")
+    out = spread_join(left.select("mesh_id", "vertex"), found, ["mesh_id", "vertex"], "left")
     return out.withColumn("candidates", F.coalesce("candidates", F.lit(0).cast("long")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trabecula.functions.core import null_safe_join
+from trabecula.functions.core import spread_join
 from trabecula.operators import mesh
 from trabecula.operators.surface import Surface
 
@@ -25,7 +25,7 @@ def feature_table(tri: DataFrame, files: DataFrame, cell: float, cap: float | Da
     out = files
     for part in (mesh.measures(tri, cell), mesh.topology(tri).drop("n_tris"), mesh.interior_share(tri, skin or 0.0).drop("n_vertices"), mesh.curvature_summary(tri, cell, skin), walls,
                  mesh.fabric(tri)):
-        out = null_safe_join(out, part, ["mesh_id"], "left")
+        out = spread_join(out, part, ["mesh_id"], "left")
     usable = F.coalesce(F.col("status"), F.lit("OK")).startswith("OK")
     return out.withColumn("status", F.when(usable & F.col("n_tris").isNull(), "ERROR no triangles").otherwise(F.coalesce("status", F.lit("OK"))))
 
