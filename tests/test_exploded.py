@@ -3,7 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry
-from trabecula.catalog import shapes
+from trabecula.catalog import shapes, tensors
+from trabecula.catalog.registry import Tables
 from trabecula.functions.core import spread_join
 
 FOLDER = "/root/testdata/sf0.001"
@@ -34,6 +35,13 @@ def test_meshes_are_dealt_out(spark, monkeypatch):
     assert {tuple(r) for r in dealt.collect()} == rows
 
 
+def test_tensors_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(shapes, "PARTS_PER_TASK", 40)
+    rows = tensors._ortho(Tables(spark, FOLDER), "p_size")
+    assert rows.rdd.getNumPartitions() == -(-rows.count() // 40) > 1
+    assert rows.select("p_partkey", "p_size").exceptAll(spark.read.parquet(f"{FOLDER}/part.parquet").select("p_partkey", "p_size")).isEmpty()
+
+
 def test_spread_join_meets_nulls(spark):
     left, right = spark.createDataFrame([(1, "a"), (None, "b")], "k int, x string"), spark.createDataFrame([(1, 2.0), (None, 3.0)], "k int, y double")
     j = spread_join(left, right, ["k"])

@@ -123,7 +123,7 @@ def augmented_rows(t):
     turns = t.part.select(F.col("p_partkey").alias("mesh_id"), F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("copy"), F.array(*[F.lit(float(v)) for v in (a, b, 0, c, d, 0, 0, 0, 1)]).alias("r")) for k, (a, b, c, d) in quarter.items()])).alias("q"))
     turns = turns.select("mesh_id", "q.copy", "q.r")
     points = meshes(t.part).select("mesh_id", F.col("tri_id").alias("i"), "v0.x", "v0.y", "v0.z")
-    rows = _ortho(t).join(t.part.select("p_partkey", F.col("p_retailprice").alias("vf")), "p_partkey").withColumnRenamed("p_partkey", "mesh_id")
+    rows = _ortho(t, F.col("p_retailprice").alias("vf")).withColumnRenamed("p_partkey", "mesh_id")
     rows = rows.withColumns({"c": F.when(F.col("mesh_id") % 9 != 0, F.col("c")), **{n: F.lit(0.5) for n in ("C11_n", "C12_n", "C44_n", "TAI")}})
     out = augmented.augmented_rows(points, rows, turns, ["C11_n", "C12_n", "C44_n", "vf"], 10.0)
     first = F.get("cloud", F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trabecula.catalog.registry import query
-from trabecula.catalog.shapes import FACE, TRI, meshes
+from trabecula.catalog.shapes import FACE, TRI, dealt, meshes
 from trabecula.catalog.tensors import _ORTHO, _ortho
 from trabecula.operators import folds
 from trabecula.plans import dataset, features
@@ -17,9 +17,10 @@ def _aperiodic_tables(t):
     """Every part has two versions of its labels; neighbours share a geometry and differ in seed."""
     k = F.col("p_partkey")
     stem = F.concat(F.lit("LAT_df_i15p0_d"), F.floor(k / 2).cast("string"), F.lit("p0_t0p4_m1p6_s"), (k % 2 + 2).cast("string"))
-    feats = t.part.select(F.concat(stem, F.lit(".stl")).alias("file"), F.when(k % 13 == 0, "ERROR bad mesh").otherwise("OK").alias("status"),
+    part = dealt(t.part)
+    feats = part.select(F.concat(stem, F.lit(".stl")).alias("file"), F.when(k % 13 == 0, "ERROR bad mesh").otherwise("OK").alias("status"),
                           (F.col("p_size") / 60).alias("VF"), (F.col("p_size") * 0.5 + 3).alias("SAV_x_cell"))
-    m = t.part.withColumn("v", F.explode(F.array(F.lit(1), F.lit(2))))
+    m = part.withColumn("v", F.explode(F.array(F.lit(1), F.lit(2))))
     known = F.col("p_size") % 9 != 0
     master = m.select(stem.alias("Run"), F.concat(F.lit("v"), F.col("v").cast("string")).alias("Version"), F.lit("OK").alias("Status"),
                       F.when(known, F.col("p_retailprice") * F.col("v")).alias("C11_GPa"), F.when(known, F.col("p_size") / 100 * F.col("v")).alias("E_over_Es"), (k * 10 + F.col("v")).alias("seq"))
@@ -70,7 +71,7 @@ def _periodic(t):
     """Tensors per (brand, density), some brands under their alias; features whose name and measured density may disagree."""
     k = F.col("p_partkey")
     brand = F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, " Generator").otherwise(""))
-    tensors = _ortho(t).join(t.part, "p_partkey").select(brand.alias("topology"), (k % 6 * 0.05 + 0.1).alias("density"), F.format_string("%012d", k).alias("path"), "c")
+    tensors = _ortho(t, "p_brand", "p_size").select(brand.alias("topology"), (k % 6 * 0.05 + 0.1).alias("density"), F.format_string("%012d", k).alias("path"), "c")
     s = F.col("s_suppkey")
     dens = s % 8 * 0.05 + 0.1
     feats = t.supplier.select(F.concat(F.lit("Brand#"), (s % 25 + 1).cast("string"), F.lit(" Generator")).alias("topology"), F.concat(F.lit("S"), s.cast("string"), F.lit("_density"), F.format_string("%.2f", dens), F.lit(".stl")).alias("file"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FACES_PER_BODY, SHIFT = 24, 20.0
-#: Parts whose triangles one task makes.
+#: Parts whose triangles or tensors one task makes.
 PARTS_PER_TASK = 4096
 
 
@@ -37,14 +37,18 @@ TEMPLATE = _template()
 _NAMES = [f"{v}{a}" for v in "adc" for a in "xyz"]
 
 
+def dealt(part: DataFrame) -> DataFrame:
+    """The parts dealt out by their number: a small file is one task's input, but much is made of each of its rows."""
+    tasks = -(-part.count() // PARTS_PER_TASK)
+    return part.repartition(tasks, "p_partkey") if tasks > 1 else part
+
+
 def meshes(part: DataFrame) -> DataFrame:
     """(mesh_id, tri_id, v0, v1, v2) for every part.
 
-    A small file is one task's input, and each of its rows becomes 24 triangles or more; so the parts are dealt out by their number first. Meshes lie
-    together then, and sums per mesh need no shuffle.
+    Parts are dealt out first, so a mesh lies together, and sums per mesh need no shuffle.
     """
-    tasks = -(-part.count() // PARTS_PER_TASK)
-    part = part.repartition(tasks, "p_partkey") if tasks > 1 else part
+    part = dealt(part)
     k, size = F.col("p_partkey"), F.col("p_size")
     p = part.select(k.alias("mesh_id"), (F.lit(1.0) + size % 7 * 0.5).alias("sx"), (F.lit(1.0) + k % 5 * 0.3).alias("sy"), (F.lit(0.8) + k % 3 * 0.7).alias("sz"),
                     ((size % 9 - 4) * 0.05 + 0.01).alias("h"), (k % 10).alias("kind"))

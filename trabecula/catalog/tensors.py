@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trabecula.catalog.registry import query
+from trabecula.catalog.shapes import dealt
 from trabecula.functions import tensor
 from trabecula.functions.core import hash_uniform
 
@@ -30,14 +31,14 @@ h AS (SELECT *, (K_V + K_R) / 2 AS K_H, (G_V + G_R) / 2 AS G_H FROM m),
 x AS (SELECT *, 9 * K_H * G_H / (3 * K_H + G_H) AS E_iso, (3 * K_H - 2 * G_H) / (2 * (3 * K_H + G_H)) AS nu_iso, K_H - 2 * G_H / 3 AS lam FROM h)"""
 
 
-def _ortho(t):
+def _ortho(t, *carry):
     k, s = F.col("p_partkey"), F.col("p_size")
     a1, a2, a3 = F.lit(8.0) + s * 0.1, F.lit(9.0) + k % 5, F.lit(10.0) + k % 7 * 0.5
     b12, b13, b23 = F.lit(2.0) + k % 3 * 0.4, F.lit(1.5) + k % 4 * 0.3, F.lit(1.0) + s * 0.02
     g4, g5, g6 = F.lit(3.0) + k % 6 * 0.2, F.lit(2.5) + s * 0.03, F.lit(4.0) - k % 8 * 0.1
     z = F.lit(0.0)
     rows = [a1, b12, b13, z, z, z, b12, a2, b23, z, z, z, b13, b23, a3, z, z, z, z, z, z, g4, z, z, z, z, z, z, g5, z, z, z, z, z, z, g6]
-    return t.part.select("p_partkey", F.array(*rows).alias("c"))
+    return dealt(t.part).select("p_partkey", *carry, F.array(*rows).alias("c"))
 
 
 def _round(df, key, cols, d=6):
@@ -109,7 +110,7 @@ def tensor_rotation_invariants(t):
 @query("tensor_frame_labels", f"WITH {_ORTHO} SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN round(a2 / 200, 9) END AS c11_n, p_size * 1.0::DOUBLE AS e_kept FROM x JOIN part USING (p_partkey)")
 def tensor_frame_labels(t):
     quarter = F.array(*[F.lit(float(v)) for v in (0, -1, 0, 1, 0, 0, 0, 0, 1)])
-    r = _ortho(t).join(t.part.select("p_partkey", "p_size"), "p_partkey").withColumn("r", tensor.rotate("c", quarter))
+    r = _ortho(t, "p_size").withColumn("r", tensor.rotate("c", quarter))
     has = F.col("p_partkey") % 3 != 0
     c11 = tensor.frame_label("C11_n", "r", 200.0, F.lit(1.0), F.lit(0.0), has)
     kept = tensor.frame_label("E_over_Es", "r", 200.0, F.col("p_size").cast("double"), F.lit(0.0), has)

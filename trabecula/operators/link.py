@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trabecula.functions.core import col, null_safe_join, number, ratio
+from trabecula.functions.core import col, null_safe_join, number, ratio, spread_join
 from trabecula.functions.names import strip_suffix
 from trabecula.operators.ordered import bracket, keep_one
 
@@ -33,10 +33,10 @@ def link_by_params(features: DataFrame, labels: DataFrame, stem: str, run: str,
     """
     other = [c for c in labels.columns if c not in params and c != run]
     names = labels.select(F.col(run).alias("__run"), *other)
-    exact = features.join(names, F.col(stem) == F.col("__run"), "inner").withColumn("match_kind", F.lit("exact"))
-    rest = features.join(labels.select(F.col(run).alias("__run")), F.col(stem) == F.col("__run"), "left_anti")
+    exact = features.join(names.hint("merge"), F.col(stem) == F.col("__run"), "inner").withColumn("match_kind", F.lit("exact"))
+    rest = features.join(labels.select(F.col(run).alias("__run")).hint("merge"), F.col(stem) == F.col("__run"), "left_anti")
     by_key = keep_one(labels.select(*params, F.col(run).alias("__run"), *other), params, [seq], "max")
-    loose = null_safe_join(rest, by_key, params, "left")
+    loose = spread_join(rest, by_key, params, "left")
     loose = loose.withColumn("match_kind", F.when(F.col("__run").isNotNull(), F.lit("params")).otherwise(F.lit("none")))
     return exact.unionByName(loose).withColumnRenamed("__run", "matched_run")
 
