@@ -1,6 +1,7 @@
 import json
 import struct
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,17 @@ def test_usable_row_of_a_repeated_key_wins(spark, tmp_path):
     rows = spark.createDataFrame([("r", "b", "OK", 1.0), ("r", "b", "ERROR bad", None), ("r", "c", "FAIL", None)], "Run string, Batch string, Status string, x double")
     kept = {(r.Run, r.Batch): r.Status for r in sinks.append_master(rows, str(tmp_path / "master")).collect()}
     assert kept == {("r", "b"): "OK", ("r", "c"): "FAIL"}
+
+
+def test_ascii_ranges_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    """Names of ranges are few bytes, yet their ranges are read by many tasks; small ranges leave a task together."""
+    facet = "facet normal 0 0 0\nouter loop\n" + "".join(f"vertex {i} {i + 1} {i + 2}\n" for i in range(3)) + "endloop\nendfacet\n"
+    (tmp_path / "a.stl").write_text("solid a\n" + facet * 400 + "endsolid\n")
+    monkeypatch.setattr(stl, "TASK_BYTES", 5000)
+    files = stl.list_stl(spark, str(tmp_path))
+    length = files.first()["length"]
+    assert stl._tasks(files, F.ceil(F.col("length") / 500), 500) == -(-(-(-length // 500)) // 10)
+    tri = stl.read_triangles(files, chunk=10)
+    assert tri.where("error IS NULL").select("tri_id").distinct().count() == 400 and tri.count() == 400
+    frames = list(stl._decode_corners(iter([pd.DataFrame({"path": str(tmp_path / "a.stl"), "part": range(8), "start": [500 * k for k in range(8)], "end": [500 * k + 500 for k in range(8)]})])))
+    assert len(frames) == 1 and len(frames[0]) > 50

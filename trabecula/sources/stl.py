@@ -24,6 +24,8 @@ CHUNK_TRIANGLES = 1_000_000
 #: A corner in an ASCII file, and how far behind a range its last corner may reach.
 _CORNER = re.compile(rb"(?<!\S)vertex\s+(\S+)\s+(\S+)\s+(\S+)")
 REACH = 4096
+#: Bytes of ranges that one task reads, and rows that a task hands on at once.
+TASK_BYTES, OUT_ROWS = 16_000_000, 100_000
 
 
 def list_stl(spark: SparkSession, folder: str, max_mb: float | None = None, names: str = "*.[sS][tT][lL]") -> DataFrame:
@@ -98,7 +100,14 @@ def _corners(path: str, start: int, end: int) -> np.ndarray:
     return np.array(found, dtype="S").astype(float).reshape(-1, 3) if found else np.zeros((0, 3))
 
 
+def _tasks(files: DataFrame, ranges: Column, size: int) -> int:
+    """Tasks that the byte ranges of all files are dealt to; adaptive execution would take the few bytes that name them for little work."""
+    n = files.agg(F.sum(ranges).alias("n")).first()["n"] or 0
+    return max(1, -(-n // max(1, TASK_BYTES // size)))
+
+
 def _decode_corners(batches):
+    held, rows = [], 0
     for pdf in batches:
         for path, part, start, end in zip(pdf["path"], pdf["part"], pdf["start"], pdf["end"]):
             try:
@@ -106,9 +115,15 @@ def _decode_corners(batches):
             except Exception as ex:  # one broken file must not stop the scan
                 yield pd.DataFrame({"path": [path], "part": [part], "seq": [-1], "x": [np.nan], "y": [np.nan], "z": [np.nan], "error": [f"ERROR {ex}"]})
                 continue
-            for a in range(0, len(v), 100_000):
-                own = v[a:a + 100_000]
-                yield pd.DataFrame({"path": path, "part": part, "seq": np.arange(a, a + len(own)), "x": own[:, 0], "y": own[:, 1], "z": own[:, 2], "error": error})
+            for a in range(0, len(v), OUT_ROWS):
+                own = v[a:a + OUT_ROWS]
+                held.append(pd.DataFrame({"path": path, "part": part, "seq": np.arange(a, a + len(own)), "x": own[:, 0], "y": own[:, 1], "z": own[:, 2], "error": error}))
+                rows += len(own)
+                if rows >= OUT_ROWS:
+                    yield pd.concat(held, ignore_index=True)
+                    held, rows = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def _ascii_rows(files: DataFrame, size: int) -> DataFrame:
@@ -116,7 +131,7 @@ def _ascii_rows(files: DataFrame, size: int) -> DataFrame:
     zero = F.lit(0).cast("long")
     last = F.greatest(F.floor((F.col("length") - 1) / size), zero).cast("long")
     parts = files.select("path", "length", F.explode(F.sequence(zero, last)).alias("part"))
-    parts = parts.select("path", "part", (F.col("part") * size).alias("start"), F.least(F.col("length"), (F.col("part") + 1) * size).alias("end")).repartition("path", "part")
+    parts = parts.select("path", "part", (F.col("part") * size).alias("start"), F.least(F.col("length"), (F.col("part") + 1) * size).alias("end")).repartition(_tasks(files, last + 1, size), "path", "part")
     corners = written(parts.mapInPandas(_decode_corners, "path string, part long, seq long, x double, y double, z double, error string"))
     counts = corners.where("error IS NULL").groupBy("path", "part").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -159,7 +174,7 @@ def read_triangles(files: DataFrame, chunk: int = CHUNK_TRIANGLES) -> DataFrame:
     last = F.greatest(F.floor((F.col("length") - HEADER - 1) / (RECORD * chunk)), F.lit(0)).cast("long")
     parts = ok.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
     parts = parts.select("path", "length", (F.col("part") * chunk).alias("first"), F.lit(chunk).cast("long").alias("count"))
-    parts = parts.repartition("path", "first")
+    parts = parts.repartition(_tasks(ok, last + 1, RECORD * chunk), "path", "first")
     rows = parts.mapInPandas(_decode, "path string, tri_id long, v array<double>, error string")
     def point(i: int) -> Column:
         return F.struct(*[F.get("v", F.lit(3 * i + j)).alias(a) for j, a in enumerate("xyz")])
