@@ -42,6 +42,14 @@ def test_tensors_are_dealt_out(spark, monkeypatch):
     assert rows.select("p_partkey", "p_size").exceptAll(spark.read.parquet(f"{FOLDER}/part.parquet").select("p_partkey", "p_size")).isEmpty()
 
 
+def test_training_rows_are_dealt_out(spark, monkeypatch):
+    from trabecula.learn import forest
+    monkeypatch.setattr(forest, "FIT_ROWS", 100)
+    rows = spark.range(250, numPartitions=1)
+    assert forest.dealt(rows, 250).rdd.getNumPartitions() == 3 and forest.dealt(rows, 250).count() == 250
+    assert forest.dealt(rows, 100).rdd.getNumPartitions() == 1
+
+
 def test_spread_join_meets_nulls(spark):
     left, right = spark.createDataFrame([(1, "a"), (None, "b")], "k int, x string"), spark.createDataFrame([(1, 2.0), (None, 3.0)], "k int, y double")
     j = spread_join(left, right, ["k"])

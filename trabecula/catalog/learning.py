@@ -57,7 +57,7 @@ def forest_default(t):
     features = ["p_size", "p_retailprice", "noise"]
     p = evaluate.cross_validate(rows, "group_key", features, ["y"], 3, ["p_partkey"], density="density")
     scores = evaluate.evaluate(p, ["RF", "density only"])[0].groupBy().agg(*[F.max(F.when(F.col("model") == m, F.col("R2"))).alias(n) for m, n in (("RF", "forest"), ("density only", "control"))])
-    weights = forest.importances(forest.regressor(features, "y").fit(rows), features, rows)
+    weights = forest.importances(forest.regressor(features, "y").fit(forest.dealt(rows, rows.count())), features, rows)
     w = weights.agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("to_one"), F.min_by("feature", "rank").alias("first")).first()
     r = scores.first()
     better = r["forest"] > 0.5 and (r["control"] is None or r["forest"] > r["control"])

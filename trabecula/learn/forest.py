@@ -18,6 +18,8 @@ from trabecula.session import written
 MIN_TRAIN_ROWS = 10
 #: Fits submitted at once; their jobs share the cluster.
 FITS_AT_ONCE = 4
+#: Rows that a task of a fit holds; a forest keeps a number per row and tree.
+FIT_ROWS = 1 << 16
 
 
 def at_once(spark: SparkSession, work: list[Callable], limit: int = FITS_AT_ONCE) -> list:
@@ -40,6 +42,12 @@ def regressor(features: list[str], label: str, trees: int = 100, seed: int = 42,
     return Pipeline(stages=stages)
 
 
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The n training rows dealt to enough tasks: a fit caches what its input partitions hold, and small files come as one partition."""
+    tasks = -(-n // FIT_ROWS)
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 def usable_rows(df: DataFrame, features: list[str], label: str) -> DataFrame:
     """Rows with this label and all features."""
     return df.dropna(subset=[*features, label])
@@ -51,7 +59,7 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, fold: str, n_fol
     rows, out = written(usable_rows(df, features, label).select(*dict.fromkeys([*carry, fold, *features, label]))), None
     counts = {r[fold]: r["n"] for r in rows.groupBy(fold).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per fold
     wanted = [k for k in range(n_folds) if counts.get(k) and sum(counts.values()) - counts[k] >= min_train]
-    fits = at_once(df.sparkSession, [lambda k=k: regressor(features, label, **kw).fit(rows.where(F.col(fold) != k)) for k in wanted])
+    fits = at_once(df.sparkSession, [lambda k=k: regressor(features, label, **kw).fit(dealt(rows.where(F.col(fold) != k), sum(counts.values()) - counts[k])) for k in wanted])
     for k, fitted in zip(wanted, fits):
         pred = fitted.transform(rows.where(F.col(fold) == k))
         pred = pred.select(*carry, fold, F.col(label).cast("double").alias("y_true"), "y_pred").withColumns(
@@ -70,9 +78,9 @@ def holdout_predictions(df: DataFrame, features: list[str], label: str, specs: l
     if not masks:
         return None
     *hidden, n_rows = rows.agg(*[F.count_if(m) for _, m in masks], F.count(F.lit(1))).first()
-    wanted = [own for own, n in zip(masks, hidden) if n and n_rows - n >= min_train]
-    fits = at_once(df.sparkSession, [lambda m=m: regressor(features, label, **kw).fit(rows.where(~m)) for _, m in wanted])
-    for (name, mask), fitted in zip(wanted, fits):
+    wanted = [(*own, n_rows - n) for own, n in zip(masks, hidden) if n and n_rows - n >= min_train]
+    fits = at_once(df.sparkSession, [lambda m=m, n=n: regressor(features, label, **kw).fit(dealt(rows.where(~m), n)) for _, m, n in wanted])
+    for (name, mask, _), fitted in zip(wanted, fits):
         pred = fitted.transform(rows.where(mask))
         pred = pred.select(*carry, F.col(label).cast("double").alias("y_true"), "y_pred").withColumns(
             {"target": F.lit(label), "model": F.lit(model), "split": F.lit(name)})
