@@ -32,13 +32,14 @@ def _blocks(data: Column, block: int) -> Column:
 def name_contents(rows: DataFrame, content: list[str]) -> DataFrame:
     """Distinct contents of `rows` (columns `content`, ra, rb) as ra, rb, name, clash.
 
-    Repeats go before and after the one shuffle, so a content that a third of the rows share costs no more than another. `clash` marks
-    routes that differing contents share.
+    The contents of a route are combined before the one shuffle they take part in, so a content that a third of the rows share costs no more than
+    another. `clash` marks routes that differing contents share.
     """
-    each = rows.select("ra", "rb", *content).distinct().withColumn("__b", F.pmod(F.xxhash64("ra", "rb"), F.lit(BUCKETS)))
-    by = Window.partitionBy("__b").orderBy("ra", "rb", *content)
-    shared = F.coalesce((F.lag("ra").over(by) == F.col("ra")) & (F.lag("rb").over(by) == F.col("rb")), F.lit(False))
-    return each.select("ra", "rb", (F.shiftleft("__b", 40) + F.row_number().over(by)).alias("name"), shared.alias("clash"))
+    differ = F.lit(False) if not content else F.min(F.struct(*content)) != F.max(F.struct(*content))
+    each = rows.groupBy("ra", "rb").agg(differ.alias("clash"))
+    each = each.withColumn("__b", F.pmod(F.xxhash64("ra", "rb"), F.lit(BUCKETS)))
+    by = Window.partitionBy("__b").orderBy("ra", "rb")
+    return each.select("ra", "rb", (F.shiftleft("__b", 40) + F.row_number().over(by)).alias("name"), "clash")
 
 
 def block_names(docs: DataFrame, keys: list[str], block: int, route: Route) -> tuple[DataFrame, DataFrame]:
