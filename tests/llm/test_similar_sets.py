@@ -103,3 +103,18 @@ def test_wide_sketches_keep_similar_sets_and_part_others():
             assert apart <= len(np.setxor1d(a, b)) and (9 * apart <= len(a) + len(b)) == kept, (n, share)
         longer = np.unique(np.r_[a, rng.integers(0, 1 << 63, n // 9).astype(np.uint64)])
         assert similar_sets.sketches_differ(similar_sets.wide_sketch(a).tobytes(), similar_sets.wide_sketch(longer).tobytes()) <= len(np.setxor1d(a, longer))
+
+
+def test_fingerprints_find_near_copies_ahead_of_the_keys(spark, monkeypatch):
+    texts = [x for t in prose(12, 1500, seed=31) for x in (t, t + " tail")] + prose(6, 300, seed=32)
+    monkeypatch.setattr(similar_sets, "candidate_pairs", lambda shared, facts, spanning, block_rows: spark.createDataFrame([], "a long, b long"))
+    assert {r.doc_id for r in simhash.near_dedup_stage(spark, docs(spark, texts), "").collect()} == kept_by_hand(texts)
+
+
+def test_fingerprint_pairs_join_what_brute_force_joins(spark):
+    rnd = random.Random(8)
+    prints = [rnd.getrandbits(62) for _ in range(60)]
+    prints += [p ^ sum(1 << b for b in rnd.sample(range(62), rnd.randrange(6))) for p in prints]
+    pairs = similar_sets.fingerprint_pairs(spark.createDataFrame(list(enumerate(prints)), "node long, fp long")).collect()
+    near = {(i, j) for i, j in itertools.combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    assert {(r.a, r.b) for r in pairs} == near

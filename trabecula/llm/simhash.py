@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from trabecula.llm.common import DOCUMENT_COLUMNS, by_whole_groups, cut, in_block_pairs, shingle_hashes, table, without_texts
 from trabecula.llm.graph import fold_labels, star_components
-from trabecula.llm.similar_sets import similar_groups
 
 BITS = 64
 #: Fingerprints compared pairwise in one bucket; larger buckets are split, at most so many times: fingerprints that still share a bucket then are
@@ -47,6 +46,11 @@ def fingerprint(text: str, words: int) -> np.ndarray:
     return _majority(ones, n)
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The same over distinct hashes, as an unsigned number."""
+    return int(_majority(_count_bits(hashes), len(hashes))[0])
+
+
 def fingerprints(docs: DataFrame, keys: list[str], words: int = 3, text: str = "text") -> DataFrame:
     """`keys` and `fp`, the fingerprint as a signed long. Null texts count as empty: fingerprint zero."""
     rows = docs.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("__text"))
@@ -179,8 +183,11 @@ def op5_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the smallest doc_id of each near-duplicate component stays, and rows without an id.
 
-    Links: a Jaccard similarity of 0.8 or more of the sets of five-word shingles, all of them and no others.
+    Links: a Jaccard similarity of 0.8 or more of the sets of five-word shingles, all of them and no others. SimHash fingerprints linked by the
+    pigeonring come first, every link is checked on the whole sets, and exact keys serve what fingerprints lose.
     """
+    from trabecula.llm.similar_sets import similar_groups  # it links fingerprints by this module
+
     docs = docs.select(*DOCUMENT_COLUMNS)
     found = similar_groups(docs).where("doc_id is not null")
     gone = cut(found.where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("sha") != F.col("keep.sha"))).select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).distinct())

@@ -4,6 +4,9 @@ Shingles are put into one global order, common ones last. If two sets are that s
 common: these are the keys. Pairs that share a key pass two tests that never lose a similar pair, sizes and parity sketches (a sketch differs in
 at most as many bits as the sets differ in shingles; short ones beside the keys, wide ones for the pairs left), and are then compared on their whole sets. The first round compares pairs that span the
 candidates of each key, the second all candidates that the links of the first have left in different components.
+
+Ahead of both, SimHash fingerprints of the sets are linked by the pigeonring and the links compared on the whole sets; the keys then serve only what
+fingerprints lose.
 """
 
 from __future__ import annotations
@@ -15,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trabecula.llm.common import by_whole_groups, cut, in_block_pairs, shingle_hashes
+from trabecula.llm.common import by_whole_groups, cut, held, in_block_pairs, shingle_hashes
 from trabecula.llm.graph import fold_labels, star_components
+from trabecula.llm.simhash import set_fingerprint, spanning_links
 
 WORDS = 5
 SKETCH_BITS = 512
@@ -83,7 +87,7 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profiles(rows: DataFrame) -> DataFrame:
-    """doc_id, sha, k1 and k2 (128-bit name of the shingle set), n, sketch, wide, keys."""
+    """doc_id, sha, k1 and k2 (128-bit name of the shingle set), n, fp, sketch, wide, keys."""
     common, rank = common_shingles(rows)
 
     def run(batches):
@@ -94,10 +98,11 @@ def _profiles(rows: DataFrame) -> DataFrame:
             names = np.frombuffer(b"".join(xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("sha"), pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)),
                  pa.array([sketch(s).tobytes() for s in sets], pa.binary()), pa.array([wide_sketch(s).tobytes() for s in sets], pa.binary()), pa.array([first_keys(s, common, rank).view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["doc_id", "sha", "k1", "k2", "n", "sketch", "wide", "keys"])
+                names=["doc_id", "sha", "k1", "k2", "n", "fp", "sketch", "wide", "keys"])
 
-    more = [F.lit(0).cast("long").alias(c) for c in ("k1", "k2", "n")] + [F.lit(b"").alias("sketch"), F.lit(b"").alias("wide"), F.array().cast("array<long>").alias("keys")]
+    more = [F.lit(0).cast("long").alias(c) for c in ("k1", "k2", "n", "fp")] + [F.lit(b"").alias("sketch"), F.lit(b"").alias("wide"), F.array().cast("array<long>").alias("keys")]
     return rows.mapInArrow(run, rows.select("doc_id", "sha", *more).schema)
 
 
@@ -163,6 +168,13 @@ def candidate_pairs(shared: DataFrame, facts: DataFrame, spanning: bool, block_r
     return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, "a long, b long").distinct()
 
 
+def fingerprint_pairs(profiles: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, that join the rows (node, fp) of equal fingerprints and the fingerprints within three bits."""
+    prints = cut(profiles.groupBy("fp").agg(F.min("node").alias("node")))
+    same = profiles.select("fp", F.col("node").alias("b")).join(prints.withColumnRenamed("node", "a"), "fp").where("a < b").select("a", "b")
+    return same.unionByName(spanning_links(prints).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")).distinct()
+
+
 def similar_groups(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per input row: doc_id, sha (of the text) and keep, the smallest (no id, doc_id, sha) of the rows reachable over similar pairs.
 
@@ -174,22 +186,33 @@ def similar_groups(docs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("least")
     nodes = cut(base.groupBy("k1", "k2").agg(least, F.min("row").alias("node")))
     again = cut(base.select("row").join(nodes.select(F.col("node").alias("row")), "row", "left_anti"))
-    profiles = base.select(F.col("row").alias("node"), "n", "sketch", "keys").join(again.withColumnRenamed("row", "node"), "node", "left_anti")
+    profiles = base.select(F.col("row").alias("node"), "n", "fp", "sketch", "keys").join(again.withColumnRenamed("row", "node"), "node", "left_anti")
     keys = profiles.select(F.explode("keys").alias("key"), "node")
     shared = cut(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_only, "key long, node long"))
-    facts = profiles.select("node", "n", "sketch", F.col("node").alias("root"))
-
-    tried = cut(candidate_pairs(shared, facts, True, block_rows))
-    # a row that has any candidate is in a pair of the first round, so these rows serve the second as well
-    used = cut(tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct())
     texts = rows if base.groupBy("doc_id", "sha").count().where("count > 1").isEmpty() else rows.dropDuplicates(["doc_id", "sha"])
-    where = cut(nodes.join(used, "node").select("node", F.col("least.doc_id").alias("__id"), F.col("least.sha").alias("__sha")))
-    wide = base.select(F.col("row").alias("node"), "n", "wide").join(used, "node")
-    links = cut(_verified(_plausible(tried, wide), where, texts, block_rows))
+
+    def ends(pairs):
+        return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+    def similar(pairs):
+        used = cut(ends(pairs))
+        wide = cut(held(base.select(F.col("row").alias("node"), "n", "wide"), used, "node").join(used, "node"))
+        pairs = _plausible(pairs, wide)
+        used = cut(ends(pairs))
+        where = cut(held(nodes, used, "node").join(used, "node").select("node", F.col("least.doc_id").alias("doc_id"), F.col("least.sha").alias("sha")))
+        return cut(_verified(pairs, where, held(texts, where, "doc_id", "sha"), block_rows))
+
+    def facts(roots):
+        return profiles.select("node", "n", "sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    links = similar(cut(fingerprint_pairs(profiles)))
+    tried = cut(candidate_pairs(shared, cut(facts(star_components(links))), True, block_rows))
+    links = links.unionByName(similar(tried))
     roots = cut(star_components(links))
-    facts = cut(profiles.select("node", "n", "sketch").join(used, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    more = cut(candidate_pairs(shared.join(used, "node"), facts, False, block_rows).join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty() and not (late := cut(_verified(_plausible(more, wide), where, texts, block_rows))).isEmpty():
+    # a row that has any candidate is in a pair of the first round of keys, so these rows serve the second as well
+    used = cut(ends(tried))
+    more = cut(candidate_pairs(shared.join(used, "node"), cut(facts(roots).join(used, "node")), False, block_rows).join(tried, ["a", "b"], "left_anti"))
+    if not more.isEmpty() and not (late := similar(more)).isEmpty():
         roots = cut(star_components(links.unionByName(late)))
     placed = cut(nodes.join(roots, "node", "left").select("k1", "k2", "least", F.coalesce("root", "node").alias("root")))
     keep = cut(placed.groupBy("root").agg(F.min("least").alias("keep")))
@@ -221,6 +244,7 @@ def _verified(pairs: DataFrame, where: DataFrame, texts: DataFrame, block_rows:
     dealt = cut(pairs.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), F.col("__blocks")).alias("block"), "b"))
     first = dealt.select("a", "block", F.lit(0).alias("part"), F.col("a").alias("node")).distinct()
     roles = cut(first.unionByName(dealt.select("a", "block", F.lit(1).alias("part"), F.col("b").alias("node"))).join(where, "node"))
+    roles = roles.withColumnsRenamed({"doc_id": "__id", "sha": "__sha"})
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("sha") == F.col("__sha"))
     order = ["a", "block", "part"]
 
