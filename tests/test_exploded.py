@@ -35,6 +35,12 @@ def test_meshes_are_dealt_out(spark, monkeypatch):
     assert {tuple(r) for r in dealt.collect()} == rows
 
 
+def test_rotations_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(shapes, "PARTS_PER_TASK", 40)
+    box, turned = (entry.queries()[n](spark, FOLDER)._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") for n in ("cloud_unit_box", "cloud_augment"))
+    assert box and turned == 3 * box  # points and turns, and both again for the sums
+
+
 def test_tensors_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(shapes, "PARTS_PER_TASK", 40)
     rows = tensors._ortho(Tables(spark, FOLDER), "p_size")

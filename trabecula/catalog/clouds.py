@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trabecula.catalog.registry import query
-from trabecula.catalog.shapes import FACE, TRI, meshes
+from trabecula.catalog.shapes import FACE, TRI, dealt, meshes
 from trabecula.catalog.tensors import _ortho
 from trabecula.functions import vec
 from trabecula.functions.core import spread_join
@@ -95,7 +95,7 @@ def cloud_sample_on_surface(t):
 @query("cloud_augment", _PTS + " SELECT mesh_id, c.copy AS copy, count(*) AS n_points, true AS unit_box FROM nb, (VALUES (0), (1), (2)) c(copy) GROUP BY 1, 2")
 def cloud_augment(t):
     base = cloud.to_unit_box(_corners(t))
-    turned = cloud.augment(base, cloud.rotations(t.part.select(F.col("p_partkey").alias("mesh_id")), 2, 3))
+    turned = cloud.augment(base, cloud.rotations(dealt(t.part).select(F.col("p_partkey").alias("mesh_id")), 2, 3))
     out = cloud.cloud_check(turned, ["mesh_id", "copy"])
     return out.select("mesh_id", "copy", "n_points", F.col("ok").alias("unit_box"))
 
