@@ -56,6 +56,16 @@ def test_components_of_a_long_strip(spark):
     assert b["strip"]["bodies"] == 1 and b["gaps"]["bodies"] == 15
 
 
+def test_meshes_in_one_chunk_need_no_rounds(spark, shapes, monkeypatch):
+    """Edges that lie together are contracted where they lie; a mesh that chunks share goes on by rounds, to the same stars."""
+    strip = [((i, 0, 0), (i + 1, 0, 0), (i, 1, 0)) for i in range(0, 60)]
+    tri = shapes.unionByName(triangles(spark, strip=strip)).repartition(3)
+    shared = {tuple(r) for r in mesh.components(tri, chunk_edges=1).collect()}
+    monkeypatch.setattr(mesh, "_large_star", lambda e: pytest.fail("a round of its own"))
+    assert {tuple(r) for r in mesh.components(tri.coalesce(1)).collect()} == shared
+    assert len([r for r in shared if r[0] == "strip"]) == 120
+
+
 def test_wall_thickness_between_plates(spark):
     def plate(z, up, n=6):
         out = []

@@ -7,20 +7,27 @@ the cluster; per-mesh results are only joined back after pre-aggregation.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trabecula.functions import vec
-from trabecula.functions.core import all_of, ratio, spread_join
+from trabecula.functions.core import all_of, null_safe_join, ratio, spread_join
 from trabecula.operators.ordered import exact_quantiles
 from trabecula.operators.score import weighted_mean
 from trabecula.operators.surface import TINY, Surface, corner_table, surface, weld_key, with_faces  # noqa: F401
 from trabecula.operators.walls import wall_hits  # noqa: F401
-from trabecula.session import cut_lineage
+from trabecula.session import cut_lineage, written
 
 # Fabric limits.
 NORMAL_TOL, MIN_FABRIC_FACES = 0.9, 100
+#: Edges that a task contracts at once.
+CHUNK_EDGES = 1 << 18
 
 
 def measures(tri: DataFrame | Surface, cell: float | None = None) -> DataFrame:
@@ -80,19 +87,74 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("mesh_id", "a", F.col("m").alias("b"))).distinct()
 
 
-def components(tri: DataFrame | Surface) -> DataFrame:
+def _contracted(edges: DataFrame, chunk_edges: int) -> DataFrame:
+    """(mesh_id, a, b, chunk): the edges of each chunk of a task's rows as one star per body, b the smallest vertex of a; edges without a position stay, as chunk -1."""
+    names = [f"{e}{a}" for e in "ab" for a in vec.AXES]
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        chunk, held, rows = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= chunk_edges:
+                yield from _stars(pa.Table.from_batches(held), names, chunk)
+                chunk, held, rows = chunk + 1, [], 0
+        if held:
+            yield from _stars(pa.Table.from_batches(held), names, chunk)
+
+    flat = edges.select("mesh_id", *[F.col(f"{e}.{a}").alias(f"{e}{a}") for e in "ab" for a in vec.AXES])
+    schema = T.StructType([*flat.schema.fields, T.StructField("chunk", T.LongType())])
+    return flat.mapInArrow(run, schema).select("mesh_id", *[F.struct(*[F.col(f"{e}{a}").alias(a) for a in vec.AXES]).alias(e) for e in "ab"], "chunk")
+
+
+def _stars(t: pa.Table, names: list[str], chunk: int):
+    placed = reduce(pc.and_, [pc.is_valid(t[n]) for n in names])
+    rest, t = t.filter(pc.invert(placed)), t.filter(placed)
+    yield from rest.append_column("chunk", pa.array(np.full(rest.num_rows, -1))).to_batches()
+    n = t.num_rows
+    mesh = pc.dictionary_encode(t["mesh_id"].combine_chunks(), null_encoding="encode")
+    keys = [np.tile(mesh.indices.to_numpy(), 2), *[np.r_[t[x].to_numpy(), t[y].to_numpy()] for x, y in zip(names[:3], names[3:])]]
+    order = np.lexsort(keys[::-1])
+    first = np.r_[True, np.logical_or.reduce([np.diff(k[order]) != 0 for k in keys])][:2 * n]
+    vertex = np.empty(2 * n, np.int64)
+    vertex[order] = np.cumsum(first) - 1
+    at, root = order[first], np.arange(int(first.sum()))
+    while True:
+        ends = root[vertex[:n]], root[vertex[n:]]
+        low, now = np.minimum(*ends), root.copy()
+        for e in ends:
+            np.minimum.at(now, e, low)
+        while (now[now] != now).any():
+            now = now[now]
+        if (now == root).all():
+            break
+        root = now
+    tied = np.flatnonzero(root != np.arange(len(root)))
+    a, b = at[tied], at[root[tied]]
+    yield pa.RecordBatch.from_arrays([mesh.dictionary.take(pa.array(keys[0][a])), *[pa.array(k[rows]) for rows in (a, b) for k in keys[1:]], pa.array(np.full(len(tied), chunk))], names=["mesh_id", *names, "chunk"])
+
+
+def components(tri: DataFrame | Surface, chunk_edges: int = CHUNK_EDGES) -> DataFrame:
     """(mesh_id, a = vertex, b = smallest vertex of its body) for every vertex that is not that smallest one.
 
-    Alternating large-star / small-star contraction; each round is checkpointed, so neither lineage
-    nor a lost executor makes it start over.
+    Each task contracts its edges in chunks; a mesh whose edges lie in one chunk is done with that. Meshes that several chunks share go on by alternating
+    large-star / small-star contraction; each round is checkpointed, so neither lineage nor a lost executor makes it start over.
     """
     e = surface(tri).edge_use.where(F.col("lo") != F.col("hi")).select("mesh_id", F.col("hi").alias("a"), F.col("lo").alias("b"))
+    stars = written(_contracted(e, chunk_edges))
+    own = stars.groupBy("mesh_id").agg(F.min("chunk").alias("__first"), F.max("chunk").alias("__last"))
+    shared = written(own.where((F.col("__first") < F.col("__last")) | (F.col("__first") < 0)).select("mesh_id"))
+    if shared.isEmpty():
+        return stars.drop("chunk")
+    e = null_safe_join(stars, shared.hint("merge"), ["mesh_id"], "left_semi").drop("chunk")
     sign = None
     while True:
         e = cut_lineage(_small_star(_large_star(e)))
         now = _star_sign(e)
         if now == sign:
-            return e
+            return null_safe_join(stars, shared.hint("merge"), ["mesh_id"], "left_anti").drop("chunk").unionByName(e)
         sign = now
 
 
