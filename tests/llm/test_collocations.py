@@ -94,3 +94,22 @@ def test_parts_of_a_text_and_intervals(monkeypatch):
             got = index.extend(got, left)
             want = Counter(t for t in zip(*[ids[i:len(ids) - k + 1 + i].tolist() for i in range(k)]) if 0 not in t)
             assert dict(zip(zip(*got.words.tolist()), got.count.tolist())) == want
+
+
+def test_phrases_are_packed_in_few_bytes(spark):
+    """A phrase goes through the shuffle as a few bytes, and comes back the same; buckets share out all phrases whatever their number."""
+    rnd = np.random.default_rng(7)
+    keys = np.unique(rnd.integers(0, 20000, (2, 100000)), axis=1)
+    count = rnd.integers(1, 4, keys.shape[1])
+    for buckets in (1, 20):
+        order, met, ends = collocations._dealt(keys, buckets)
+        assert len(met) == buckets and sorted(order) == list(range(keys.shape[1]))
+        back, size = [], 0
+        for a, b in zip(ends, ends[1:]):
+            data = collocations._packed_phrases(keys[:, order[a:b]], count[order[a:b]])
+            size += len(data)
+            back.append(collocations._unpacked_phrases(data, 2))
+        assert np.array_equal(np.hstack(back), np.vstack([keys, count])[:, order]) and size < 6 * keys.shape[1]
+    rows = corpus(4)
+    few, many = ({tuple(r) for r in collocations.phrase_counts(docs(spark, rows), 4, 70, bucket_words=n)[0].collect()} for n in (1 << 21, 8))
+    assert few == many == {(*k, c) for k, c in by_hand(rows, 4, 80, 2000)[1].items()}

@@ -5,18 +5,21 @@ Burrows-Wheeler transforms over local word ids, of the text and of the reversed
 is an interval in each: extending it to the left groups the symbols of its forward interval and moves both intervals along, to the right likewise
 in the backward one. Phrases grow one word at a time. Their counts are summed across shards, and only phrases that reach the
 least count over all shards are extended, since no longer phrase is more frequent than its parts.
+
+Frequent words get numbers that all shards share. A shard deals its phrases, as word numbers, into buckets by hash and packs each bucket in order of the
+words, so that a phrase costs a few bytes in the shuffle; the sums of a bucket are made in one group.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from trabecula.llm.common import cut, table
 DEPTH = 4
 #: Words of one shard, and bytes of a text that are cut into words at once (at the end of a piece).
 SHARD_WORDS, TEXT_BYTES = 1 << 20, 1 << 22
+#: Words of text for which there is a bucket of phrases.
+BUCKET_WORDS = 1 << 21
 #: Least count of a phrase; a phrase goes if a longer one has this share of its occurrences; phrases reported per language.
 LEAST, SHARE, TOP = 30, 80, 2000
 #: Parts in which a language's best phrases are found before they are ranked together.
@@ -120,16 +125,38 @@ def _unpacked(data: bytes) -> np.ndarray:
     return low | high << 16
 
 
-def _marks(which: np.ndarray) -> bytes:
-    bits = np.zeros(int(which.max()) + 1 if len(which) else 0, bool)
-    bits[which] = True
+def _marks(bits: np.ndarray) -> bytes:
     return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
 
 
-def _marked(data: bytes | None) -> np.ndarray:
-    if data is None:
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8), bitorder="little"))
+def _marked(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zlib.decompress(data), np.uint8), count=n, bitorder="little").astype(bool)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases (columns of word numbers) in order of their bucket and words, the buckets met, and where each starts and ends in that order."""
+    mixed = np.zeros(keys.shape[1], np.uint64)
+    for k in keys:
+        mixed = (mixed ^ k.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+        mixed ^= mixed >> np.uint64(32)
+    bucket = (mixed % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((*keys[::-1], bucket))
+    met, first = np.unique(bucket[order], return_index=True)
+    return order, met, np.r_[first, len(order)]
+
+
+def _packed_phrases(keys: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted phrases and their counts as planes of bytes, deflated; of the first word only the steps."""
+    rows = np.vstack([np.diff(keys[0], prepend=0), *keys[1:], count]).astype("<u4")
+    return zlib.compress(rows.view(np.uint8).reshape(*rows.shape, 4).transpose(0, 2, 1).tobytes(), 1)
+
+
+def _unpacked_phrases(data: bytes, words: int) -> np.ndarray:
+    """Columns of word numbers and counts."""
+    rows = np.frombuffer(zlib.decompress(data), np.uint8).reshape(words + 1, 4, -1).transpose(0, 2, 1)
+    rows = np.ascontiguousarray(rows).view("<u4")[:, :, 0].astype(np.int64)
+    rows[0] = np.cumsum(rows[0])
+    return rows
 
 
 _INDEX = "shard long, lang string, n long, words array<string>, counts array<long>, forward binary, backward binary"
@@ -173,15 +200,16 @@ def build_indexes(docs: DataFrame, shard_words: int = SHARD_WORDS, lang: str = "
     return rows.mapInArrow(run, _INDEX)
 
 
-def _phrase_texts(words: pa.Array, columns: np.ndarray) -> pa.Array:
-    return pc.binary_join_element_wise(*[words.take(pa.array(c - 1)) for c in columns], " ")
-
-
-def _indexes(batches: Iterator) -> Iterator[tuple[pa.RecordBatch, int, pa.Array, Index]]:
+def _indexes(batches: Iterator) -> Iterator[tuple[dict, Index, np.ndarray, np.ndarray]]:
+    """Row, index, frequent words and the shared numbers of all words of each shard."""
     for b in batches:
-        for i in range(b.num_rows):
-            words = b.column("words")[i].values
-            yield b, i, words, Index(_unpacked(b.column("forward")[i].as_py()), _unpacked(b.column("backward")[i].as_py()), len(words) + 1)
+        for row in range(b.num_rows):
+            forward = _unpacked(b.column("forward")[row].as_py())
+            index = Index(forward, _unpacked(b.column("backward")[row].as_py()), int(forward.max()) + 1)
+            place, number = (x.to_numpy() for x in b.column("frequent")[row].values.flatten())
+            ids = np.zeros(index.symbols, np.int64)
+            ids[place] = number
+            yield {c: b.column(c)[row] for c in b.schema.names if c in ("shard", "pairs")}, index, place, ids
 
 
 def _pairs(index: Index, frequent: np.ndarray) -> Phrases:
@@ -192,74 +220,125 @@ def _pairs(index: Index, frequent: np.ndarray) -> Phrases:
     return pairs.take(ok[pairs.words[0]])
 
 
-def _emit_pairs(batches: Iterator) -> Iterator[pa.RecordBatch]:
-    for b, i, words, index in _indexes(batches):
-        pairs = _pairs(index, _marked(b.column("frequent")[i].as_py()))
-        n = len(pairs.count)
-        texts, lang = _phrase_texts(words, pairs.words), pa.array([b.column("lang")[i].as_py()] * n, pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b.column("shard")[i].as_py(), np.int64)), pa.array(np.arange(n, dtype=np.int32)), lang, texts, pa.array(pairs.count)],
-                                         names=["shard", "place", "lang", "phrase", "n"])
+_DEALT = "shard long, size int, bucket int, data binary"
 
 
-def _emit_longer(batches: Iterator) -> Iterator[pa.RecordBatch]:
-    """Phrases of three and four words whose pairs are all frequent: pairs to the right, then to the left."""
-    for b, i, words, index in _indexes(batches):
-        pairs = _pairs(index, _marked(b.column("frequent")[i].as_py()))
-        pairs = pairs.take(_marked(b.column("pairs")[i].as_py()))
-        known = np.sort(pairs.words[0].astype(np.int64) * index.symbols + pairs.words[1])
-
-        def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-            key = left.astype(np.int64) * index.symbols + right
-            return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
+def _deal(shard: int, keys: np.ndarray, count: np.ndarray, buckets: int) -> pa.RecordBatch:
+    order, met, ends = _dealt(keys, buckets)
+    keys, count = keys[:, order], count[order]
+    data = [_packed_phrases(keys[:, a:b], count[a:b]) for a, b in pairwise(ends.tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(met), shard, np.int64)), pa.array(np.full(len(met), len(keys), np.int32)), pa.array(met), pa.array(data, pa.binary())],
+                                      names=["shard", "size", "bucket", "data"])
 
-        grown = index.extend(pairs, False)
-        grown = grown.take(joined(grown.words[1], grown.words[2]))
-        for part in (grown, index.extend(grown, True)):
-            part = part.take(joined(part.words[0], part.words[1]))
-            yield pa.RecordBatch.from_arrays([pa.array([b.column("lang")[i].as_py()] * len(part.count), pa.string()), _phrase_texts(words, part.words), pa.array(part.count)], names=["lang", "phrase", "n"])
 
+def _deal_pairs(buckets: int) -> Callable:
+    def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
+        for row, index, frequent, ids in _indexes(batches):
+            pairs = _pairs(index, frequent)
+            yield _deal(row["shard"].as_py(), ids[pairs.words], pairs.count, buckets)
 
-def _marks_per_shard(rows: DataFrame, place: str, out: str) -> DataFrame:
-    """(shard, `out`): the places of a shard as deflated bits; a shard has a bounded number of them."""
-    def run(batches):
-        for b in batches:
-            bits = [_marks(x.values.to_numpy(zero_copy_only=False)) for x in b.column("places")]
-            yield pa.RecordBatch.from_arrays([b.column("shard"), pa.array(bits, pa.binary())], names=["shard", out])
-
-    return cut(rows.groupBy("shard").agg(F.collect_list(place).alias("places")).mapInArrow(run, f"shard long, {out} binary"))
+    return run
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _deal_longer(buckets: int) -> Callable:
+    """Phrases of three and four words whose pairs are all frequent: pairs to the right, then to the left."""
+    def run(batches: Iterator) -> Iterator[pa.RecordBatch]:
+        for row, index, frequent, ids in _indexes(batches):
+            pairs = _pairs(index, frequent)
+            order, met, ends = _dealt(ids[pairs.words], buckets)
+            keep = np.zeros(len(order), bool)
+            for x in row["pairs"].as_py():
+                at = np.searchsorted(met, x["bucket"])
+                own = order[ends[at]:ends[at + 1]]
+                keep[own] = _marked(x["marks"], len(own))
+            pairs = pairs.take(np.flatnonzero(keep))
+            known = np.sort(pairs.words[0].astype(np.int64) * index.symbols + pairs.words[1])
+
+            def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+                key = left.astype(np.int64) * index.symbols + right
+                return known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
+
+            grown = index.extend(pairs, False)
+            grown = grown.take(joined(grown.words[1], grown.words[2]))
+            for part in (grown, index.extend(grown, True)):
+                part = part.take(joined(part.words[0], part.words[1]))
+                yield _deal(row["shard"].as_py(), ids[part.words], part.count, buckets)
+
+    return run
+
+
+_SUMS = "shard long, bucket int, marks binary, ids array<long>, f long"
+
+
+def _sums(least: int) -> Callable:
+    """Of a bucket: the phrases with f >= `least` (ids, f), and for each shard's pairs (shard, bucket, marks) which of them are among these."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        size = key[0].as_py()
+        parts = [_unpacked_phrases(x, size) for x in t.column("data").to_pylist()]
+        rows = np.hstack(parts)
+        order = np.lexsort(rows[size - 1::-1])
+        first = np.r_[True, (np.diff(rows[:size, order], axis=1) != 0).any(axis=0)]
+        f = np.add.reduceat(rows[size, order], np.flatnonzero(first))
+        ids = rows[:size, order[first][f >= least]].T
+        n = len(ids)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(size)), pa.array(ids.ravel()))
+        none = [pa.nulls(n, x) for x in (pa.int64(), pa.int32(), pa.binary())]
+        out = [pa.Table.from_arrays([*none, lists, pa.array(f[f >= least])], names=["shard", "bucket", "marks", "ids", "f"])]
+        if size == 2:
+            good = np.empty(len(order), bool)
+            good[order] = (f >= least)[np.cumsum(first) - 1]
+            marks = [_marks(x) for x in np.split(good, np.cumsum([p.shape[1] for p in parts])[:-1])]
+            n = len(marks)
+            out.append(pa.Table.from_arrays([t.column("shard"), t.column("bucket"), pa.array(marks, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.int64())], names=out[0].column_names))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _numbered(words: DataFrame) -> DataFrame:
+    """`words` with `id`: numbers from 0 without gaps, in order of the parts the rows are written in."""
+    rows = cut(words.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id() % (1 << 33)}))
+    parts = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))  # one row per part
+    starts = parts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__start"))
+    return cut(rows.join(starts, "__p").withColumn("id", F.col("__start") + F.col("__i")).drop("__p", "__i", "__start"))
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS, lang: str = "lang", text: str = "text", bucket_words: int = BUCKET_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f) of all phrases of one to DEPTH words with f >= `least`, and (lang, n) with the words of each language.
 
-    Words and pairs go in a round each; longer phrases are enumerated once their pairs are known. Every round has one shuffle on language and phrase;
-    what survives goes back to its shards as bits. Null texts count as empty, a null language is `und`;
+    Words and pairs go in a round each; longer phrases are enumerated once their pairs are known. Every round has one shuffle, of words or of packed buckets;
+    what survives goes back to its shards, pairs as bits. Null texts count as empty, a null language is `und`;
     texts of any length are read whole. Other columns are not read.
     """
     spark = docs.sparkSession
     # buckets by shard: the rounds bring their bits to the indexes, which are never shuffled
     name = f"phrase_index_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = build_indexes(docs, shard_words, lang, text)
-    made.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard").saveAsTable(name)
+    made.write.bucketBy(parts, "shard").saveAsTable(name)
     index = spark.table(name)
     totals = cut(index.groupBy("lang").agg(F.sum("n").cast("long").alias("n")))
+    buckets = max(parts, -(-(totals.agg(F.sum("n")).first()[0] or 0) // bucket_words))
     listed = index.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("p", "w")).select(
         "shard", "lang", (F.col("p") + 1).alias("place"), F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"))
 
-    def frequent(rows: DataFrame) -> DataFrame:
-        """The shards' rows of frequent phrases with f; a phrase has at most one row per shard. One shuffle sums and sends back."""
-        total = F.sum("n").over(Window.partitionBy("lang", "phrase")).cast("long")
-        return cut(rows.withColumn("f", total).where(F.col("f") >= least).select("shard", "place", "lang", "phrase", "f"))
-
-    def phrases(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("lang", "phrase").agg(F.max("f").alias("f"))
-
-    words = frequent(listed)
-    known = index.drop("counts", "n").join(_marks_per_shard(words, "place", "frequent"), "shard")
-    pairs = frequent(known.mapInArrow(_emit_pairs, "shard long, place int, lang string, phrase string, n long"))
-    found = known.join(_marks_per_shard(pairs, "place", "pairs"), "shard").mapInArrow(_emit_longer, "lang string, phrase string, n long")
-    longer = cut(found.groupBy("lang", "phrase").agg(F.sum("n").cast("long").alias("f")).where(F.col("f") >= least))
-    counts = cut(phrases(words).unionByName(phrases(pairs)).unionByName(longer))
+    total = F.sum("n").over(Window.partitionBy("lang", "phrase")).cast("long")
+    words = cut(listed.withColumn("f", total).where(F.col("f") >= least).select("shard", "place", "lang", "phrase", "f"))
+    singles = _numbered(words.groupBy("lang", "phrase").agg(F.max("f").alias("f")))
+    own = words.select("shard", "place", "lang", "phrase").join(singles.drop("f"), ["lang", "phrase"])
+    own = cut(own.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("frequent")))  # a shard has a bounded number of words
+    known = index.select("shard", "forward", "backward").join(own, "shard")
+
+    def summed(dealt: DataFrame) -> DataFrame:
+        return cut(dealt.groupBy("size", "bucket").applyInArrow(_sums(least), _SUMS))
+
+    pairs = summed(known.mapInArrow(_deal_pairs(buckets), _DEALT))
+    marks = cut(pairs.where(F.col("marks").isNotNull()).groupBy("shard").agg(F.collect_list(F.struct("bucket", "marks")).alias("pairs")))
+    longer = summed(known.join(marks, "shard").mapInArrow(_deal_longer(buckets), _DEALT))
+    phrases = pairs.unionByName(longer).where(F.col("ids").isNotNull()).select("ids", "f")
+    spelt = phrases.select("ids", "f", F.posexplode("ids").alias("at", "id")).join(singles.drop("f"), "id").groupBy("ids", "f").agg(
+        F.max("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "phrase"))).alias("words"))
+    counts = cut(singles.drop("id").unionByName(spelt.select("lang", F.array_join("words.phrase", " ").alias("phrase"), "f")))
     spark.sql(f"DROP TABLE {name}")
     return counts, totals
 
