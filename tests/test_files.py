@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import CUBE
 from trabecula.operators import link, mesh
-from trabecula.sources import inventory, sinks, stl, tables, text_files
+from trabecula.sources import inventory, master, sinks, stl, tables, text_files
 from trabecula.streaming import ingest
 
 
@@ -139,6 +139,17 @@ def test_master_append_keeps_columns_and_rows(spark, tmp_path):
     assert out["r1"]["Status"] == "OK" and out["r1"]["E"] == 1.0 and out["r1"]["note"] is None and out["r2"]["note"] == "y"
 
 
+def test_a_commit_has_few_files(spark, tmp_path):
+    """Tasks don't each write files of every batch and every key bucket."""
+    path = str(tmp_path / "few")
+    n = F.col("id")
+    rows = spark.range(0, 4000, 1, 40).select(n.cast("string").alias("Run"), (n % 3).cast("string").alias("Batch"), F.lit("OK").alias("Status"))
+    master.commit_rows(rows, path, "one")
+    data, keys = (list((tmp_path / "few" / kind).rglob("*.parquet")) for kind in ("data", "keys"))
+    assert len(data) <= 3 * master.SPREAD and len(keys) == len({f.parent for f in keys})
+    assert sinks.read_master(spark, path).select(rows.columns).exceptAll(rows).isEmpty() and sinks.read_master(spark, path).count() == 4000
+
+
 def test_stream_into_versioned_master(spark, tmp_path):
     drop, master, state = str(tmp_path / "drop"), str(tmp_path / "master"), str(tmp_path / "state")
     schema = "Run string, Batch string, Status string"

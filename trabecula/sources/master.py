@@ -24,6 +24,8 @@ from trabecula.session import written
 
 #: Hash buckets of the key index; a bucket grows with the master, an append reads those that its keys fall into.
 BUCKETS = 512
+#: Tasks that share the rows of one batch when they are written.
+SPREAD = 8
 _RECORD = "commit string, columns string, n_rows long"
 
 
@@ -78,11 +80,12 @@ def known_keys(spark: SparkSession, path: str, records: list, keys: list[str], s
 def commit_rows(rows: DataFrame, path: str, commit: str, keys: list[str] = ("Run", "Batch")) -> None:
     """Writes rows whose keys are known to be new as one commit. An interrupted one is replaced when it is written again."""
     spark, keys = rows.sparkSession, list(keys)
-    rows.write.mode("overwrite").partitionBy("Batch").parquet(f"{path}/data/commit={commit}")
+    spread = F.pmod(F.xxhash64(*keys), F.lit(SPREAD))  # else every task would write files of every batch
+    rows.repartition(F.col("Batch"), spread).write.mode("overwrite").partitionBy("Batch").parquet(f"{path}/data/commit={commit}")
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == "Batch" else f.dataType, True) for f in rows.schema.fields])
     back = spark.read.schema(schema).parquet(f"{path}/data/commit={commit}") if _any_file(spark, f"{path}/data/commit={commit}") else rows.limit(0)
     marked = back.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket"))
-    marked.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/commit={commit}")
+    marked.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/keys/commit={commit}")
     record = spark.createDataFrame([(commit, schema.json(), back.count())], _RECORD)
     record.coalesce(1).write.mode("overwrite").json(f"{path}/commits/commit={commit}")
 
