@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import CUBE, moved, sphere, torus, triangles
-from trabecula.operators import cloud, mesh
+from trabecula.operators import cloud, mesh, walls
 from trabecula.operators.score import weighted_mean
 
 
@@ -103,6 +103,23 @@ def test_wall_search_equals_all_pairs(spark):
                 assert got[m, key] == (pytest.approx(d[ok].min()) if ok.any() else None), (m, key)
 
 
+@pytest.mark.parametrize("n_samples", [None, 3])
+def test_small_meshes_meet_without_a_tree(spark, monkeypatch, n_samples):
+    """Vertices of small meshes meet where they lie, over the borders of batches and with null ids, to the distances of the tree."""
+    cubes = triangles(spark, a=CUBE, b=moved(CUBE, 5), c=moved(CUBE, 0.5))
+    tri = cubes.unionByName(cubes.where("mesh_id = 'c'").withColumn("mesh_id", F.lit(None).cast("string")))
+    def found(cell_rows, cap):
+        return {(r["mesh_id"], tuple(r["vertex"])): r["distance"] for r in mesh.wall_hits(tri, cap, n_samples, 1, skin=None, cell_rows=cell_rows).collect()}
+    tree = {cap: found(4, cap) for cap in (0.5, 3.0)}
+    assert len(tree[3.0]) == 4 * (n_samples or 8) and any(tree[3.0].values()) and not any(tree[0.5].values())
+    monkeypatch.setattr(walls, "cell_tree", lambda v: pytest.fail("a tree for a mesh of one cell"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert {cap: found(32, cap) for cap in tree} == tree
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_wall_search_meets_few_vertices_of_a_fine_mesh(spark):
     """A slab of a million triangles, 40 spacings thick: a search by radius would meet thousands of vertices per sample."""
     n, thick = 500, 40.0

@@ -4,15 +4,23 @@ Vertices get a Morton number in the box of their mesh. Cells are runs of such nu
 cells that still hold too many vertices are split further. Each cell knows the box of its positions and the range of its normals, so whole cells are
 ruled out, or known to hold a hit, before a vertex of them is met. A sample goes down the tree level by level and keeps only the cells that may hold
 something nearer than what is certain already; only the vertices of the cells left at the end are met.
+
+A mesh of one cell needs no tree: its vertices lie together in a task and meet there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trabecula.functions import vec
-from trabecula.functions.core import all_of, hash_bucket, hash_order, spread_join
+from trabecula.functions.core import all_of, hash_bucket, hash_order, null_safe_join, spread_join
 from trabecula.operators.ordered import running_total
 from trabecula.operators.surface import Surface, surface
 from trabecula.session import written
@@ -22,6 +30,8 @@ CONE_COS, OPPOSING_DOT, MIN_DISTANCE = 0.6, -0.3, 1e-3
 #: Bits of the Morton number per axis, mean spacings along a cell, and vertices that a cell may hold.
 BITS, SPACINGS, CELL_ROWS = 20, 2.5, 32
 _SLACK = 1e-9
+#: Pairs of vertices that a task looks at in one go.
+PAIRS = 1 << 19
 
 
 def _spread(n: Column) -> Column:
@@ -101,23 +111,76 @@ def _judged(rows: DataFrame) -> DataFrame:
 def wall_hits(tri: DataFrame | Surface, cap: float | DataFrame, n_samples: int | None = None, seed: int = 0, skin: float | None = 0.02, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Per vertex (of `n_samples` hashed ones per mesh, if given) the distance to the nearest opposing vertex inside the inward cone (null: none).
 
-    `cap` is one search radius or a table (mesh_id, cap). `candidates` is how many vertices were met for it. Rounds are the levels of the deepest mesh;
-    each is written, so the next starts from the cells still open.
+    `cap` is one search radius or a table (mesh_id, cap). `candidates` is how many vertices were met for it. Meshes of over `cell_rows` vertices go down
+    the tree: rounds are the levels of the deepest mesh; each is written, so the next starts from the cells still open.
     """
     from trabecula.operators.mesh import interior
 
     s = surface(tri)
-    v = celled(s.vertices.select("mesh_id", "vertex", "pos", "normal", "dual"), cell_rows)
-    tree = cell_tree(v)
-    deepest = v.agg(F.max("level")).first()[0] or 0
-    pool = v.select("mesh_id", "vertex", "pos", "normal")
-    pool = spread_join(pool, cap, ["mesh_id"]) if isinstance(cap, DataFrame) else pool.withColumn("cap", F.lit(float(cap)))
-    left = pool if skin is None else spread_join(pool, s.boxes, ["mesh_id"]).where(interior("pos", skin)).select(*pool.columns)
+    v = s.vertices.select("mesh_id", "vertex", "pos", "normal", "dual")
+    v = v if s.keep else written(v)
+    pool = spread_join(v, cap, ["mesh_id"]) if isinstance(cap, DataFrame) else v.withColumn("cap", F.lit(float(cap)))
+    asked = F.lit(True) if skin is None else F.coalesce(interior("pos", skin), F.lit(False))
+    pool = (pool if skin is None else spread_join(pool, s.boxes, ["mesh_id"])).select("mesh_id", "vertex", "pos", "normal", "cap", asked.alias("asked"))
     if n_samples is not None:
-        left = left.withColumn("__h", hash_order(seed, "mesh_id", "vertex"))
+        left = pool.where("asked").select("mesh_id", "vertex", hash_order(seed, "mesh_id", "vertex").alias("__h"))
         left = running_total(left, ["mesh_id"], ["__h", "vertex"], hash_bucket("__h"), out="__pos", spread=True)
-        left = left.where(F.col("__pos") <= n_samples).drop("__h", "__pos")
-    left = written(left)
+        left = left.where(F.col("__pos") <= n_samples).select("mesh_id", "vertex", F.lit(True).alias("asked"))
+        pool = spread_join(pool.drop("asked"), left, ["mesh_id", "vertex"], "left").withColumn("asked", F.coalesce("asked", F.lit(False)))
+    large = written(v.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows).select("mesh_id"))
+    if large.isEmpty():
+        return _met_at_once(pool)
+    few, many = (null_safe_join(pool, large.hint("merge"), ["mesh_id"], how) for how in ("left_anti", "left_semi"))
+    return _met_at_once(few).unionByName(_searched(null_safe_join(v, large.hint("merge"), ["mesh_id"], "left_semi"), many.where("asked").drop("asked"), cell_rows))
+
+
+def _met_at_once(pool: DataFrame) -> DataFrame:
+    """Every asked vertex of small meshes meets all vertices of its mesh, which lie next to each other in a task."""
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            mesh = _mesh_numbers(t)
+            whole = int(np.searchsorted(-(mesh != mesh[-1]).astype(int), 0)) if len(mesh) else 0
+            held = t.slice(whole)
+            yield from _nearest(t.slice(0, whole), mesh[:whole])
+        if held is not None:
+            yield from _nearest(held, _mesh_numbers(held))
+
+    schema = T.StructType([*pool.select("mesh_id", "vertex").schema.fields, T.StructField("distance", T.DoubleType()), T.StructField("candidates", T.LongType())])
+    return pool.repartition("mesh_id").sortWithinPartitions("mesh_id").mapInArrow(run, schema)
+
+
+def _mesh_numbers(t: pa.Table) -> np.ndarray:
+    return pc.dictionary_encode(t["mesh_id"].combine_chunks(), null_encoding="encode").indices.to_numpy() if t.num_rows else np.empty(0, np.int64)
+
+
+def _nearest(t: pa.Table, mesh: np.ndarray) -> Iterator[pa.RecordBatch]:
+    pos, normal = ([c.to_numpy() for c in t[name].flatten()] for name in ("pos", "normal"))
+    cap, rows = t["cap"].to_numpy(), np.flatnonzero(t["asked"].to_numpy())
+    if not len(rows):
+        return
+    first = np.flatnonzero(np.r_[True, np.diff(mesh) != 0])
+    of, size = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(mesh)])), np.diff(np.r_[first, len(mesh)])
+    for own in np.split(rows, np.flatnonzero(np.diff(np.cumsum(size[of[rows]]) // PAIRS)) + 1):
+        n = size[of[own]]
+        start = np.cumsum(n) - n
+        a, b = np.repeat(own, n), np.arange(n.sum()) + np.repeat(first[of[own]] - start, n)
+        gap = [p[b] - p[a] for p in pos]
+        inward, opposing = (x * u + y * v + z * w for (x, y, z), (u, v, w) in ((gap, [c[a] for c in normal]), ([c[b] for c in normal], [c[a] for c in normal])))
+        d = np.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2])
+        hit = (d > MIN_DISTANCE) & (d <= cap[a]) & (-inward > d * CONE_COS) & (opposing < OPPOSING_DOT)
+        nearest = np.minimum.reduceat(np.where(hit, d, np.inf), start)
+        keys = t.select(["mesh_id", "vertex"]).take(pa.array(own))
+        yield from keys.append_column("distance", pa.array(nearest, mask=np.isinf(nearest))).append_column("candidates", pa.array(n)).combine_chunks().to_batches()
+
+
+def _searched(verts: DataFrame, left: DataFrame, cell_rows: int) -> DataFrame:
+    """The vertices `left` of large meshes against the tree of their mesh's cells."""
+    v, left = celled(verts, cell_rows), written(left)
+    tree = cell_tree(v)
+    deepest = v.agg(F.max("level")).first()[0] or 0
 
     own = ["mesh_id", "vertex", "pos", "normal", "cap", "bound"]
     open_cells, reached = left.withColumn("bound", F.col("cap")).withColumn("parent", F.lit(0).cast("long")), None
