@@ -38,6 +38,25 @@ def test_quantiles_match_numpy_including_duplicates_and_signs(spark):
         assert [r["q0"], r["q3"], r["q99"], r["q1"]] == pytest.approx(list(np.percentile(data[r["k"]], [0, 30, 99, 100])))
 
 
+def test_quantiles_of_many_keys_sort_the_small_ones(spark, monkeypatch):
+    """Small keys are sorted whole in one shuffle of the rows, large ones go by buckets, to the same values; null keys count, null and NaN values don't."""
+    from trabecula.operators import ordered
+    k = F.when(F.col("id") % 7 != 0, F.col("id") % 7).alias("k")
+    df = spark.range(700).select(k, F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 11 == 0, float("nan")).otherwise(F.sin("id") * 100).alias("v"))
+    df = df.where((F.col("k") != 3) | F.col("k").isNull() | (F.col("v") < 0))
+    args = (["k"], "v", [0.0, 0.3, 0.5, 0.99, 1.0], ["a", "b", "c", "d", "e"], "n")
+    want = {r["k"]: r for r in exact_quantiles(df, *args).collect()}
+    assert len(want) == 7 and None in want
+    counts = sorted(r["n"] for r in want.values())
+    for limit in (counts[0], counts[-1]):
+        monkeypatch.setattr(ordered, "BUCKET_ROWS", limit)
+        if limit == counts[-1]:
+            monkeypatch.setattr(ordered, "with_bucket", lambda *a: pytest.fail("buckets for small keys"))
+        got = exact_quantiles(df, *args, many=True).collect()
+        assert {r["k"]: r["n"] for r in got} == {key: r["n"] for key, r in want.items()}
+        assert all(list(r)[1:] == pytest.approx(list(want[r["k"]])[1:]) for r in got)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=64), min_size=2, max_size=2))
 def test_order_bucket_rule_never_decreases(pair):

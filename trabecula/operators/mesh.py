@@ -242,14 +242,14 @@ def curvature_summary(tri: DataFrame | Surface, cell: float, skin: float | None
         b = boxes(tri)
         v = spread_join(v, b, ["mesh_id"]).where(interior("pos", skin))
         e = spread_join(e, b, ["mesh_id"]).where(interior("p_lo", skin) & interior("p_hi", skin))
-    v, e = cut_lineage(v.select("mesh_id", "gauss", "dual")), cut_lineage(e.select("mesh_id", "mean", "weight"))
+    v, e = written(v.select("mesh_id", "gauss", "dual")), written(e.select("mesh_id", "mean", "weight"))
     out = v.groupBy("mesh_id").agg((weighted_mean("gauss", "dual") * L * L).alias("curv_gauss_mean_xL2"))
     out = out.join(e.groupBy("mesh_id").agg((weighted_mean("mean", "weight") * L).alias("curv_mean_mean_xL")).hint("merge"), "mesh_id", "full")
     # Quartiles of the values and p99 of their sizes, for both curvatures, in one quantile pass.
     def both(rows, value, kind):
         sizes = F.array(F.struct(F.lit(kind).alias("kind"), F.col(value).alias("x")), F.struct(F.lit(f"|{kind}|").alias("kind"), F.abs(F.col(value)).alias("x")))
         return rows.select("mesh_id", F.inline(sizes))
-    q = exact_quantiles(both(v, "gauss", "gauss").unionByName(both(e, "mean", "mean")), ["mesh_id", "kind"], "x", [0.25, 0.75, 0.99], ["q1", "q3", "p99"])
+    q = exact_quantiles(both(v, "gauss", "gauss").unionByName(both(e, "mean", "mean")), ["mesh_id", "kind"], "x", [0.25, 0.75, 0.99], ["q1", "q3", "p99"], many=True)
     def pick(kind, c, unit, name):
         return F.max(F.when(F.col("kind") == kind, c) * unit).alias(name)
     q = q.groupBy("mesh_id").agg(
@@ -260,9 +260,10 @@ def curvature_summary(tri: DataFrame | Surface, cell: float, skin: float | None
 
 def wall_summary(hits: DataFrame, expected: DataFrame | None, cell: float, min_hits: int) -> DataFrame:
     """Median, sd, hits and ratios per mesh; measures are null when there are too few hits."""
+    hits = written(hits.select("mesh_id", "distance"))
     h = hits.where(F.col("distance").isNotNull())
     agg = hits.groupBy("mesh_id").agg(F.count("distance").alias("thickness_hits"), F.stddev_pop("distance").alias("__sd"))
-    out = agg.join(exact_quantiles(h, ["mesh_id"], "distance", [0.5], ["__med"]).hint("merge"), "mesh_id", "left")
+    out = agg.join(exact_quantiles(h, ["mesh_id"], "distance", [0.5], ["__med"], many=True).hint("merge"), "mesh_id", "left")
     out = out.join(expected.hint("merge"), "mesh_id", "left") if expected is not None else out.withColumn("expected", F.lit(None).cast("double"))
     enough = F.col("thickness_hits") > min_hits
     return out.select("mesh_id", "thickness_hits", F.when(enough, F.col("__med")).alias("thickness_med_mm"),

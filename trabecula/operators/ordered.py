@@ -84,13 +84,50 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], cols: list[str]
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: list[float],
-                    names: list[str], count: str | None = None) -> DataFrame:
+                    names: list[str], count: str | None = None, many: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key.
 
-    First pass: bucket histogram. Second pass: only the rows of the buckets that hold a wanted rank.
+    First pass: bucket histogram. Second pass: only the rows of the buckets that hold a wanted rank. `many` is for a great many keys, most of few
+    rows: keys of up to BUCKET_ROWS rows are sorted whole, which shuffles rows once, and only the larger ones take the passes.
     """
     base = df.select(*keys, col(value).cast("double").alias("__v"))
     base = base.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    if not many:
+        return _by_histogram(base, keys, probs, names, count)
+    large = written(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > BUCKET_ROWS).select(*keys))
+    if large.isEmpty():
+        return _by_sorting(base, keys, probs, names, count)
+    few, rest = (null_safe_join(base, large.hint("merge"), keys, how) for how in ("left_anti", "left_semi"))
+    return _by_sorting(few, keys, probs, names, count).unionByName(_by_histogram(rest, keys, probs, names, count))
+
+
+def _rank(p: float) -> Column:
+    return F.floor(F.lit(p) * (F.col("__tot") - 1)).cast("long")
+
+
+def _next(p: float) -> Column:
+    return F.least(_rank(p) + 1, F.col("__tot") - 1)
+
+
+def _interpolated(keys: list[str], probs: list[float], names: list[str], count: str | None) -> list[Column]:
+    """From __tot and, per wanted quantile i, the values __a{i} and __z{i} around it."""
+    out = [F.col(k) for k in keys]
+    for i, (p, name) in enumerate(zip(probs, names)):
+        frac = F.lit(p) * (F.col("__tot") - 1) - _rank(p)
+        out.append((F.col(f"__a{i}") + (F.col(f"__z{i}") - F.col(f"__a{i}")) * frac).alias(name))
+    return [*out, F.col("__tot").alias(count)] if count else out
+
+
+def _by_sorting(base: DataFrame, keys: list[str], probs: list[float], names: list[str], count: str | None) -> DataFrame:
+    own = Window.partitionBy(*keys)
+    at = base.withColumn("__at", F.row_number().over(own.orderBy("__v")) - 1).withColumn("__tot", F.count(F.lit(1)).over(own))
+    aggs = [F.max("__tot").alias("__tot")]
+    for i, p in enumerate(probs):
+        aggs += [F.max(F.when(F.col("__at") == r, F.col("__v"))).alias(f"__{n}{i}") for n, r in (("a", _rank(p)), ("z", _next(p)))]
+    return at.groupBy(*keys).agg(*aggs).select(*_interpolated(keys, probs, names, count))
+
+
+def _by_histogram(base: DataFrame, keys: list[str], probs: list[float], names: list[str], count: str | None) -> DataFrame:
     base = with_bucket(base.withColumnRenamed("__v", "__q"), "__q").withColumnRenamed("__q", "__v")
     bk = [*keys, "__b"]
     upto = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
@@ -99,32 +136,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs:
         F.sum("__n").over(Window.partitionBy(*keys)).alias("__tot"))
     hist = hist.withColumn("__lo", F.col("__hi") - F.col("__n"))
 
-    def rank(p: float) -> Column:
-        return F.floor(F.lit(p) * (F.col("__tot") - 1)).cast("long")
-
-    def nxt(p: float) -> Column:
-        return F.least(rank(p) + 1, F.col("__tot") - 1)
-
     def holds(r: Column, lo: str, hi: str) -> Column:
         return (r >= F.col(lo)) & (r < F.col(hi))
 
-    want = hist.where(any_of([holds(r(p), "__lo", "__hi") for p in probs for r in (rank, nxt)]))
+    want = hist.where(any_of([holds(r(p), "__lo", "__hi") for p in probs for r in (_rank, _next)]))
     hit = spread_join(base, want.select(*bk, "__lo", "__tot"), bk)
     hit = hit.groupBy(*bk, "__lo", "__tot", "__v").agg(F.count(F.lit(1)).alias("__n"))
     inside = Window.partitionBy(*bk).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     hit = hit.withColumn("__e", F.col("__lo") + F.sum("__n").over(inside)).withColumn("__s", F.col("__e") - F.col("__n"))
     aggs = [F.max("__tot").alias("__tot")]
     for i, p in enumerate(probs):
-        aggs.append(F.max(F.when(holds(rank(p), "__s", "__e"), F.col("__v"))).alias(f"__a{i}"))
-        aggs.append(F.max(F.when(holds(nxt(p), "__s", "__e"), F.col("__v"))).alias(f"__z{i}"))
+        aggs.append(F.max(F.when(holds(_rank(p), "__s", "__e"), F.col("__v"))).alias(f"__a{i}"))
+        aggs.append(F.max(F.when(holds(_next(p), "__s", "__e"), F.col("__v"))).alias(f"__z{i}"))
     got = hit.groupBy(*keys).agg(*aggs)
-    out = [F.col(k) for k in keys]
-    for i, (p, name) in enumerate(zip(probs, names)):
-        frac = F.lit(p) * (F.col("__tot") - 1) - rank(p)
-        out.append((F.col(f"__a{i}") + (F.col(f"__z{i}") - F.col(f"__a{i}")) * frac).alias(name))
-    if count:
-        out.append(F.col("__tot").alias(count))
-    return got.select(*out)
+    return got.select(*_interpolated(keys, probs, names, count))
 
 
 def bracket(points: DataFrame, x: str | Column, knots: DataFrame, at: str, keys: list[str] = ()) -> DataFrame:
