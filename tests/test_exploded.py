@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from trabecula.catalog import shapes, tensors
+from trabecula.catalog import clouds, shapes, tensors
 from trabecula.catalog.registry import Tables
 from trabecula.functions.core import spread_join
 
@@ -41,6 +41,14 @@ def test_rotations_are_dealt_out(spark, monkeypatch):
     assert box and turned == 3 * box  # points and turns, and both again for the sums
 
 
+def test_indices_of_points_are_kept_as_bits(spark):
+    """Distinct indices are counted without a shuffle of the points; what repeats, is negative or too large, is no index."""
+    pts = spark.createDataFrame([("a", i % 100) for i in range(130)] + [("b", -1), ("b", 0), ("b", 63), ("b", 64), ("b", 127), ("b", 128), (None, 5)], "mesh_id string, i int")
+    assert sorted(clouds._indices(pts, 128).collect(), key=str) == [("a", 130, 100), ("b", 6, 4), (None, 1, 1)]
+    plan = entry.queries()["cloud_sample_coverage"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "keys=[mesh_id" in plan and ", i#" not in "".join(line for line in plan.splitlines() if "hashpartitioning(" in line)
+
+
 def test_tensors_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(shapes, "PARTS_PER_TASK", 40)
     rows = tensors._ortho(Tables(spark, FOLDER), "p_size")

@@ -63,6 +63,13 @@ def cloud_density_channel(t):
     return cloud.with_density(_corners(t), d, 20).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("density"), 2).alias("density"))
 
 
+def _indices(pts, n):
+    """Points and distinct indices below n per mesh: the indices are kept as bits, so one row per mesh and task is shuffled."""
+    words, bit = range(-(-n // 64)), F.expr("shiftleft(1L, cast(i % 64 as int))")
+    marked = pts.withColumns({"word": F.when(F.col("i") >= 0, F.expr("i div 64")), "bit": bit}).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_points"), *[F.bit_or(F.when(F.col("word") == w, F.col("bit"))).alias(f"w{w}") for w in words])
+    return marked.select("mesh_id", "n_points", sum((F.coalesce(F.bit_count(f"w{w}"), F.lit(0)) for w in words), F.lit(0)).cast("long").alias("n_indices"))
+
+
 @query("cloud_sample_coverage", f"""WITH {TRI}, {FACE}, a AS (SELECT mesh_id, tri_id, sum(area) OVER (PARTITION BY mesh_id) AS total FROM f)
 SELECT mesh_id, {_FULL}::BIGINT AS n_points, {_FULL}::BIGINT AS n_indices, true AS follows_area, round(ln(max(total)) + ln(10) * 12 * (mesh_id % 3 - 1), 6) AS log_area FROM a GROUP BY 1""")
 def cloud_sample_coverage(t):
@@ -79,8 +86,7 @@ def cloud_sample_coverage(t):
     j = spread_join(area, total, ["mesh_id"]).join(per.hint("merge"), ["mesh_id", "tri_id"], "left")
     off = F.abs(F.coalesce("got", F.lit(0)) - F.col("area") / F.col("total") * _FULL)
     ok = j.groupBy("mesh_id").agg(F.bool_and(off < 2).alias("follows_area"), F.round(F.log(F.max("total")), 6).alias("log_area"))
-    n = pts.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("i").alias("n_indices"))
-    return n.join(ok.hint("merge"), "mesh_id")
+    return _indices(pts, _FULL).join(ok.hint("merge"), "mesh_id")
 
 
 @query("cloud_sample_on_surface", f"WITH {TRI} SELECT mesh_id, {_N}::BIGINT AS n_on_face FROM tri GROUP BY 1")
