@@ -41,6 +41,16 @@ def test_rotations_are_dealt_out(spark, monkeypatch):
     assert box and turned == 3 * box  # points and turns, and both again for the sums
 
 
+def test_seed_probe_shuffles_no_made_rows(spark, monkeypatch):
+    """Triangles and points meet where their mesh was dealt to: only rows of the part table are shuffled."""
+    monkeypatch.setattr(shapes, "PARTS_PER_TASK", 40)
+    probe = entry.queries()["cloud_seed_probe"](spark, FOLDER)
+    shuffles = [line for line in probe._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+    assert shuffles and all("REPARTITION_BY_NUM" in line for line in shuffles)
+    parts = [r.p_partkey for r in spark.read.parquet(f"{FOLDER}/part.parquet").collect()]
+    assert sorted(tuple(r) for r in probe.collect()) == sorted((k, s, s == 5) for k in parts for s in (4, 5))
+
+
 def test_indices_of_points_are_kept_as_bits(spark):
     """Distinct indices are counted without a shuffle of the points; what repeats, is negative or too large, is no index."""
     pts = spark.createDataFrame([("a", i % 100) for i in range(130)] + [("b", -1), ("b", 0), ("b", 63), ("b", 64), ("b", 127), ("b", 128), (None, 5)], "mesh_id string, i int")

@@ -173,6 +173,31 @@ def test_surface_sample_is_exact_and_prefix_covers_surface(spark):
     assert len(per_face) == 6 and all(abs(x - 20) <= 3 for x in per_face)
 
 
+def test_samples_are_the_same_wherever_meshes_are_added_up(spark, monkeypatch):
+    tri = triangles(spark, cube=CUBE, ball=sphere(2.0, 12, 6), gone=[((0, 0, 0),) * 3]).withColumn("mesh_id", F.when(F.col("mesh_id") != "cube", F.col("mesh_id")))
+    wanted = sorted(cloud.sample_surface(tri, 100, 3).collect(), key=str)
+    assert len(wanted) == 200 and sorted(cloud.sample_surface(tri, 100, 3, many=True).collect(), key=str) == wanted
+    box = {(r.mesh_id, r.i): (r.x, r.y, r.z) for r in cloud.to_unit_box(cloud.sample_surface(tri, 100, 3)).collect()}
+    monkeypatch.setattr(cloud, "BUCKET_ROWS", 12)
+    assert sorted(cloud.sample_surface(tri, 100, 3, many=True).collect(), key=str) == wanted
+    for most in (12, 100):  # as windows, and spread
+        for r in cloud.to_unit_box(cloud.sample_surface(tri, 100, 3), most=most).collect():
+            assert (r.x, r.y, r.z) == pytest.approx(box[r.mesh_id, r.i], abs=1e-12)
+
+
+def test_seed_probe_names_the_seed_of_each_cloud(spark):
+    tri = triangles(spark, **{n: moved(CUBE, i) for i, n in enumerate(["same", "off", "short", "long", "twice", "part", "bare", "null"])})
+    tri = tri.withColumn("mesh_id", F.when(F.col("mesh_id") != "null", F.col("mesh_id")))
+    pts = cloud.to_unit_box(cloud.sample_surface(tri, 40, 7)).where("mesh_id is null or mesh_id != 'bare'")
+    pts = pts.withColumn("x", F.when(F.expr("mesh_id = 'off' and i = 3"), F.col("x") + 1e-3).when(F.expr("mesh_id = 'part' and i = 3"), None).otherwise(F.col("x")))
+    more = pts.where("mesh_id = 'long' and i = 3").withColumn("i", F.lit(40)).unionByName(pts.where("mesh_id = 'twice' and i = 3")).unionByName(pts.where("mesh_id = 'same'").withColumn("mesh_id", F.lit("lone")))
+    stored = pts.where("mesh_id is null or mesh_id != 'short' or i != 3").unionByName(more)
+    got = {(r.mesh_id, r.seed): (r.reproduced, r.max_diff) for r in cloud.seed_probe(stored, tri, 40, [6, 7]).collect()}
+    assert set(got) == {(m, s) for m in ["same", "off", "short", "long", "twice", "part", "bare", "lone", None] for s in (6, 7)}
+    assert {k for k, v in got.items() if v[0]} == {("same", 7), (None, 7)}
+    assert got["off", 7][1] == pytest.approx(1e-3) and got["short", 7][1] < 1e-12 < 0.01 < got["same", 6][1] and got["bare", 7][1] is got["lone", 7][1] is None
+
+
 def test_augmented_clouds_keep_shape(spark):
     pts = cloud.to_unit_box(cloud.sample_surface(triangles(spark, cube=CUBE), 200, 3))
     turned = cloud.augment(pts, cloud.rotations(pts, 3, 5)).cache()

@@ -109,7 +109,7 @@ def cloud_augment(t):
 @query("cloud_seed_probe", "SELECT p_partkey AS mesh_id, s.seed AS seed, s.seed = 5 AS reproduced FROM part, (VALUES (4), (5)) s(seed)")
 def cloud_seed_probe(t):
     tri = meshes(t.part)
-    stored = cloud.to_unit_box(cloud.sample_surface(tri, _N, 5))
+    stored = cloud.to_unit_box(cloud.sample_surface(tri, _N, 5, many=True), most=_N)
     return cloud.seed_probe(stored, tri, _N, [4, 5]).select("mesh_id", "seed", "reproduced")
 
 
